@@ -23,7 +23,6 @@ gives ''; blanks are neither merged nor trimmed.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -113,17 +112,21 @@ def look_key(text: str, table: dict[int, str]) -> str:
     return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(table))
 
 
-@lru_cache(maxsize=None)
-def _script_patterns() -> dict[str, regex.Pattern]:
-    return {s: regex.compile(rf"\p{{Script_Extensions={s}}}") for s in SCRIPTS}
+SCRIPT_PATTERNS = {s: regex.compile(rf"\p{{Script_Extensions={s}}}") for s in SCRIPTS}
+SHARED = regex.compile(r"[\p{Script=Common}\p{Script=Inherited}]")
 
 
-@lru_cache(maxsize=65_536)
-def scripts_of(ch: str) -> frozenset[str] | None:
+def scripts_of(ch: str, _known: dict = {}) -> frozenset[str] | None:  # noqa: B006
     """The scripts a character is used in; None for one that all share."""
-    if unicodedata.category(ch)[0] not in "LM" or regex.match(r"[\p{Script=Common}\p{Script=Inherited}]", ch):
+    if ch not in _known:
+        _known[ch] = _scripts_of(ch)
+    return _known[ch]
+
+
+def _scripts_of(ch: str) -> frozenset[str] | None:
+    if unicodedata.category(ch)[0] not in "LM" or SHARED.match(ch):
         return None
-    found = frozenset(s for s, p in _script_patterns().items() if p.match(ch))
+    found = frozenset(s for s, p in SCRIPT_PATTERNS.items() if p.match(ch))
     if found & {"Han", "Hiragana", "Katakana", "Hangul"}:
         found |= {"Japanese", "Korean", "Han"} if "Han" in found else {"Japanese"} if found & {"Hiragana", "Katakana"} else {"Korean"}
     return found or frozenset({"other"})
