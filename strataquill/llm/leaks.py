@@ -36,6 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataquill.session import cut_lineage
+
 WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 SIGN = regex.compile(r"[\p{L}\p{N}]")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
@@ -166,7 +168,8 @@ def leaked(
     hits = shingles(documents, doc_key, text, _both, bits, filter_bits)
 
     wanted = item_rows.select("cjk", "shingle").distinct()
-    hits = hits.join(wanted, ["cjk", "shingle"], "left_semi")
+    # the texts are read once; what is kept of them is written and used three times
+    hits = cut_lineage(hits.join(wanted, ["cjk", "shingle"], "left_semi"))
     rarity = hits.groupBy("cjk", "shingle").agg(F.count("*").alias("freq"))
 
     size = F.when(F.col("cjk"), cjk_window - CJK_SHINGLE + 1).otherwise(window - SHINGLE + 1)
