@@ -79,3 +79,74 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), key))
     score = F.col("s") if metric in ("ip", "cosine") else -F.col("s") + F.lit(0.0)
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", key, score.alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def centroids(vectors: DataFrame, cells: int, key: str = "vec_id", vector: str = "embedding", sample: int = 20_000, rounds: int = 12) -> np.ndarray:
+    """Cells of an inverted file, fitted by k-means on a bounded sample (the smallest key hashes)."""
+    rows = vectors.where(F.col(vector).isNotNull()).select(vector).orderBy(F.xxhash64(key), key).limit(sample).collect()
+    x = np.array([r[0] for r in rows], np.float64)
+    c = x[:: max(1, len(x) // cells)][:cells].copy()
+    for _ in range(rounds):
+        own = np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
+        for i in range(len(c)):
+            if (own == i).any():
+                c[i] = x[own == i].mean(axis=0)
+    return c
+
+
+def cell_index(vectors: DataFrame, cells: np.ndarray, copies: int = 1, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """VEC05, VEC06: every vector under its nearest cell (or its ``copies`` nearest): ``(cell, key, vector)``."""
+    shared = vectors.sparkSession.sparkContext.broadcast(cells)
+    source = vectors.where(F.col(vector).isNotNull()).select(key, vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.array(b.column(1).to_pylist(), np.float64)
+            near = np.argsort(-(x @ c.T - 0.5 * (c * c).sum(1)), axis=1)[:, :copies]
+            at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], names=["cell", key, vector])
+
+    return source.mapInArrow(run, f"cell int, {key} bigint, {vector} array<float>")
+
+
+def probed_topk(queries: DataFrame, index: DataFrame, cells: np.ndarray, nprobe: int, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The k best of each query among the vectors of its ``nprobe`` nearest cells, by inner product."""
+    probes = cell_index(queries, cells, nprobe, key, vector).select("cell", F.col(key).alias("query_id"), F.col(vector).alias("q"))
+    dot = F.aggregate(F.zip_with("q", vector, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    found = index.join(probes, "cell").select("query_id", key, F.round(dot, 6).alias("score")).distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return found.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+
+
+def late_interaction(queries: DataFrame, documents: DataFrame, group: str, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """RRK02: for each query token the best dot product among a document's tokens, summed over the query's tokens.
+
+    ``group`` names the query or document a token vector belongs to. A batch
+    keeps one maximum a query token and document; only those are shuffled.
+    """
+    spark = documents.sparkSession
+    of = {r[0]: r[1] for r in queries.select(key, group).collect()}  # a stated query set
+    out = None
+    source = documents.where(F.col(vector).isNotNull()).select(group, vector)
+    for ids, matrix in query_blocks(queries, key, vector):
+        shared = spark.sparkContext.broadcast((ids, matrix))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                groups = np.array(b.column(0).to_pylist())
+                s = q @ np.array(b.column(1).to_pylist(), np.float64).T
+                names = np.unique(groups)
+                best = np.stack([s[:, groups == g].max(axis=1) for g in names])
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(names))), pa.array(np.repeat(names, len(ids)).astype(np.int64)), pa.array(best.ravel())], names=["token", "document", "s"])
+
+        part = source.mapInArrow(run, "token bigint, document bigint, s double")
+        out = part if out is None else out.unionByName(part)
+    best = out.groupBy("token", "document").agg(F.max("s").alias("s"))
+    owner = spark.createDataFrame(list(of.items()), "token bigint, query bigint")
+    return best.join(owner, "token").groupBy("query", "document").agg(F.round(F.sum("s"), 5).alias("score"))
