@@ -144,11 +144,6 @@ def gra07(s, d):
     return both.withColumn("i", F.row_number().over(w)).where("i <= 5").select("query_id", "node_id", "score")
 
 
-@q("set01_lists", TOPIC + " SELECT query_id, count(*) AS n, count(DISTINCT node_id) AS different FROM x GROUP BY 1")
-def set01_lists(s, d):
-    return topic(s, d).groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("node_id").alias("different"))
-
-
 PATHS = f"""WITH {EDGES}, src AS (SELECT node_id FROM nodes WHERE label = 'Region' AND contains(name, 'A')),
 p1 AS (SELECT a AS source, b AS target, [a, b] AS nodes, [rel] AS rels, [edge] AS es FROM ways JOIN src ON a = node_id),
 p2 AS (SELECT source, b AS target, nodes || [b] AS nodes, rels || [rel] AS rels, es || [edge] AS es FROM p1 JOIN ways ON a = target WHERE NOT list_contains(es, edge)),

@@ -43,3 +43,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="strataquill-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, for what a query writes and reads again."""
+    import uuid
+
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        cut_lineage(spark.range(1))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
