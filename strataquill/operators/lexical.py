@@ -18,7 +18,7 @@ STOP_WORDS = "a an and are as at be by for from has in is it its of on or that t
 
 def words(text: Column, stop: Sequence[str] = ()) -> Column:
     """LEX01: runs of letters and digits in lower case, without stop words."""
-    found = F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), "")
+    found = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     return F.filter(found, lambda x: ~x.isin(list(stop))) if stop else found
 
 
@@ -32,19 +32,28 @@ def postings(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
     return rows.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_index(rows: DataFrame, key: str, tokens: Column, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+def bm25_index(rows: DataFrame, key: str, tokens: Column, wanted: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """LEX02: ``(key, term, weight)``; a term in most documents gets ``floor`` times the mean idf.
 
-    The number of documents and their mean length are one row, the mean idf
-    another; both are cross-joined as such.
+    Document frequencies come from each text's distinct tokens, so they shuffle
+    one row a term and partition, not one a document and term. With
+    ``wanted(term)`` other terms are dropped before term frequencies are
+    shuffled; the statistics still count all documents and terms. The number of
+    documents with their mean length and the mean idf are one row each and
+    cross-joined as such.
     """
-    sized = rows.select(key, tokens.alias("ts")).withColumn("dl", F.coalesce(F.size("ts"), F.lit(0)))
-    shape = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = sized.select(key, "dl", F.explode("ts").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(shape))
+    sized = rows.select(key, tokens.alias("ts"))
+    dl = F.coalesce(F.greatest(F.size("ts"), F.lit(0)), F.lit(0))
+    shape = sized.agg(F.count("*").alias("n"), F.avg(dl).alias("avgdl"))
+    df = sized.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(shape))
     idf = df.withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = idf.agg(F.avg("raw").alias("mean"))
     idf = idf.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    words = sized.select(key, dl.alias("dl"), F.explode("ts").alias("term"))
+    if wanted is not None:
+        only = wanted.select("term").distinct()
+        words, idf = words.join(only, "term", "left_semi"), idf.join(only, "term", "left_semi")
+    tf = words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return tf.join(idf, "term").select(key, "term", weight.alias("weight"))
 
@@ -54,9 +63,10 @@ def ranked(scores: DataFrame, query: str, key: str, k: int) -> DataFrame:
     return scores.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 
 
-def search(index: DataFrame, queries: DataFrame, query: str, key: str, tokens: Column, k: int) -> DataFrame:
-    """FIL13, VEC09: ``(query, key, score, rank)``; scores of 0 or less are dropped."""
-    wanted = postings(queries, query, tokens).withColumnRenamed("tf", "times")
+def search(rows: DataFrame, key: str, tokens: Column, queries: DataFrame, query: str, asked: Column, k: int) -> DataFrame:
+    """LEX02, FIL13: ``(query, key, score, rank)`` by BM25; scores of 0 or less are dropped."""
+    wanted = postings(queries, query, asked).withColumnRenamed("tf", "times")
+    index = bm25_index(rows, key, tokens, wanted)
     scores = index.join(wanted, "term").groupBy(query, key).agg(F.round(F.sum(F.col("weight") * F.col("times")), 6).alias("score"))
     return ranked(scores.where("score > 0"), query, key, k)
 
@@ -65,7 +75,7 @@ def tfidf(rows: DataFrame, key: str, tokens: Column, features: int = 10_000) ->
     """LEX04: unit vectors over one- and two-word terms; the most frequent ``features`` terms of the corpus."""
     two = F.when(F.size("ts") > 1, F.zip_with(F.slice("ts", F.lit(1), F.size("ts") - 1), F.slice("ts", F.lit(2), F.size("ts") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     terms = rows.select(key, tokens.alias("ts")).where("ts is not null").select(key, F.concat("ts", two).alias("ts"))
-    tf = terms.select(key, F.explode("ts").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = postings(terms, key, F.col("ts"))
     top = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(features)
     n = rows.agg(F.count("*").alias("n"))
     w = tf.join(top, "term").crossJoin(F.broadcast(n)).select(key, "term", (F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataquill.operators import evaluation, fusion, lexical, recovery, rerank, vectors
 from strataquill.plans.registry import Registry
-from strataquill.session import table
+from strataquill.session import table, text_table
 
 R = Registry()
 t = table
@@ -123,7 +123,7 @@ def queries(s, d):
 
 def bm25(s, d, k=20, tokens=None):
     of = lexical.words(F.col("text")) if tokens is None else tokens
-    return lexical.search(lexical.bm25_index(t(s, d, "documents"), "doc_id", of), queries(s, d), "query_id", "doc_id", of, k)
+    return lexical.search(text_table(s, d, "documents"), "doc_id", of, queries(s, d), "query_id", of, k)
 
 
 @q("lex01", f"SELECT doc_id, list_filter({WORDS.format('text')}, lambda x: x NOT IN ({', '.join(repr(w) for w in lexical.STOP_WORDS)})) AS tokens FROM documents WHERE text IS NOT NULL")
@@ -157,14 +157,14 @@ vectors AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))
 
 @q("lex04", f"WITH {TFIDF} SELECT doc_id, count(*) AS terms, round(max(weight), 5) AS most FROM vectors GROUP BY 1")
 def lex04(s, d):
-    v = lexical.tfidf(t(s, d, "documents"), "doc_id", lexical.words(F.col("text")))
+    v = lexical.tfidf(text_table(s, d, "documents"), "doc_id", lexical.words(F.col("text")))
     return v.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 5).alias("most"))
 
 
 @q("vec09", f"WITH {QUERIES}, {TFIDF}, qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({WORDS.format('text')}) AS term FROM queries) GROUP BY 1, 2), x AS (SELECT query_id, doc_id, round(sum(weight * times), 4) AS score FROM vectors JOIN qt USING (term) GROUP BY 1, 2) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0 QUALIFY rank <= 10")
 def vec09(s, d):
     """Sparse inner product through postings."""
-    v = lexical.tfidf(t(s, d, "documents"), "doc_id", lexical.words(F.col("text")))
+    v = lexical.tfidf(text_table(s, d, "documents"), "doc_id", lexical.words(F.col("text")))
     wanted = lexical.postings(queries(s, d), "query_id", lexical.words(F.col("text"))).withColumnRenamed("tf", "times")
     scores = v.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("times")), 4).alias("score"))
     return lexical.ranked(scores.where("score > 0"), "query_id", "doc_id", 10)
@@ -175,7 +175,7 @@ PREFIXES = "(SELECT DISTINCT query_id, substr(regexp_extract(lower(query), '([a-
 
 @q("lex05", f"WITH {QUERIES}, {bm25_sql(WORDS, 1)}, p AS {PREFIXES}, w AS (SELECT doc_id, term, idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) AS weight FROM tf JOIN idf USING (term), shape), x AS (SELECT query_id, doc_id, round(sum(weight) * 0.7, 6) AS score FROM w JOIN p ON starts_with(term, prefix) WHERE length(prefix) >= 2 GROUP BY 1, 2) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0 QUALIFY rank <= 5")
 def lex05(s, d):
-    index = lexical.bm25_index(t(s, d, "documents"), "doc_id", lexical.words(F.col("text")))
+    index = lexical.bm25_index(text_table(s, d, "documents"), "doc_id", lexical.words(F.col("text")))
     prefixes = t(s, d, "eval_items").select("query_id", F.substring(F.regexp_extract(F.lower("query"), r"([a-z]{5,})[^a-z]*$", 1), 1, 5).alias("prefix"))
     return lexical.prefix_search(index, prefixes, "query_id", "doc_id", "prefix", 5)
 
@@ -315,7 +315,7 @@ STAGES = BRANCHES + f", {GOLD}, fused AS (SELECT query_id, doc_id, round(sum(1.0
 
 def gold(s, d):
     """Documents that hold the beginning of an item's evidence."""
-    return evaluation.containing(queries(s, d), t(s, d, "documents").select("doc_id", "text"), 40)
+    return evaluation.containing(queries(s, d), text_table(s, d, "documents").select("doc_id", "text"), 40)
 
 
 def stages(s, d):

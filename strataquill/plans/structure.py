@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataquill.operators import chunking, hierarchy, markdown
 from strataquill.plans.registry import Registry
-from strataquill.session import table
+from strataquill.session import table, text_table
 
 R = Registry()
 
@@ -36,7 +36,7 @@ parents AS (
 
 
 def md(spark, sf_dir):
-    return table(spark, sf_dir, "document_md")
+    return text_table(spark, sf_dir, "document_md")
 
 
 def heads(spark, sf_dir):
