@@ -35,7 +35,7 @@ class _Reader(HTMLParser):
         self.text: list[str] = []
         self.kind, self.level = "paragraph", 0
         self.lists = 0
-        self.skip = 0
+        self.hidden, self.depth = "", 0
         self.open_tables: list[dict] = []
         self.cell: list[str] | None = None
 
@@ -48,10 +48,12 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag in HIDDEN or "hidden" in a and tag not in VOID:
-            self.skip += 1
-        elif self.skip and tag not in VOID:
-            self.skip += 0
+        if self.depth:
+            self.depth += tag == self.hidden
+            return
+        if tag not in VOID and (tag in HIDDEN or "hidden" in a):
+            self.hidden, self.depth = tag, 1
+            return
         if re.fullmatch("h[1-6]", tag):
             self.flush()
             self.kind, self.level = "heading", int(tag[1])
@@ -68,14 +70,13 @@ class _Reader(HTMLParser):
             self.flush()
             self.open_tables.append({"rows": -1, "taken": set(), "cells": [], "span": (1, 1), "head": False})
         elif tag == "tr" and self.open_tables:
+            self.close_cell()
             self.open_tables[-1]["rows"] += 1
         elif tag in ("td", "th") and self.open_tables:
             self.close_cell()
             number = lambda n: max(1, int(a[n])) if (a.get(n) or "").isdigit() else 1
             self.open_tables[-1].update(span=(number("rowspan"), number("colspan")), head=tag == "th")
             self.cell = []
-        elif tag == "a" and a.get("href") and not self.skip:
-            (self.cell if self.cell is not None else self.text).append("")
 
     def close_cell(self) -> None:
         if self.cell is None or not self.open_tables:
@@ -90,8 +91,9 @@ class _Reader(HTMLParser):
         self.cell = None
 
     def handle_endtag(self, tag):
-        if tag in HIDDEN and self.skip:
-            self.skip -= 1
+        if self.depth:
+            self.depth -= tag == self.hidden
+            return
         if re.fullmatch("h[1-6]", tag) or tag in ("p", "li", "div", "section", "article", "blockquote", "pre", "title"):
             if self.cell is None:
                 self.flush()
@@ -105,7 +107,7 @@ class _Reader(HTMLParser):
             self.tables.append(self.open_tables.pop()["cells"])
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.depth:
             (self.cell if self.cell is not None else self.text).append(data)
 
 
