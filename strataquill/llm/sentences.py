@@ -9,7 +9,7 @@ closing quotes.
 
 The classifier is trained on reliable boundaries only, from a bounded sample of
 texts (``sample_texts`` of at most ``SAMPLE_LENGTH`` code points each, those of
-the smallest key hash): yes for an end mark that a blank line follows, looked
+the smallest key hash) and a few ``SEEDS``: yes for an end mark that a blank line follows, looked
 at as if the next paragraph went on in the line; no where a lower-case word
 follows, where a title or unit of ``ABBREVIATIONS`` or an initial stands before
 a name or number, and where a script has an end mark of its own. Everything
@@ -288,9 +288,27 @@ def split(text: str, weights: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+#: Texts that every training gets besides its sample, so that few texts still teach each kind of boundary.
+SEEDS = (
+    "The pump was cold. The crew left.\n\nDr. Miller came at 4 p.m. The load was approx. 3 kN, i.e. less. See Fig. 3 for it.\n\nWedges, shims, etc.\n\nIt ended at 5 p.m.\n\nPart No. 5 broke! Why did it fail? Nobody knew.\n\nWait... did it move? It stopped… Then it went on.",
+    "They met Mr. Hall and Mrs. Grey of Hall & Co. in St. Ives. The note says “do not open.” in ink. The lid is shut.\n\n(The seal was not tested.) It held.\n\nLots 3 ff. were kept. E. Stone signed.",
+    "Das Teil wiegt ca. 5 kg. Am 3. Mai kam Dr. Kern, vgl. Abb. 3 auf S. 9.\n\nEs ist z. B. Stahl u. a. gelagert. Die Fa. Holm lieferte Keile usw. Die Welle steht still.\n\nWarum bricht sie? Niemand weiß es. Um 5.30 Uhr war Ende.",
+    "La pièce pèse env. 5 kg, p. ex. au chap. 3. M. Durand a dit : « Arrêtez. » à tous. Le lot est prêt.\n\nPourquoi ? Rien ne bouge. Voir fig. 4.",
+    "El Sr. Mora dijo: «Pare.» y se fue. La pieza pesa aprox. 5 kg. Véase la pág. 3.\n\n¿Por qué falla? ¡Nunca pare! El lote está listo.",
+    "Деталь весит ок. 5 кг, т. е. мало. Инж. Белов сказал: «Стоп.» и ушёл. См. рис. 3.\n\nВзяли клинья и т. д. Смена ушла.\n\nПочему? Не ясно.",
+    "检验完成。他说：“停机。”然后离开。停机！为什么？数值很高……但没有报警。\n\n更换后正常。「先冷却。」这一条写在门上。",
+    "焼なましの後に割れた。「停止。」と言った。値は高かった…が、警報は出なかった。\n\nなぜ止まったのか？交換した。",
+    'यह ठीक है। डॉ. राम ने कहा, "रुको।" और चले गए। चित्र सं. 8 देखें।\n\nसब ठीक। क्या हुआ?',
+    "操作员说：“等待。停机。”接着离开。组长说：“不行。”所以停下。「先测量。再清洗。」这条规定写在墙上。“好。”工人说。他问：“可以吗？”没有回答。",
+    "「待て。次に測る。」と班長が言った。「だめだ。」とだけ書いた。『先に洗う。』と規定にある。「なぜか？」と聞いた。",
+    "Prof. Lee and Mr. Dean left. Capt. Rowe met Rev. Shaw, and Sgt. Bell met Gen. Price. Ms. Cole saw Mrs. Dunn. Hr. Voss and Fr. Lang came. Mme. Roux met Mlle. Petit. Sra. Vega met Dra. Ruiz.",
+    "قال المورد: «توقف.» ثم غادر. انظر الشكل 3. تم الفحص.\n\nلماذا توقف؟ لا أحد يعرف.",
+)
+
+
 def fitted(documents: DataFrame, key: str, text: str, sample_texts: int) -> np.ndarray:
     rows = documents.where(F.length(text).between(1, SAMPLE_LENGTH)).select(key, text).orderBy(F.xxhash64(key), key).limit(sample_texts).collect()
-    return train([r[text] for r in rows])
+    return train([*SEEDS, *(r[text] for r in rows)])
 
 
 def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_texts: int = 3_000) -> DataFrame:
