@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataquill.llm import pieces
 from strataquill.plans.registry import Registry
-from strataquill.session import table
+from strataquill.session import table, text_table
 
 R = Registry()
 
@@ -23,7 +23,7 @@ texts AS (
 
 
 def _tables(spark, sf_dir):
-    return table(spark, sf_dir, "document_md"), table(spark, sf_dir, "section_nodes")
+    return text_table(spark, sf_dir, "document_md"), table(spark, sf_dir, "section_nodes")
 
 
 @R.query("p1_found", LENGTHS + "SELECT section_id FROM texts WHERE length(array_to_string(parts, chr(10))) > 3000")

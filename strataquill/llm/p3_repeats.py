@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataquill.llm import repeats
 from strataquill.plans.registry import Registry
-from strataquill.session import table
+from strataquill.session import table, text_table
 
 R = Registry()
 
@@ -30,7 +30,7 @@ often AS (
 
 
 def _lines(spark, sf_dir):
-    return repeats.publisher_lines(table(spark, sf_dir, "document_md"), table(spark, sf_dir, "quality_reports"), table(spark, sf_dir, "manifest"))
+    return repeats.publisher_lines(text_table(spark, sf_dir, "document_md"), table(spark, sf_dir, "quality_reports"), table(spark, sf_dir, "manifest"))
 
 
 @R.query("p3_found", PUBLISHED + "SELECT DISTINCT document_id, CAST(line_no AS INT) AS line_no FROM lined JOIN often USING (organization, category, key)")
@@ -50,4 +50,4 @@ def p3_clean(spark, sf_dir):
     """Every document without its publisher's repeated lines."""
     lines = _lines(spark, sf_dir)
     found = repeats.repeated_lines(lines, repeats.repeated_keys(lines))
-    return repeats.without_lines(table(spark, sf_dir, "document_md"), found)
+    return repeats.without_lines(text_table(spark, sf_dir, "document_md"), found)

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from strataquill.llm.leaks import leaked
 from strataquill.plans.registry import Registry
-from strataquill.session import table
+from strataquill.session import table, text_table
 
 R = Registry()
 
 
 @R.query("p7_found")
 def p7_found(spark, sf_dir):
-    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaked(text_table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 @R.query("p7_items")

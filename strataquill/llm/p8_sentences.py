@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from strataquill.llm.sentences import sentences
 from strataquill.plans.registry import Registry
-from strataquill.session import table
+from strataquill.session import text_table
 
 R = Registry()
 
 
 @R.query("p8_found")
 def p8_found(spark, sf_dir):
-    return sentences(table(spark, sf_dir, "documents"))
+    return sentences(text_table(spark, sf_dir, "documents"))
 
 
 @R.query("p8_texts")
 def p8_texts(spark, sf_dir):
     """Every sentence with its number and its text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     found = sentences(docs).withColumn("sentence_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("start_pos")) - 1)
     text = F.substring(F.col("text"), F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos"))
     return found.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "sentence_no", text.alias("sentence"))
