@@ -125,13 +125,25 @@ def own_spans(sections: DataFrame) -> DataFrame:
     rows = sections.where("section_id is not null and document_id is not null and source_start >= 0").select(
         "document_id", "section_id", "heading", "source_start", "source_end"
     ).distinct()
-    starts = rows.select("document_id", "source_start").distinct()
-    following = starts.withColumn("next", F.lead("source_start").over(Window.partitionBy("document_id").orderBy("source_start")))
-    return rows.join(following, ["document_id", "source_start"]).select(
+    return rows.join(following_starts(rows), ["document_id", "source_start"]).select(
         "document_id", "section_id", "heading", F.col("source_start").alias("first"), F.least("next", "source_end").alias("last")
     )
 
 
+def following_starts(rows: DataFrame, bucket: int = 4_096) -> DataFrame:
+    """``(document_id, source_start, next)``: the next larger start of the document.
+
+    Starts are compared within buckets of line numbers, which hold at most
+    ``bucket`` different starts, and the buckets' first starts among each other,
+    so a document with a third of all sections is not sorted in one task.
+    """
+    starts = rows.select("document_id", "source_start").distinct().withColumn("bucket", F.floor(F.col("source_start") / bucket))
+    firsts = starts.groupBy("document_id", "bucket").agg(F.min("source_start").alias("first"))
+    later = firsts.select("document_id", "bucket", F.lead("first").over(Window.partitionBy("document_id").orderBy("bucket")).alias("beyond"))
+    within = starts.withColumn("inside", F.lead("source_start").over(Window.partitionBy("document_id", "bucket").orderBy("source_start")))
+    return within.join(later, ["document_id", "bucket"]).select("document_id", "source_start", F.coalesce("inside", "beyond").alias("next"))
+
+
 def section_lengths(documents: DataFrame, sections: DataFrame, size: int = RANGE) -> DataFrame:
     """``(document_id, section_id, heading, begin, end, n_chars)`` of each section with own lines; offsets half open."""
     lines = line_table(documents, size)
