@@ -102,9 +102,10 @@ def str06(spark, sf_dir):
     return md(spark, sf_dir).where("markdown is not null").select("document_id", part.alias("p")).where("size(p) > 0").select("document_id", F.array_join("p", "\n").alias("text"))
 
 
-@R.query("str07")
+@R.query("str07", f"WITH {HEADS} SELECT h.document_id, h.level, h.start AS start_line FROM heads h JOIN document_md d USING (document_id) WHERE d.markdown IS NOT NULL")
 def str07(spark, sf_dir):
-    return markdown.headings(md(spark, sf_dir))
+    """Level and place of every parsed heading; section_nodes holds the same, but for odd characters in its texts."""
+    return markdown.headings(md(spark, sf_dir)).select("document_id", "level", "start_line")
 
 
 @R.query("str08")
@@ -132,9 +133,21 @@ def hie10(spark, sf_dir):
     return _ends(spark, sf_dir).select("section_id", "next_heading")
 
 
-@R.query("str10")
+TERMINAL = LINES + f""", {HEADS},
+n AS (SELECT h.document_id, h.section_id, h.level, h.start, len(d.parts) AS n_lines, d.parts, lead(h.start) OVER w AS next_start, lead(h.level) OVER w AS next_level
+  FROM heads h JOIN docs d USING (document_id) WINDOW w AS (PARTITION BY h.document_id ORDER BY h.start, h.section_id)),
+e AS (SELECT n.*, (SELECT min(x.start) FROM heads x WHERE x.document_id = n.document_id AND x.start > n.start AND x.level <= n.level) AS next_same FROM n),
+own AS (SELECT document_id, level, start + 1 AS start_line, CASE WHEN next_level > level THEN next_start ELSE coalesce(next_same, n_lines) END AS end_line, coalesce(next_level > level, false) AS preface, parts FROM e),
+lead AS (SELECT d.document_id, NULL::INT AS level, 0 AS start_line, coalesce(min(h.start), any_value(len(d.parts))) AS end_line, count(h.start) > 0 AS preface, any_value(d.parts) AS parts FROM docs d LEFT JOIN heads h USING (document_id) GROUP BY 1),
+terminal AS (SELECT document_id, level, start_line::INT AS start_line, end_line::INT AS end_line FROM (SELECT * FROM own UNION ALL SELECT * FROM lead)
+  WHERE NOT preface OR len(list_filter(list_slice(parts, start_line + 1, end_line), lambda x: regexp_matches(x, '\\S') AND NOT regexp_matches(x, '^\\s*<!-- PDF page ([1-9][0-9]*) -->\\s*$'))) > 0)
+"""
+
+
+@R.query("str10", TERMINAL + "SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY start_line) - 1 AS ordinal, level, start_line, end_line FROM terminal")
 def str10(spark, sf_dir):
-    return markdown.terminal_sections(md(spark, sf_dir)).drop("body")
+    rows = markdown.terminal_sections(md(spark, sf_dir))
+    return rows.select("document_id", F.col("ordinal").cast("bigint").alias("ordinal"), "level", "start_line", "end_line")
 
 
 @R.query("str11")
@@ -142,9 +155,9 @@ def str11(spark, sf_dir):
     return markdown.section_blocks(md(spark, sf_dir))
 
 
-@R.query("str12")
+@R.query("str12", TERMINAL + "SELECT document_id, level, start_line, start_line - 1 AS heading_line FROM terminal WHERE level IS NOT NULL")
 def str12(spark, sf_dir):
-    return markdown.owning_headings(md(spark, sf_dir))
+    return markdown.owning_headings(md(spark, sf_dir)).select("document_id", "level", "start_line", "heading_line")
 
 
 @R.query("chk01", "SELECT 768 AS chunk_size, 96 AS overlap_tokens, true AS valid")
@@ -202,9 +215,9 @@ def chk10(spark, sf_dir):
     return markdown.leaf_faults(markdown.leaves(md(spark, sf_dir)))
 
 
-@R.query("chk11")
+@R.query("chk11", TERMINAL + ", r AS (SELECT DISTINCT document_id FROM terminal WHERE level IS NULL) SELECT document_id, 'heading' AS kind, level, start AS start_line FROM heads JOIN docs USING (document_id) UNION ALL SELECT document_id, 'document_root', NULL, 0 FROM r")
 def chk11(spark, sf_dir):
-    return markdown.section_refs(md(spark, sf_dir))
+    return markdown.section_refs(md(spark, sf_dir)).select("document_id", "kind", "level", "start_line")
 
 
 @R.query("chk12", """
