@@ -15,8 +15,8 @@ R = Registry()
 t = table
 
 
-def q(name, sql=None):
-    return R.query(name, sql)
+def q(name, sql=None, **types):
+    return R.query(name, sql, **types)
 
 
 def items(s, d):

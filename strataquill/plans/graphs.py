@@ -13,8 +13,8 @@ R = Registry()
 t = table
 
 
-def q(name, sql=None):
-    return R.query(name, sql)
+def q(name, sql=None, **types):
+    return R.query(name, sql, **types)
 
 
 EDGES = """
@@ -111,7 +111,7 @@ def keys(s):
 ENTITY = f"WITH {EDGES}, {KEYS}, hit AS (SELECT query_id, node_id, name FROM keys JOIN nodes ON name = word), near AS (SELECT query_id, h.node_id, b, row_number() OVER (PARTITION BY query_id, h.node_id ORDER BY b) AS i FROM hit h JOIN ways w ON w.a = h.node_id)"
 
 
-@q("gra05", ENTITY + " SELECT query_id, node_id, 0.9 AS score, (SELECT list(b ORDER BY b) FROM near n WHERE n.query_id = h.query_id AND n.node_id = h.node_id AND i <= 2) AS near FROM hit h")
+@q("gra05", ENTITY + " SELECT query_id, node_id, 0.9 AS score, (SELECT list(b ORDER BY b) FROM near n WHERE n.query_id = h.query_id AND n.node_id = h.node_id AND i <= 2) AS near FROM hit h", score="DOUBLE")
 def gra05(s, d):
     """Entities by exact key, with up to two neighbours."""
     hit = nodes(s, d).join(keys(s).withColumnRenamed("word", "name"), "name").select("query_id", "node_id")
@@ -131,13 +131,13 @@ def topic(s, d):
     return of("IN", 0.95).unionByName(of("SUPPLIES", 0.85)).unionByName(loose)
 
 
-@q("gra06", TOPIC + " SELECT query_id, node_id, score FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 10")
+@q("gra06", TOPIC + " SELECT query_id, node_id, score FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 10", score="DOUBLE")
 def gra06(s, d):
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
     return topic(s, d).withColumn("i", F.row_number().over(w)).where("i <= 10").select("query_id", "node_id", "score")
 
 
-@q("gra07", TOPIC + f", hit AS (SELECT query_id, node_id FROM keys JOIN nodes ON name = word), u AS (SELECT query_id, node_id, max(score) AS score FROM (SELECT * FROM x UNION ALL SELECT query_id, node_id, 0.9 FROM hit) GROUP BY 1, 2) SELECT query_id, node_id, score FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 5")
+@q("gra07", TOPIC + f", hit AS (SELECT query_id, node_id FROM keys JOIN nodes ON name = word), u AS (SELECT query_id, node_id, max(score) AS score FROM (SELECT * FROM x UNION ALL SELECT query_id, node_id, 0.9 FROM hit) GROUP BY 1, 2) SELECT query_id, node_id, score FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 5", score="DOUBLE")
 def gra07(s, d):
     both = topic(s, d).unionByName(gra05(s, d).select("query_id", "node_id", "score")).groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")

@@ -15,8 +15,8 @@ R = Registry()
 t = table
 
 
-def q(name, sql=None):
-    return R.query(name, sql)
+def q(name, sql=None, **types):
+    return R.query(name, sql, **types)
 
 
 @q("src01", "SELECT document_id, markdown AS content FROM document_md WHERE markdown IS NOT NULL")
@@ -35,7 +35,7 @@ def src02(s, d):
     return files.canonical_corpus(s, root).agg(F.count("*").alias("n"))
 
 
-@q("src03", "SELECT document_id || '/document.md' AS relative_path, length(markdown) AS n FROM document_md WHERE markdown IS NOT NULL")
+@q("src03", "SELECT document_id || '/document.md' AS relative_path, length(markdown) AS n FROM document_md WHERE markdown IS NOT NULL", n="INT")
 def src03(s, d):
     root = scratch(s, "tree")
     sinks.write_canonical(t(s, d, "document_md"), f"{root}/deep")
@@ -74,7 +74,7 @@ def src08(s, d):
     return files.sheets(s, {"nation": f"{root}/nation", "region": f"{root}/region"}).select("sheet", "name")
 
 
-@q("src09", "SELECT length(markdown) AS n, count(*) AS texts FROM document_md WHERE markdown IS NOT NULL GROUP BY 1")
+@q("src09", "SELECT length(markdown) AS n, count(*) AS texts FROM document_md WHERE markdown IS NOT NULL GROUP BY 1", n="INT")
 def src09(s, d):
     root = scratch(s, "texts")
     sinks.write_canonical(t(s, d, "document_md"), root)
@@ -169,7 +169,7 @@ def src30(s, d):
     return formats.as_blocks(rows, "key", "html", formats.html_blocks).drop("key")
 
 
-@q("snk01", "SELECT document_id, length(markdown) AS n FROM document_md")
+@q("snk01", "SELECT document_id, length(markdown) AS n FROM document_md", n="INT")
 def snk01(s, d):
     """Published twice; a run that is too small in between isn't seen."""
     root = scratch(s, "published")

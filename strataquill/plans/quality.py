@@ -13,8 +13,8 @@ R = Registry()
 t = table
 
 
-def q(name, sql=None):
-    return R.query(name, sql)
+def q(name, sql=None, **types):
+    return R.query(name, sql, **types)
 
 
 CTRL = "[\\x{FFFD}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]"

@@ -14,8 +14,8 @@ R = Registry()
 t = table
 
 
-def q(name, sql):
-    return R.query(name, sql)
+def q(name, sql, **types):
+    return R.query(name, sql, **types)
 
 
 def r6(c):
@@ -33,7 +33,7 @@ def fil01(s, d):
 SCORED = "WITH scored AS (SELECT p_partkey, p_brand, p_size, p_retailprice, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part)"
 
 
-@q("fil02", SCORED + ", kept AS (SELECT * FROM scored WHERE rank <= 300 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') AND p_size IS NOT NULL) SELECT p_partkey, rank FROM kept ORDER BY rank LIMIT 100")
+@q("fil02", SCORED + ", kept AS (SELECT * FROM scored WHERE rank <= 300 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21') AND p_size IS NOT NULL) SELECT p_partkey, rank FROM kept ORDER BY rank LIMIT 100", rank="INT")
 def fil02(s, d):
     """Filter after a search that fetches three times as much, then cut."""
     ranked = t(s, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(300)
@@ -262,7 +262,7 @@ def agg04(s, d):
 
 
 @q("agg05", """SELECT lang, round(quantile_cont(length(text), 0.5), 6) AS p50, round(quantile_cont(length(text), 0.75), 6) AS p75, round(quantile_cont(length(text), 0.9), 6) AS p90,
-round(quantile_cont(length(text), 0.95), 6) AS p95, round(avg(length(text)), 6) AS mean, max(length(text)) AS most, count(text) AS n FROM documents GROUP BY 1""")
+round(quantile_cont(length(text), 0.95), 6) AS p95, round(avg(length(text)), 6) AS mean, max(length(text)) AS most, count(text) AS n FROM documents GROUP BY 1""", most="INT")
 def agg05(s, d):
     n = F.length("text")
     p = lambda x: r6(F.percentile(n, x))
@@ -282,7 +282,7 @@ def agg07(s, d):
 
 
 @q("agg08", """SELECT count(*) AS documents, count(CASE WHEN text IS NULL OR trim(text) = '' THEN 1 END) AS empty_texts, sum(length(text)) AS chars, count(DISTINCT source) AS sources,
-count(CASE WHEN n_chars <> length(text) THEN 1 END) AS wrong_lengths, count(*) - count(DISTINCT text) - count(CASE WHEN text IS NULL THEN 1 END) AS copies FROM documents""")
+count(CASE WHEN n_chars <> length(text) THEN 1 END) AS wrong_lengths, count(*) - count(DISTINCT text) - count(CASE WHEN text IS NULL THEN 1 END) AS copies FROM documents""", chars="BIGINT")
 def agg08(s, d):
     text = F.col("text")
     return t(s, d, "documents").agg(
@@ -399,7 +399,7 @@ CELLS = "cells AS (SELECT DISTINCT document_id, page_no, ordinal, source_ref, te
 
 @q("win05", f"""WITH {CELLS}, e AS (SELECT *, sum(CASE WHEN regexp_matches(p, '[.?!]$') THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_no ORDER BY ordinal, source_ref) AS run
   FROM (SELECT *, lag(text, 1, '') OVER (PARTITION BY document_id, page_no ORDER BY ordinal, source_ref) AS p FROM cells))
-SELECT document_id, page_no, run, string_agg(text, ' ' ORDER BY ordinal, source_ref) AS sentence FROM e GROUP BY 1, 2, 3""")
+SELECT document_id, page_no, run, string_agg(text, ' ' ORDER BY ordinal, source_ref) AS sentence FROM e GROUP BY 1, 2, 3""", run="BIGINT")
 def win05(s, d):
     """Items of a page merged up to an end mark."""
     w = Window.partitionBy("document_id", "page_no").orderBy("ordinal", "source_ref")
@@ -439,7 +439,7 @@ def win08(s, d):
 # --- sorts and limits ---------------------------------------------------------------------------------------------------------------
 
 
-@q("srt01", "SELECT doc_id, source, length(text) AS n FROM documents WHERE text IS NOT NULL ORDER BY n DESC, source, doc_id LIMIT 15")
+@q("srt01", "SELECT doc_id, source, length(text) AS n FROM documents WHERE text IS NOT NULL ORDER BY n DESC, source, doc_id LIMIT 15", n="INT")
 def srt01(s, d):
     return t(s, d, "documents").where("text is not null").select("doc_id", "source", F.length("text").alias("n")).orderBy(F.desc("n"), "source", "doc_id").limit(15)
 
@@ -481,7 +481,7 @@ def srt07(s, d):
     return rows.select("source_ref", F.row_number().over(w.orderBy(nulls("t"), nulls("l"), "source_ref")).cast("bigint").alias("top_left"), F.row_number().over(w.orderBy(nulls("l"), nulls("t"), "source_ref")).cast("bigint").alias("left_top"))
 
 
-@q("srt08", "SELECT source, arg_max(doc_id, (length(text), -doc_id)) AS doc_id, max(length(text)) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@q("srt08", "SELECT source, arg_max(doc_id, (length(text), -doc_id)) AS doc_id, max(length(text)) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1", n="INT")
 def srt08(s, d):
     return t(s, d, "documents").where("text is not null").groupBy("source").agg(F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("doc_id"), F.max(F.length("text")).alias("n"))
 

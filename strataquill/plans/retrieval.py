@@ -13,8 +13,8 @@ R = Registry()
 t = table
 
 
-def q(name, sql=None):
-    return R.query(name, sql)
+def q(name, sql=None, **types):
+    return R.query(name, sql, **types)
 
 
 def vecs(s, d):
@@ -241,7 +241,7 @@ def rrk01(s, d):
     return rerank.rerank(fused, queries(s, d), t(s, d, "documents").select("doc_id", "text"), 5)
 
 
-@q("rrk02", f"SELECT query, document, round(sum(best), 5) AS score FROM (SELECT q.vec_id, q.label AS query, v.label AS document, max({E}) AS best FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 GROUP BY 1, 2, 3) GROUP BY 1, 2")
+@q("rrk02", f"SELECT query, document, round(sum(best), 5) AS score FROM (SELECT q.vec_id, q.label AS query, v.label AS document, max({E}) AS best FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 GROUP BY 1, 2, 3) GROUP BY 1, 2", query="BIGINT", document="BIGINT")
 def rrk02(s, d):
     a, b = vecs(s, d)
     return vectors.late_interaction(a, b, "label")

@@ -83,7 +83,7 @@ def joi14(spark, sf_dir):
 
 @R.query("str05", ACTIVE + f""", {SPANS}
 SELECT s.document_id, s.section_id, s.first, s.last, coalesce(a.active, a.first_page) AS page_start, coalesce(b.active, b.first_page) AS page_end
-FROM spans s JOIN active a ON a.document_id = s.document_id AND a.line_no = s.first JOIN active b ON b.document_id = s.document_id AND b.line_no = s.last - 1""")
+FROM spans s JOIN active a ON a.document_id = s.document_id AND a.line_no = s.first JOIN active b ON b.document_id = s.document_id AND b.line_no = s.last - 1""", last="INT")
 def str05(spark, sf_dir):
     return markdown.span_pages(md(spark, sf_dir), spans(spark, sf_dir))
 
@@ -123,7 +123,7 @@ def _ends(spark, sf_dir):
     return hierarchy.section_ends(heads(spark, sf_dir), n)
 
 
-@R.query("str09", f"SELECT document_id, section_id, section_end FROM ({ENDS})")
+@R.query("str09", f"SELECT document_id, section_id, section_end FROM ({ENDS})", section_end="INT")
 def str09(spark, sf_dir):
     return _ends(spark, sf_dir).select("document_id", "section_id", "section_end")
 
@@ -165,7 +165,7 @@ def chk01(spark, sf_dir):
     return spark.createDataFrame([(*chunking.checked(768, 96), True)], "chunk_size int, overlap_tokens int, valid boolean")
 
 
-@R.query("chk02", "SELECT doc_id, coalesce(length(text), 0) AS tokens FROM documents")
+@R.query("chk02", "SELECT doc_id, coalesce(length(text), 0) AS tokens FROM documents", tokens="INT")
 def chk02(spark, sf_dir):
     return chunking.token_counts(table(spark, sf_dir, "documents"))
 
@@ -255,13 +255,13 @@ sents AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1
 
 
 @R.query("chk17", f"""WITH {SENTENCES}
-SELECT doc_id, pos, sentence, array_to_string(list(sentence) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), ' ') AS "window" FROM sents""")
+SELECT doc_id, pos, sentence, array_to_string(list(sentence) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), ' ') AS "window" FROM sents""", pos="INT")
 def chk17(spark, sf_dir):
     return chunking.sentence_windows(chunking.simple_sentences(table(spark, sf_dir, "documents")), 3)
 
 
 @R.query("win04", f"""WITH {SENTENCES}
-SELECT doc_id, pos, count(*) OVER w AS n, sum(length(sentence)) OVER w AS chars FROM sents WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
+SELECT doc_id, pos, count(*) OVER w AS n, sum(length(sentence)) OVER w AS chars FROM sents WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""", pos="INT", chars="BIGINT")
 def win04(spark, sf_dir):
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-3, 3)
     rows = chunking.simple_sentences(table(spark, sf_dir, "documents"))
@@ -269,7 +269,7 @@ def win04(spark, sf_dir):
 
 
 @R.query("rec06", f"""WITH {SENTENCES}
-SELECT doc_id, pos, array_to_string(list(sentence) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), ' ') AS context FROM sents QUALIFY contains(sentence, 'Torque')""")
+SELECT doc_id, pos, array_to_string(list(sentence) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), ' ') AS context FROM sents QUALIFY contains(sentence, 'Torque')""", pos="INT")
 def rec06(spark, sf_dir):
     """Sentences that match a search, each replaced by its window."""
     found = chunking.sentence_windows(chunking.simple_sentences(table(spark, sf_dir, "documents")), 3)
@@ -285,7 +285,7 @@ def chk18(spark, sf_dir):
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 d AS (SELECT vec_id, label, 1 - list_inner_product(e, lag(e) OVER (PARTITION BY label ORDER BY vec_id)) / sqrt(list_inner_product(e, e) * list_inner_product(lag(e) OVER (PARTITION BY label ORDER BY vec_id), lag(e) OVER (PARTITION BY label ORDER BY vec_id))) AS dist FROM v),
 p AS (SELECT label, quantile_cont(dist, 0.95) AS cut FROM d GROUP BY 1)
-SELECT d.label, d.vec_id, sum(CASE WHEN round(dist, 9) > round(cut, 9) THEN 1 ELSE 0 END) OVER (PARTITION BY d.label ORDER BY vec_id) AS chunk FROM d JOIN p USING (label)""")
+SELECT d.label, d.vec_id, sum(CASE WHEN round(dist, 9) > round(cut, 9) THEN 1 ELSE 0 END) OVER (PARTITION BY d.label ORDER BY vec_id) AS chunk FROM d JOIN p USING (label)""", chunk="BIGINT")
 def chk16(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("label"), F.col("vec_id"), "embedding")
     return chunking.semantic_breaks(rows, "label", "vec_id", "embedding", 0.95)
@@ -349,7 +349,7 @@ def hie08(spark, sf_dir):
 
 
 @R.query("hie09", f"""WITH {HEADS}, r AS (SELECT section_id, level, row_number() OVER (PARTITION BY level ORDER BY length(heading) DESC, section_id) AS rank FROM heads)
-SELECT section_id, level, rank FROM r WHERE rank <= 3 ORDER BY level, rank, section_id LIMIT 10""")
+SELECT section_id, level, rank FROM r WHERE rank <= 3 ORDER BY level, rank, section_id LIMIT 10""", rank="INT")
 def hie09(spark, sf_dir):
     return hierarchy.spot_checks(heads(spark, sf_dir))
 
@@ -359,12 +359,12 @@ d AS (SELECT document_id, section_id, level, number, len(string_split(number, '.
 i AS (SELECT section_id, number, depth, dense_rank() OVER (PARTITION BY document_id ORDER BY depth) AS inferred_level FROM d)"""
 
 
-@R.query("hie12", NUMBERED + "SELECT section_id, number, depth, inferred_level FROM i")
+@R.query("hie12", NUMBERED + "SELECT section_id, number, depth, inferred_level FROM i", depth="INT", inferred_level="INT")
 def hie12(spark, sf_dir):
     return hierarchy.numbered_levels(heads(spark, sf_dir))
 
 
-@R.query("hie11", NUMBERED + "SELECT h.section_id, least(6, greatest(1, coalesce(i.inferred_level, h.level))) AS level FROM heads h LEFT JOIN i USING (section_id)")
+@R.query("hie11", NUMBERED + "SELECT h.section_id, least(6, greatest(1, coalesce(i.inferred_level, h.level))) AS level FROM heads h LEFT JOIN i USING (section_id)", level="INT")
 def hie11(spark, sf_dir):
     return hierarchy.merged_levels(heads(spark, sf_dir))
 
