@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataquill.operators import hierarchy
+from strataquill.operators import hierarchy, relational
 
 
 def within_budget(sections: DataFrame, budget: int, policy: str = "nearest") -> DataFrame:
@@ -22,7 +22,7 @@ def within_budget(sections: DataFrame, budget: int, policy: str = "nearest") ->
 def by_parent(sections: DataFrame) -> DataFrame:
     """REC02: hits grouped by parent, with the best rank and the number of hits."""
     heads = hierarchy.heading_rows(sections)
-    ranks = heads.select("section_id", F.row_number().over(Window.orderBy(F.desc(F.length("heading")), "section_id")).cast("bigint").alias("rank"))
+    ranks = relational.global_rank(heads, F.desc(F.length("heading")), F.col("section_id")).select("section_id", "rank")
     links = hierarchy.heading_parents(heads).where("parent_id is not null").select("section_id", "parent_id")
     return ranks.join(links, "section_id").groupBy("parent_id").agg(F.min("rank").alias("first_rank"), F.count("*").alias("hits"))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataquill.session import cut_lineage
+
 
 def registry(documents: DataFrame, reports: DataFrame, manifest: DataFrame) -> DataFrame:
     """JOI01, PRJ01: each document with title and source: its URL, else its path.
@@ -44,6 +46,20 @@ def top_k(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def global_rank(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """Position of every row in one order over all rows, from 1, without one task sorting them all.
+
+    Rows are split by ranges of the order and written; each range is ranked by
+    itself and shifted by the number of rows before it, of which there is one
+    number a range. The order must break ties.
+    """
+    split = cut_lineage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = split.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return split.join(F.broadcast(before), "_range").withColumn(name, own + F.col("_before")).drop("_range", "_before")
+
+
 def sort_by_instruction(rows: DataFrame, instruction: dict[str, str], allowed: Sequence[str], tie: str) -> DataFrame:
     """SRT03: first row after sorting by an instruction of a field and a direction, both validated."""
     field, direction = instruction["field"], instruction.get("direction", "asc")

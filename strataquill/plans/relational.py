@@ -318,14 +318,14 @@ HITS = "hits AS (SELECT document_id, page_no, source_ref, row_number() OVER (ORD
 @q("agg17", f"WITH {HITS} SELECT document_id, count(*) AS hits, min(rank) AS first_rank FROM hits GROUP BY 1")
 def agg17(s, d):
     rows = t(s, d, "source_cells").where(F.col("text").contains("spindle")).select("document_id", "page_no", "source_ref", "text").distinct()
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.length("text")), "source_ref")))
+    ranked = op.global_rank(rows, F.desc(F.length("text")), F.col("source_ref"))
     return ranked.groupBy("document_id").agg(F.count("*").alias("hits"), F.min("rank").cast("bigint").alias("first_rank"))
 
 
 @q("rec05", f"WITH {HITS}, p AS (SELECT document_id, count(*) AS hits, min(rank) AS first_rank FROM hits GROUP BY 1) SELECT document_id, row_number() OVER (ORDER BY hits DESC, first_rank) AS position FROM p")
 def rec05(s, d):
     parents = agg17(s, d)
-    return parents.select("document_id", F.row_number().over(Window.orderBy(F.desc("hits"), "first_rank")).cast("bigint").alias("position"))
+    return op.global_rank(parents, F.desc("hits"), F.col("first_rank"), name="position").select("document_id", "position")
 
 
 @q("agg18", "SELECT count(*) AS n, round(avg(length(text)), 6) AS mean_length, round(avg(n_chars), 6) AS mean_stated FROM documents WHERE text IS NOT NULL")

@@ -108,3 +108,11 @@ def test_stages(spark):
     df = spark.createDataFrame([("d", "<!-- PDF page 1 -->\n# T\n\nx\n<!-- PDF page 2 -->\n"), ("n", None)], "k string, t string")
     assert [(r["label"], r["start"]) for r in models.run_stage(df, "k", "t", "pages").collect()] == [("page", 1), ("page", 2)]
     assert [r["end"] for r in models.run_stage(spark.createDataFrame([("d", "One two. Three.")], "k string, t string"), "k", "t", "speech").collect()] == [800, 1200]
+
+
+def test_global_rank(spark):
+    df = spark.range(0, 5_000, 1, 7).withColumn("x", F.col("id") % 10)
+    got = [(r["x"], r["id"]) for r in relational.global_rank(df, F.desc("x"), F.col("id")).orderBy("rank").collect()]
+    assert got == sorted(((i % 10, i) for i in range(5_000)), key=lambda v: (-v[0], v[1]))
+    assert relational.global_rank(df, F.col("id")).agg(F.max("rank")).first()[0] == 5_000
+    assert relational.global_rank(df.where("false"), F.col("id")).count() == 0
