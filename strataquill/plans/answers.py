@@ -142,9 +142,15 @@ def t2s04(s, d):
     return op.answer_by_sql(s, broken, lambda q, _: q.replace("askd", "asked"))
 
 
-@q("t2s05", f"WITH {KB} SELECT kind, count(*) AS n, string_agg(content, chr(10) ORDER BY content) AS context FROM kb WHERE content IS NOT NULL GROUP BY 1")
+T2S_HITS = f"WITH {BASE}, a AS (SELECT query_id, unnest({T2S_WORDS.format('query')}) AS word FROM i), b AS (SELECT id AS example_id, unnest({T2S_WORDS.format('title')}) AS word FROM (SELECT DISTINCT id, title FROM manifest WHERE title IS NOT NULL)), x AS (SELECT query_id, example_id, count(*)::DOUBLE AS score FROM a JOIN b USING (word) GROUP BY 1, 2), h AS (SELECT query_id, example_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, example_id) AS rank FROM x QUALIFY rank <= 3)"
+
+
+@q("t2s05", T2S_HITS + ", m AS (SELECT id, min(title) AS title FROM manifest WHERE title IS NOT NULL GROUP BY 1) SELECT query_id, count(*) AS n, string_agg(title, chr(10) ORDER BY rank) AS context FROM h JOIN m ON id = example_id GROUP BY 1")
 def t2s05(s, d):
-    return knowledge(s, d).where("content is not null").groupBy("kind").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("content")), "\n").alias("context"))
+    """The prompt context: what the search found for each question, in rank order."""
+    titles = t(s, d, "manifest").where("title is not null").groupBy(F.col("id").alias("example_id")).agg(F.min("title").alias("title"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"])
+    return t2s02(s, d).join(titles, "example_id").groupBy("query_id").agg(F.count("*").alias("n"), F.array_join(ordered, "\n").alias("context"))
 
 
 @q("src13", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 5000")
