@@ -194,7 +194,7 @@ def gra11(s, d):
 
 @q("gra13", f"WITH {EDGES}, w AS (SELECT DISTINCT a, b FROM ways), d0 AS (SELECT 'r0' AS node), d1 AS (SELECT DISTINCT b AS node FROM w JOIN d0 ON a = node EXCEPT SELECT node FROM d0), d2 AS (SELECT DISTINCT b AS node FROM w JOIN d1 ON a = node EXCEPT (SELECT node FROM d1 UNION SELECT node FROM d0)) SELECT node, 0 AS distance FROM d0 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2")
 def gra13(s, d):
-    """Breadth-first distances, where the reference has stubs."""
+    """Breadth-first distances from one node."""
     return graph.shortest(edges(s, d), s.createDataFrame([("r0",)], "node_id string"), 2).select("node", "distance")
 
 
