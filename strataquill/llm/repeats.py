@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataquill.session import cut_lineage
+
 OUTER = r"(?U)^\s+|\s+$"
 
 
@@ -54,9 +56,13 @@ def _digest(text: Column, min_letters: int) -> Column:
 
 
 def publisher_lines(documents: DataFrame, reports: DataFrame, manifest: DataFrame, min_letters: int = 15) -> DataFrame:
-    """``(document_id, organization, category, keys, loaded_at)``: the digests of each document's lines."""
+    """``(document_id, organization, category, keys, loaded_at)``: the digests of each document's lines.
+
+    They are written once, 16 bytes a line, since counting and marking both read
+    them and the texts need not be read twice.
+    """
     docs = documents.where("markdown is not null").select("document_id", "loaded_at", line_keys(F.col("markdown"), min_letters).alias("keys"))
-    return docs.join(publishers(reports, manifest), "document_id")
+    return cut_lineage(docs.join(publishers(reports, manifest), "document_id"))
 
 
 def repeated_keys(lines: DataFrame, min_docs: int = 3, min_share: float = 0.25, min_clusters: int = 1) -> DataFrame:
