@@ -81,21 +81,40 @@ SCAN = re.compile(
 )
 
 
-def matching(text: str, at: int, opens: str, closes: str, limit: int = 20_000) -> int:
-    """End of the balanced group that begins at ``at``; -1 where it isn't closed."""
-    depth, i, end = 0, at, min(len(text), at + limit)
-    while i < end:
-        if text.startswith(opens, i):
-            depth += 1
-            i += len(opens)
-        elif text.startswith(closes, i):
-            depth -= 1
-            i += len(closes)
-            if not depth:
-                return i
+def partners(text: str, opens: str, closes: str) -> dict[int, int]:
+    """End of every balanced group by its start, in one pass; brackets balance within a line, what isn't closed is left out."""
+    n = len(opens)
+    # doubled marks count from the inner end of a run
+    marks = re.compile(rf"{re.escape(opens[0])}{{{n},}}|{re.escape(closes[0])}{{{n},}}" + (r"|\n" if opens == "[" else ""))
+    ends: dict[int, int] = {}
+    stack: list[int] = []
+    for m in marks.finditer(text):
+        start, end = m.span()
+        if text[start] == opens[0]:
+            stack.extend(range(end - (end - start) // n * n, end, n))
+        elif text[start] == closes[0]:
+            for at in range(start + n, end + 1, n):
+                if not stack:
+                    break
+                ends[stack.pop()] = at
         else:
-            i += 1
-    return -1
+            stack.clear()
+    return ends
+
+
+class Groups:
+    """Partners of the marks of one text, found when first asked for."""
+
+    PAIRS = {"{{": "}}", "{": "}", "[": "]"}
+
+    def __init__(self, text: str) -> None:
+        self.text, self.found = text, {}
+
+    def end(self, at: int, opens: str) -> int:
+        """End of the balanced group that begins at ``at``; -1 where it isn't closed."""
+        if opens not in self.found:
+            self.found[opens] = partners(self.text, opens, self.PAIRS[opens])
+        return self.found[opens].get(at, -1)
 
 
 def code_spans(text: str) -> list[tuple[int, int]]:
@@ -113,11 +132,12 @@ def code_spans(text: str) -> list[tuple[int, int]]:
     return sorted(spans)
 
 
-def command_end(text: str, at: int) -> int:
+def command_end(groups: Groups, at: int) -> int:
     """End of a command's bracket and brace groups."""
+    text = groups.text
     while at < len(text) and text[at] in "{[":
-        end = matching(text, at, text[at], "}" if text[at] == "{" else "]")
-        if end < 0 or (text[at] == "[" and "\n" in text[at:end]):
+        end = groups.end(at, text[at])
+        if end < 0:
             break
         at = end
     return at
@@ -125,7 +145,7 @@ def command_end(text: str, at: int) -> int:
 
 def constructs(text: str) -> Iterator[tuple[int, int, str, str]]:
     """``(start, end, kind, name)`` of foreign markup, outermost, in order."""
-    spans, k, at = code_spans(text), 0, 0
+    spans, k, at, pairs = code_spans(text), 0, 0, Groups(text)
     while m := SCAN.search(text, at):
         start, end, kind = m.start(), m.end(), m.lastgroup
         while k < len(spans) and spans[k][1] <= start:
@@ -154,9 +174,10 @@ def constructs(text: str) -> Iterator[tuple[int, int, str, str]]:
             if html.unescape(groups["entity"]) == groups["entity"]:
                 continue
         elif kind == "template":
-            end = matching(text, start, "{{", "}}")
+            end = pairs.end(start, "{{")
             if end < 0:
-                end = text.find("\n", start) if "\n" in text[start:] else len(text)
+                end = text.find("\n", start)
+                end = len(text) if end < 0 else end
             name, at = re.match(r"\{\{\s*([^\s|{}]*)", text[start:end]).group(1).lower(), end
         elif kind == "wlink":
             inner = groups["wlink"][2:-2]
@@ -169,7 +190,7 @@ def constructs(text: str) -> Iterator[tuple[int, int, str, str]]:
             before = text[start - 1 : start]
             if (before.isalnum() or before in (":", "\\", "/")) and before and text[end : end + 1] not in ("{", "["):
                 continue
-            end = at = command_end(text, end)
+            end = at = command_end(pairs, end)
         yield start, end, kind, name
 
 
@@ -210,7 +231,8 @@ def running_text(text: str, start: int, end: int, kind: str) -> float:
         return 0.0
     if kind in ("entity", "quotes", "whead", "tag", "table", "wtable"):
         return 1.0
-    bare = re.sub(r"<[^<>]*>|\\[A-Za-z]+\*?|https?:\S+|[A-Za-z]+:[\w.-]+\.\w+|\w+\s*=|[{}\[\]|&]", " ", whole)
+    # words are tried from their first letter only, so that a long run costs one look
+    bare = re.sub(r"<[^<>]*>|\\[A-Za-z]++(?:\w++\s*+=|\*?)|https?:\S+|(?<![A-Za-z])[A-Za-z]++:[\w.-]+\.\w+|(?<!\w)\w++\s*+=|[{}\[\]|&]", " ", whole)
     return min(1.0, sum(ch.isalnum() for ch in bare) / max(1, sum(not ch.isspace() for ch in whole)))
 
 
@@ -237,10 +259,10 @@ def pipe_table(rows: list[list[str]]) -> str:
 
 def groups_of(source: str) -> list[str]:
     """The brace arguments of a command."""
-    out, at = [], 0
+    out, at, pairs = [], 0, Groups(source)
     while at < len(source):
         if source[at] in "{[":
-            end = matching(source, at, source[at], "}" if source[at] == "{" else "]")
+            end = pairs.end(at, source[at])
             if end < 0:
                 break
             if source[at] == "{":

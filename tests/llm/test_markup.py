@@ -31,6 +31,24 @@ def test_markup(text, expected):
     assert lines(text) == expected
 
 
+def test_long_groups_are_whole():
+    box = "{{Infobox\n" + "".join(f"| k{i} = value {i}\n" for i in range(2_000)) + "}}"
+    assert len(box) > 20_000 and lines(box + "\nplain") == list(range(2_002))
+    note = "\\footnote{" + "word word\n" * 3_000 + "}"
+    assert lines(note + "\nplain") == list(range(3_001))
+    assert "}" not in M.extract(box + note, lambda p: True)[0]
+
+
+def test_unclosed_groups_end_at_their_line():
+    assert lines("{{a\n" * 3 + "x") == [0, 1, 2] and lines("\\emph{a\nb") == [0] and lines("\\item[a\nb]") == [0]
+    assert lines("{{a {{b}}\nx\n{{{c}}}\ny") == [0, 2]
+    assert list(M.constructs("{{a\n" * 40_000))[-1][0] == 4 * 39_999
+
+
+def test_running_text_of_long_runs():
+    assert M.running_text("{{T|" + "x" * 300_000 + "}}", 0, 300_006, "template") > 0.9
+
+
 def test_page_markers_inside_are_no_cases():
     assert lines("{{T\n<!-- PDF page 2 -->\n}}") == [0, 2]
 
