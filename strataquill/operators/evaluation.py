@@ -9,17 +9,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquill.functions.search import holding
 
+#: White space of Unicode, for Java's and for RE2's regular expressions.
+BLANKS = r"[\s\x{0B}\x{85}\p{Z}]+"
+
 
 def containing(queries: DataFrame, documents: DataFrame, head: int) -> DataFrame:
     """Documents that hold the first ``head`` code points of a query; the query set is stated and bounded."""
     return holding(documents, "doc_id", "text", [(r[0], r[1]) for r in queries.select("query_id", F.substring("text", 1, head)).where("length(text) > 0").collect()])
 
 
+def spaced(text: str) -> Column:
+    """A text with single blanks for runs of white space, none outside."""
+    return F.trim(F.regexp_replace(text, BLANKS, " "))
+
+
+def containing_whole(queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """Documents that hold the whole text of a query, white space normalised on both sides; the query set is stated and bounded."""
+    needles = queries.select("query_id", spaced("text").alias("text")).where("length(text) > 0").collect()
+    return holding(documents.select("doc_id", spaced("text").alias("text")), "doc_id", "text", [(r[0], r[1]) for r in needles])
+
+
 def recall_at(stages: DataFrame, gold: DataFrame, ks: Sequence[int] = (5, 10, 20)) -> DataFrame:
     """EVA01: mean share of a query's gold within the first k."""
     n = gold.groupBy("query_id").agg(F.count("*").alias("n"))

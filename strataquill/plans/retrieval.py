@@ -373,3 +373,49 @@ def eva07(s, d):
 @q("eva08", STAGES + ", h AS (SELECT stage, query_id, rank, (g.doc_id IS NOT NULL)::INT AS hit FROM (SELECT * FROM stages WHERE rank <= 5 AND query_id IN (SELECT query_id FROM gold)) s LEFT JOIN gold g USING (query_id, doc_id)), c AS (SELECT *, sum(hit) OVER (PARTITION BY stage, query_id ORDER BY rank) AS upto FROM h) SELECT stage, round(avg(p), 6) AS precision_at_5, round(avg(ap), 6) AS map FROM (SELECT stage, query_id, sum(hit) / 5.0 AS p, coalesce(sum(hit * upto / rank) / nullif(sum(hit), 0), 0) AS ap FROM c GROUP BY 1, 2) GROUP BY 1")
 def eva08(s, d):
     return evaluation.precision_map(stages(s, d), gold(s, d), 5)
+
+
+# --- evaluation against whole passages ------------------------------------------------------------------------------------------------
+
+GOLD_WHOLE = "gold AS (SELECT query_id, doc_id FROM (SELECT query_id, trim(regexp_replace(text, '{0}', ' ', 'g')) AS text FROM queries) q JOIN (SELECT doc_id, trim(regexp_replace(text, '{0}', ' ', 'g')) AS text FROM documents) d ON q.text <> '' AND contains(d.text, q.text))".replace("{0}", evaluation.BLANKS)
+
+
+def whole_sql(name):
+    return R.sql[name].replace(GOLD, GOLD_WHOLE)
+
+
+def gold_whole(s, d):
+    """Documents that hold the whole evidence of an item, white space normalised."""
+    return evaluation.containing_whole(queries(s, d), text_table(s, d, "documents"))
+
+
+@q("eva01_whole", whole_sql("eva01"))
+def eva01_whole(s, d):
+    return evaluation.recall_at(stages(s, d), gold_whole(s, d))
+
+
+@q("eva02_whole", whole_sql("eva02"))
+def eva02_whole(s, d):
+    return evaluation.mrr(stages(s, d), gold_whole(s, d))
+
+
+@q("eva04_whole", whole_sql("eva04"))
+def eva04_whole(s, d):
+    g = gold_whole(s, d).withColumn("hit", F.lit(1))
+    return bm25(s, d, 5).join(g, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("hit").alias("recovered"), F.count("*").alias("shown"))
+
+
+@q("eva05_whole", whole_sql("eva05"))
+def eva05_whole(s, d):
+    return evaluation.loss_stage(stages(s, d), gold_whole(s, d), ["words", "spaced", "fused"], 5)
+
+
+@q("eva06_whole", whole_sql("eva06"))
+def eva06_whole(s, d):
+    kinds = t(s, d, "eval_items").select(F.col("gold_group_id").alias("query_id"), "variant_type").distinct()
+    return evaluation.mrr(stages(s, d), gold_whole(s, d), kinds, ["variant_type"])
+
+
+@q("eva08_whole", whole_sql("eva08"))
+def eva08_whole(s, d):
+    return evaluation.precision_map(stages(s, d), gold_whole(s, d), 5)

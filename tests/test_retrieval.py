@@ -116,3 +116,16 @@ def test_global_rank(spark):
     assert got == sorted(((i % 10, i) for i in range(5_000)), key=lambda v: (-v[0], v[1]))
     assert relational.global_rank(df, F.col("id")).agg(F.max("rank")).first()[0] == 5_000
     assert relational.global_rank(df.where("false"), F.col("id")).count() == 0
+
+
+def test_gold_is_the_whole_passage(spark):
+    """Only the documents that hold all of it, however it is wrapped."""
+    from strataquill.operators import evaluation
+
+    passage = "The log of Keslunto names valve E8048 as the cause, since it leaked."
+    asked = spark.createDataFrame([("q", passage), ("blank", " \n")], "query_id string, text string")
+    texts = [passage, "x " + passage.replace("log of", "log\r\n  of").replace("names ", "names\u00a0") + " y", passage[:60] + " was worn.", "", None]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in evaluation.containing_whole(asked, documents).collect()) == [("q", 0), ("q", 1)]
+    # the beginning alone decides otherwise on both
+    assert sorted(r[1] for r in evaluation.containing(asked.where("query_id = 'q'"), documents, 40).collect()) == [0, 2]
