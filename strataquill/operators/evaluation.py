@@ -62,6 +62,14 @@ def coverage(pieces: DataFrame, key: Sequence[str], theta: float) -> DataFrame:
     return sums.select(*key, F.round(F.col("covered") / (F.col("b") - F.col("a")), 6).alias("coverage"), (F.col("covered") >= theta * (F.col("b") - F.col("a"))).alias("hit"))
 
 
+def coverage_hits(rankings: DataFrame, gold: DataFrame, theta: float = 0.8, k: int = 5) -> DataFrame:
+    """EVA03, EVA04: union coverage of gold ``(query_id, source_document, a, b)`` by the first k spans ``(query_id, source_document, rank, x, y)`` of the same source; 0 where there are none."""
+    key = ["query_id", "source_document", "a", "b"]
+    near = rankings.where(F.col("rank") <= k).select("query_id", "source_document", "x", "y")
+    covered = coverage(near.join(gold, ["query_id", "source_document"]), key, theta)
+    return gold.join(covered, key, "left").select(*key, F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
 def loss_stage(stages: DataFrame, gold: DataFrame, order: Sequence[str], k: int) -> DataFrame:
     """EVA05: the first stage within whose first k a gold document doesn't stand."""
     seen = gold.join(stages.where(F.col("rank") <= k), ["query_id", "doc_id"], "left").groupBy("query_id", "doc_id").agg(F.collect_set("stage").alias("at"))

@@ -157,3 +157,23 @@ def section_refs(documents: DataFrame) -> DataFrame:
         return refs
 
     return _parsed(documents, "section_id string, kind string, level int, heading string, start_line int, end_line int", [TEXT, TEXT, INT, TEXT, INT, INT], rows)
+
+
+def section_spans(documents: DataFrame) -> DataFrame:
+    """Sections as code point spans: own text [x, y) up to the next heading, with its subsections [x, whole)."""
+    def rows(d: str, t: str) -> list[tuple]:
+        heads = [(b.level, b.start) for b in M.blocks(t) if b.kind == "heading"]
+        starts = [0]
+        for line in t.split("\n"):
+            starts.append(starts[-1] + len(line) + 1)
+        starts[-1] = len(t)
+        ends, stack = [len(t)] * len(heads), []
+        for i, (level, line) in enumerate(heads):
+            while stack and heads[stack[-1]][0] >= level:
+                ends[stack.pop()] = starts[line]
+            stack.append(i)
+        at = [starts[line] for _, line in heads] + [len(t)]
+        out = [(f"{d}#{x}", x, y, whole, t[x:y]) for x, y, whole in zip(at, at[1:], ends)]
+        return out if not at[0] else [(f"{d}#lead", 0, at[0], at[0], t[: at[0]]), *out]
+
+    return _parsed(documents, "span_id string, x int, y int, whole int, content string", [TEXT, INT, INT, INT, TEXT], rows)

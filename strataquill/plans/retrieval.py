@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strataquill.operators import evaluation, fusion, lexical, recovery, rerank, vectors
+from strataquill.operators import evaluation, fusion, lexical, markdown, recovery, rerank, vectors
 from strataquill.plans.registry import Registry
 from strataquill.session import table, text_table
 
@@ -419,3 +419,25 @@ def eva06_whole(s, d):
 @q("eva08_whole", whole_sql("eva08"))
 def eva08_whole(s, d):
     return evaluation.precision_map(stages(s, d), gold_whole(s, d), 5)
+
+
+def span_coverage(s, d, end):
+    """Coverage of the gold spans by the five best sections of each query."""
+    spans = markdown.section_spans(text_table(s, d, "document_md"))
+    of = lexical.words(F.col("text"))
+    found = lexical.search(spans.select("span_id", F.col("content").alias("text")), "span_id", of, queries(s, d), "query_id", of, 5)
+    rankings = found.join(spans.select("span_id", F.col("document_id").alias("source_document"), "x", F.col(end).alias("y")), "span_id")
+    gold_spans = t(s, d, "eval_items").where("offset_end > offset_start").select(F.col("gold_group_id").alias("query_id"), "source_document", F.col("offset_start").alias("a"), F.col("offset_end").alias("b")).distinct()
+    return evaluation.coverage_hits(rankings, gold_spans)
+
+
+@q("eva03_retrieved")
+def eva03_retrieved(s, d):
+    """By the retrieved sections' own text."""
+    return span_coverage(s, d, "y")
+
+
+@q("eva04_recovered")
+def eva04_recovered(s, d):
+    """By what is recovered of them: the sections with their subsections."""
+    return span_coverage(s, d, "whole")

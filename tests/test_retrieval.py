@@ -129,3 +129,20 @@ def test_gold_is_the_whole_passage(spark):
     assert sorted(tuple(r) for r in evaluation.containing_whole(asked, documents).collect()) == [("q", 0), ("q", 1)]
     # the beginning alone decides otherwise on both
     assert sorted(r[1] for r in evaluation.containing(asked.where("query_id = 'q'"), documents, 40).collect()) == [0, 2]
+
+
+def test_coverage_follows_the_ranking(spark):
+    gold = spark.createDataFrame([("q", "d", 10, 110), ("r", "d", 0, 50)], "query_id string, source_document string, a bigint, b bigint")
+    ranked = [("q", "d", 1, 0, 60), ("q", "d", 2, 50, 95), ("q", "e", 3, 0, 500), ("q", "d", 6, 0, 500), ("r", "e", 1, 0, 50)]
+    rankings = spark.createDataFrame(ranked, "query_id string, source_document string, rank bigint, x int, y int")
+    got = {r["query_id"]: (r["coverage"], r["hit"]) for r in evaluation.coverage_hits(rankings, gold).collect()}
+    assert got == {"q": (0.85, True), "r": (0.0, False)}
+
+
+def test_section_spans(spark):
+    from strataquill.operators import markdown
+
+    text = "lead\n# A\nx\n## B\nyé\n# C\nz"
+    rows = markdown.section_spans(spark.createDataFrame([("d", text)], "document_id string, markdown string")).orderBy("x").collect()
+    assert [text[r["x"] : r["y"]] for r in rows] == [r["content"] for r in rows] == ["lead\n", "# A\nx\n", "## B\nyé\n", "# C\nz"]
+    assert [text[r["x"] : r["whole"]] for r in rows] == ["lead\n", "# A\nx\n## B\nyé\n", "## B\nyé\n", "# C\nz"]
