@@ -89,3 +89,11 @@ def interleave(first: DataFrame, second: DataFrame, group: str, key: str, k: int
     best = both.groupBy(group, key).agg(F.min(F.struct("rank", "source")).alias("at"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy("at", key))
     return best.withColumn("position", rank).where(F.col("position") <= k).select(group, key, "position")
+
+
+def hash_copies(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """SET07: the first row and the number of copies by MD5 of the full text, of its first 100 and of its first 200 characters."""
+    forms = {"full": F.col(text), "100": F.substring(text, 1, 100), "200": F.substring(text, 1, 200)}
+    hashes = F.explode(F.array(*(F.struct(F.lit(n).alias("form"), F.md5(c).alias("hash")) for n, c in forms.items())))
+    each = rows.where(F.col(text).isNotNull()).select(key, hashes.alias("h"))
+    return each.groupBy("h.form", "h.hash").agg(F.min(key).alias(key), F.count("*").alias("copies"))

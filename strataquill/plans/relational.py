@@ -539,6 +539,12 @@ def set07(s, d):
     return t(s, d, "documents").where("text is not null").groupBy(F.md5(F.substring("text", 1, 200)).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
+@q("set07_forms", "SELECT form, min(doc_id) AS doc_id, hash, count(*) AS copies FROM (SELECT doc_id, unnest(['full', '100', '200']) AS form, unnest([md5(text), md5(substr(text, 1, 100)), md5(substr(text, 1, 200))]) AS hash FROM documents WHERE text IS NOT NULL) GROUP BY form, hash")
+def set07_forms(s, d):
+    """Hashes of the full text, of its first 100 and of its first 200 characters."""
+    return op.hash_copies(t(s, d, "documents"), "doc_id", "text")
+
+
 RANKED = "SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY {} DESC, l_partkey) AS rank FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1, 2)"
 
 

@@ -146,3 +146,10 @@ def test_section_spans(spark):
     rows = markdown.section_spans(spark.createDataFrame([("d", text)], "document_id string, markdown string")).orderBy("x").collect()
     assert [text[r["x"] : r["y"]] for r in rows] == [r["content"] for r in rows] == ["lead\n", "# A\nx\n", "## B\nyé\n", "# C\nz"]
     assert [text[r["x"] : r["whole"]] for r in rows] == ["lead\n", "# A\nx\n## B\nyé\n", "## B\nyé\n", "# C\nz"]
+
+
+def test_hash_copies_tell_late_differences(spark):
+    texts = ["a" * 250, "a" * 250 + "x", "a" * 150 + "y", None, "a" * 250]
+    rows = relational.hash_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text").collect()
+    got = sorted((r["form"], r["doc_id"], r["copies"]) for r in rows)
+    assert got == [("100", 0, 4), ("200", 0, 3), ("200", 2, 1), ("full", 0, 2), ("full", 1, 1), ("full", 2, 1)]
