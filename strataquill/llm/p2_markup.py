@@ -17,8 +17,7 @@ def _tables(spark, sf_dir):
 
 @R.query("p2_found")
 def p2_found(spark, sf_dir):
-    found = markup.extracted(*_tables(spark, sf_dir), with_text=False)
-    return found.select("document_id", F.explode("lines").alias("line_no"))
+    return markup.markup_lines(markup.containers(*_tables(spark, sf_dir)))
 
 
 @R.query("p2_clean")
@@ -29,5 +28,5 @@ def p2_clean(spark, sf_dir):
 
 @R.query("p2_paths")
 def p2_paths(spark, sf_dir):
-    """The paths of each host and whether they won."""
-    return markup.winning_paths(markup.votes(markup.hosts(*_tables(spark, sf_dir))))
+    """The paths of each host, whether they won and whether their content is kept."""
+    return markup.winning_paths(markup.votes(markup.containers(*_tables(spark, sf_dir))))
