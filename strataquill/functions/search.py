@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 NEEDLE_POINTS = 16 << 20
 
 
-def holding(rows: DataFrame, key: str, text: str, needles: list[tuple[str, str]], name: str = "query_id") -> DataFrame:
-    """``(name, key)`` of the texts that hold a needle; one automaton for all needles of a block."""
+def holding(rows: DataFrame, key: str, text: str, needles: list[tuple[str, str]], name: str = "query_id", beside: Sequence[str] = ()) -> DataFrame:
+    """``(name, key, *beside)`` of the texts that hold a needle; one automaton for all needles of a block."""
     blocks: list[list[tuple[str, str]]] = [[]]
     size = 0
     for n in needles:
@@ -22,8 +22,9 @@ def holding(rows: DataFrame, key: str, text: str, needles: list[tuple[str, str]]
             size = 0
         blocks[-1].append(n)
         size += len(n[1])
-    source = rows.where(F.col(text) != "").select(key, text)
-    schema = f"{name} string, {key} {dict(source.dtypes)[key]}"
+    source = rows.where(F.col(text) != "").select(key, *beside, text)
+    kinds = dict(source.dtypes)
+    schema = f"{name} string, " + ", ".join(f"{c} {kinds[c]}" for c in (key, *beside))
     out = None
     for block in blocks:
         shared = rows.sparkSession.sparkContext.broadcast(block)
@@ -37,8 +38,13 @@ def holding(rows: DataFrame, key: str, text: str, needles: list[tuple[str, str]]
             if shared.value:
                 automaton.make_automaton()
             for b in batches:
-                found = [(shared.value[i][0], k) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i in sorted({i for _, hits in (automaton.iter(t) if shared.value else ()) for i in hits})]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], b.schema.field(0).type)], names=[name, key])
+                at, found = [], []
+                for row, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                    for i in sorted({i for _, hits in (automaton.iter(t) if shared.value else ()) for i in hits}):
+                        at.append(row)
+                        found.append(shared.value[i][0])
+                rows_at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(c.take(rows_at) for c in b.columns[:-1])], names=[name, *b.schema.names[:-1]])
 
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

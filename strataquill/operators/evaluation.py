@@ -18,11 +18,6 @@ from strataquill.functions.search import holding
 BLANKS = r"[\s\x{0B}\x{85}\p{Z}]+"
 
 
-def containing(queries: DataFrame, documents: DataFrame, head: int) -> DataFrame:
-    """Documents that hold the first ``head`` code points of a query; the query set is stated and bounded."""
-    return holding(documents, "doc_id", "text", [(r[0], r[1]) for r in queries.select("query_id", F.substring("text", 1, head)).where("length(text) > 0").collect()])
-
-
 def spaced(text: str) -> Column:
     """A text with single blanks for runs of white space, none outside."""
     return F.trim(F.regexp_replace(text, BLANKS, " "))

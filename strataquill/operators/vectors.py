@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,13 @@ def query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np
         yield np.array(ids), np.stack(rows)
 
 
+def fitting(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and matrix of a batch's vectors of that many components."""
+    ok = pc.equal(pc.list_value_length(batch.column(1)), size)
+    own, lists = batch.column(0).filter(ok), batch.column(1).filter(ok)
+    return np.array(own.to_pylist()), lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+
+
 def exact_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip", key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
     """VEC02-VEC04: ``(query_id, key, score, rank)``; the k best of each query.
 
@@ -56,20 +64,20 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip
     """
     spark, out = vectors.sparkSession, None
     source = vectors.where(F.col(vector).isNotNull()).select(key, vector)
-    schema = f"query_id bigint, {key} bigint, s double"
+    kinds = dict(queries.dtypes)[key], dict(source.dtypes)[key]
+    schema = f"query_id {kinds[0]}, {key} {kinds[1]}, s double"
     for ids, matrix in query_blocks(queries, key, vector):
         shared = spark.sparkContext.broadcast((ids, matrix))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             for b in batches:
-                rows = [(i, x) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(x) == q.shape[1]]
-                if not rows:
+                own, v = fitting(b, q.shape[1])
+                if not len(own):
                     continue
-                own = np.array([r[0] for r in rows])
-                s = np.round(_scores(metric, q, np.array([r[1] for r in rows], np.float64)), digits) + 0.0
+                s = np.round(_scores(metric, q, v), digits) + 0.0
                 order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                arrays = [pa.array(np.repeat(ids, order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())]
+                arrays = [pa.array(np.repeat(ids, order.shape[1]).tolist()), pa.array(own[order].ravel().tolist()), pa.array(np.take_along_axis(s, order, 1).ravel())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["query_id", key, "s"])
 
         part = source.mapInArrow(run, schema)
@@ -81,6 +89,37 @@ def exact_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "ip
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", key, score.alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def likeness_by_group(queries: DataFrame, vectors: DataFrame, group: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """VEC07: mean and largest inner product of every group of queries with every group of vectors; ``(a, b, mean, most)``.
+
+    A batch gives one row a pair of groups, so pairs of rows are never shuffled.
+    """
+    spark, out = vectors.sparkSession, None
+    kind = dict(vectors.dtypes)[group]
+    source = vectors.where(F.col(vector).isNotNull()).select(group, vector)
+    owners = {r[0]: r[1] for r in queries.select(key, group).collect()}  # a stated query set
+    for ids, matrix in query_blocks(queries, key, vector):
+        names, of = np.unique(np.array([owners[i] for i in ids.tolist()]), return_inverse=True)
+        shared = spark.sparkContext.broadcast((names, of, matrix))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, of, q = shared.value
+            for b in batches:
+                own, v = fitting(b, q.shape[1])
+                if not len(own):
+                    continue
+                dots = np.round(q @ v.T, 12)
+                groups, at = np.unique(own, return_inverse=True)
+                rows = [(a, g, dots[np.ix_(of == i, at == j)]) for i, a in enumerate(names.tolist()) for j, g in enumerate(groups.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], b.schema.field(0).type), pa.array([float(r[2].sum()) for r in rows]), pa.array([r[2].size for r in rows], pa.int64()), pa.array([float(r[2].max()) for r in rows])], names=["a", "b", "total", "n", "most"])
+
+        part = source.mapInArrow(run, f"a {kind}, b {kind}, total double, n bigint, most double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], f"a {kind}, b {kind}, total double, n bigint, most double")
+    return out.groupBy("a", "b").agg(F.round(F.sum("total") / F.sum("n"), 6).alias("mean"), F.round(F.max("most"), 6).alias("most"))
+
+
 def centroids(vectors: DataFrame, cells: int, key: str = "vec_id", vector: str = "embedding", sample: int = 20_000, rounds: int = 12) -> np.ndarray:
     """Cells of an inverted file, fitted by k-means on a bounded sample (the smallest key hashes)."""
     rows = vectors.where(F.col(vector).isNotNull()).select(vector).orderBy(F.xxhash64(key), key).limit(sample).collect()

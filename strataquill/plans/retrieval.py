@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataquill.operators import evaluation, fusion, lexical, markdown, recovery, rerank, vectors
 from strataquill.plans.registry import Registry
-from strataquill.session import table, text_table
+from strataquill.session import cut_lineage, table, text_table
 
 R = Registry()
 t = table
@@ -31,12 +31,6 @@ def topk_sql(score, order, k=20, where="true"):
 FROM (SELECT q.vec_id AS query_id, v.vec_id, round({score}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND {where}) QUALIFY rank <= {k}"""
 
 
-@q("vec01")
-def vec01(s, d):
-    """Offline stand-in of an embedder: hashed words, unit length."""
-    return rerank.hashed_embeddings(t(s, d, "documents"), "doc_id", "text")
-
-
 @q("vec02", topk_sql(E, "DESC"))
 def vec02(s, d):
     return vectors.exact_topk(*vecs(s, d), 20)
@@ -78,11 +72,9 @@ def vec06(s, d):
 
 @q("vec07", f"SELECT q.label AS a, v.label AS b, round(avg({E}), 6) AS mean, round(max({E}), 6) AS most FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 GROUP BY 1, 2")
 def vec07(s, d):
-    """Likeness of every stated query with every vector, summed up by label."""
+    """Likeness of every stated query with every vector, summed up by label within each batch."""
     a, b = vecs(s, d)
-    found = vectors.exact_topk(a, b, 1 << 30, digits=12)
-    x, y = a.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), b.select("vec_id", F.col("label").alias("b"))
-    return found.join(x, "query_id").join(y, "vec_id").groupBy("a", "b").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("most"))
+    return vectors.likeness_by_group(a, b, "label")
 
 
 @q("vec08", f"SELECT 'ip' AS mode, * FROM ({topk_sql(E, 'DESC', 5)}) UNION ALL SELECT 'filtered', * FROM ({topk_sql(E, 'DESC', 5, 'v.label = q.label')})")
@@ -121,9 +113,14 @@ def queries(s, d):
     return t(s, d, "eval_items").select(F.col("gold_group_id").alias("query_id"), F.col("evidence_text").alias("text")).distinct()
 
 
-def bm25(s, d, k=20, tokens=None):
+def index(s, d, tokens=None):
+    """The documents' words, written once."""
+    return lexical.tokenised(text_table(s, d, "documents"), "doc_id", lexical.words(F.col("text")) if tokens is None else tokens)
+
+
+def bm25(s, d, k=20, tokens=None, words=None):
     of = lexical.words(F.col("text")) if tokens is None else tokens
-    return lexical.search(text_table(s, d, "documents"), "doc_id", of, queries(s, d), "query_id", of, k)
+    return lexical.search_index(index(s, d, of) if words is None else words, "doc_id", queries(s, d), "query_id", of, k)
 
 
 @q("lex01", f"SELECT doc_id, list_filter({WORDS.format('text')}, lambda x: x NOT IN ({', '.join(repr(w) for w in lexical.STOP_WORDS)})) AS tokens FROM documents WHERE text IS NOT NULL")
@@ -143,7 +140,8 @@ def lex03(s, d):
 
 @q("fil13", f"WITH {QUERIES}, {bm25_sql(WORDS, 1000000)} SELECT query_id, count(*) AS n FROM bm25 GROUP BY 1")
 def fil13(s, d):
-    return bm25(s, d, 1_000_000).groupBy("query_id").agg(F.count("*").alias("n"))
+    of = lexical.words(F.col("text"))
+    return lexical.hit_counts(index(s, d), "doc_id", queries(s, d), "query_id", of)
 
 
 TFIDF = f"""
@@ -175,9 +173,9 @@ PREFIXES = "(SELECT DISTINCT query_id, substr(regexp_extract(lower(query), '([a-
 
 @q("lex05", f"WITH {QUERIES}, {bm25_sql(WORDS, 1)}, p AS {PREFIXES}, w AS (SELECT doc_id, term, idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) AS weight FROM tf JOIN idf USING (term), shape), x AS (SELECT query_id, doc_id, round(sum(weight) * 0.7, 6) AS score FROM w JOIN p ON starts_with(term, prefix) WHERE length(prefix) >= 2 GROUP BY 1, 2) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0 QUALIFY rank <= 5")
 def lex05(s, d):
-    index = lexical.bm25_index(text_table(s, d, "documents"), "doc_id", lexical.words(F.col("text")))
+    weights = lexical.bm25_index(index(s, d), "doc_id")
     prefixes = t(s, d, "eval_items").select("query_id", F.substring(F.regexp_extract(F.lower("query"), r"([a-z]{5,})[^a-z]*$", 1), 1, 5).alias("prefix"))
-    return lexical.prefix_search(index, prefixes, "query_id", "doc_id", "prefix", 5)
+    return lexical.prefix_search(weights, prefixes, "query_id", "doc_id", "prefix", 5)
 
 
 @q("lex06", f"WITH w AS (SELECT query_id, unnest(list_distinct({WORDS.format('query')})) AS word FROM (SELECT DISTINCT query_id, query FROM eval_items)), x AS (SELECT query_id, id, sum(2 * contains(lower(title), word)::INT + contains(lower(local_path), word)::INT) AS score FROM w, (SELECT DISTINCT id, title, local_path FROM manifest WHERE title IS NOT NULL AND local_path IS NOT NULL) GROUP BY 1, 2) SELECT query_id, id, score::BIGINT AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x WHERE score > 0 QUALIFY rank <= 3")
@@ -187,13 +185,44 @@ def lex06(s, d):
     return rerank.keyword_scores(items, t(s, d, "manifest").where("title is not null and local_path is not null").select("id", "title", "local_path").distinct(), 3)
 
 
-# --- fusion -------------------------------------------------------------------------------------------------------------------------
+# --- dense branch and fusion --------------------------------------------------------------------------------------------------------
+
+
+def signs_sql(name, of, key):
+    """Signed counts of hashed words, and their length."""
+    return f"""{name}v AS (SELECT {key}, b, sum(s) AS x FROM {of} JOIN slots USING (w) GROUP BY 1, 2), {name}n AS (SELECT {key}, sqrt(sum(x * x)) AS n FROM {name}v GROUP BY 1 HAVING n > 0)"""
 
-BRANCHES = f"WITH {QUERIES}, {bm25_sql(WORDS, 20)}, {bm25_sql(SPACED, 20).replace('sized', 'sized2').replace('shape', 'shape2').replace('tf AS', 'tf2 AS').replace('FROM tf', 'FROM tf2').replace('raw', 'raw2').replace('idf AS', 'idf2 AS').replace('JOIN idf', 'JOIN idf2').replace('qt AS', 'qt2 AS').replace('JOIN qt', 'JOIN qt2').replace('bm AS', 'bm_2 AS').replace('FROM bm ', 'FROM bm_2 ').replace('bm25 AS', 'spaced AS')}, branches AS (SELECT *, 'words' AS source FROM bm25 UNION ALL SELECT *, 'spaced' FROM spaced)"
 
+def dense_sql(k):
+    """Exact inner products of hashed words; after ``bm25_sql``, whose tokens it uses."""
+    return f"""
+dw AS (SELECT doc_id, unnest(ts) AS w FROM sized),
+qw AS (SELECT query_id, unnest({WORDS.format('text')}) AS w FROM queries),
+slots AS (SELECT w, ('0x' || substr(md5(w), 1, 4))::INT % 64 AS b, CASE WHEN ('0x' || substr(md5(w), 5, 1))::INT % 2 = 0 THEN 1 ELSE -1 END AS s FROM (SELECT w FROM dw UNION SELECT w FROM qw)),
+{signs_sql('d', 'dw', 'doc_id')}, {signs_sql('q', 'qw', 'query_id')},
+ds AS (SELECT query_id, doc_id, round(sum((q.x / qn.n) * (d.x / dn.n)), 6) AS score FROM qv q JOIN qn USING (query_id) JOIN dv d USING (b) JOIN dn USING (doc_id) GROUP BY 1, 2),
+dense AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds WHERE score > 0 QUALIFY rank <= {k})"""
 
-def branches(s, d):
-    return bm25(s, d).withColumn("source", F.lit("words")).unionByName(bm25(s, d, 20, lexical.white_space_tokens(F.col("text"))).withColumn("source", F.lit("spaced")))
+
+@q("vec01", f"WITH sized AS (SELECT doc_id, {WORDS.format('text')} AS ts FROM documents), dw AS (SELECT doc_id, unnest(ts) AS w FROM sized), slots AS (SELECT DISTINCT w, ('0x' || substr(md5(w), 1, 4))::INT % 64 AS b, CASE WHEN ('0x' || substr(md5(w), 5, 1))::INT % 2 = 0 THEN 1 ELSE -1 END AS s FROM dw), {signs_sql('d', 'dw', 'doc_id')} SELECT doc_id, list(round(coalesce(x / n, 0), 6) ORDER BY i) AS embedding FROM documents, range(0, 64) AS r(i) LEFT JOIN dv ON dv.doc_id = documents.doc_id AND b = i LEFT JOIN dn ON dn.doc_id = documents.doc_id GROUP BY 1".replace("SELECT doc_id, list(", "SELECT documents.doc_id, list(").replace("FROM documents, range(0, 64) AS r(i) LEFT", "FROM (SELECT doc_id, i FROM documents, range(0, 64) AS r(i)) AS documents LEFT"))
+def vec01(s, d):
+    """Offline stand-in of an embedder: hashed words, unit length."""
+    found = rerank.embeddings(text_table(s, d, "documents"), "doc_id", lexical.words(F.col("text")))
+    return found.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6) + F.lit(0.0)).alias("embedding"))
+
+
+def dense(s, d, k=20, words=None):
+    return rerank.dense_search(index(s, d) if words is None else words, "doc_id", queries(s, d), "query_id", lexical.words(F.col("text")), k)
+
+
+BRANCHES = f"WITH {QUERIES}, {bm25_sql(WORDS, 20)}, {dense_sql(20)}, branches AS (SELECT *, 'bm25' AS source FROM bm25 UNION ALL SELECT *, 'dense' FROM dense)"
+
+
+def branches(s, d, words=None):
+    """Dense and BM25, 20 of each, over one token table; written, since stages read them again."""
+    words = index(s, d) if words is None else words
+    both = dense(s, d, 20, words).withColumn("source", F.lit("dense")).unionByName(bm25(s, d, 20, words=words).withColumn("source", F.lit("bm25")))
+    return cut_lineage(both)
 
 
 def fused_sql(k, n):
@@ -205,12 +234,12 @@ def fus01(s, d):
     return fusion.rrf(branches(s, d), "query_id", "doc_id", 60, 20)
 
 
-@q("fus02", f"{BRANCHES} SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(rank) AS best, max(CASE WHEN source = 'words' THEN rank END) AS words_rank, max(CASE WHEN source = 'spaced' THEN rank END) AS spaced_rank FROM branches GROUP BY 1, 2")
+@q("fus02", f"{BRANCHES} SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(rank) AS best, max(CASE WHEN source = 'dense' THEN rank END) AS dense_rank, max(CASE WHEN source = 'bm25' THEN rank END) AS bm25_rank FROM branches GROUP BY 1, 2")
 def fus02(s, d):
     """Fusion that keeps each source's best rank."""
     rows = branches(s, d)
     of = lambda n: F.min(F.when(F.col("source") == n, F.col("rank"))).alias(f"{n}_rank")
-    return rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 6).alias("score"), F.min("rank").alias("best"), of("words"), of("spaced"))
+    return rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 6).alias("score"), F.min("rank").alias("best"), of("dense"), of("bm25"))
 
 
 @q("fus03", fused_sql(60, 10))
@@ -220,15 +249,17 @@ def fus03(s, d):
 
 @q("fus04", fused_sql(55, 20))
 def fus04(s, d):
+    """The baseline: dense 20 and BM25 20, fused with k = 55."""
     return fusion.rrf(branches(s, d), "query_id", "doc_id", 55, 20)
 
 
-@q("fus05", f"{BRANCHES}, third AS (SELECT query_id, doc_id, 0.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank, 'gold' AS source FROM gold QUALIFY rank <= 10), three AS (SELECT query_id, doc_id, rank, source FROM branches UNION ALL SELECT query_id, doc_id, rank, source FROM third), fused AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(rank) AS best FROM three GROUP BY 1, 2) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, doc_id) AS rank FROM fused QUALIFY rank <= 10".replace(", branches AS", ", gold AS (SELECT query_id, doc_id FROM queries q JOIN documents d ON contains(d.text, substr(q.text, 1, 40))), branches AS"))
+@q("fus05", f"{BRANCHES}, qe AS (SELECT DISTINCT query_id, term FROM qt WHERE length(term) >= 4), held AS (SELECT doc_id, term FROM tf WHERE term IN (SELECT term FROM qe)), ent AS (SELECT term FROM held GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20), hop AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS rank FROM held JOIN ent USING (term) JOIN qe USING (term) GROUP BY 1, 2 QUALIFY rank <= 20), three AS (SELECT query_id, doc_id, rank FROM branches UNION ALL SELECT query_id, doc_id, rank FROM hop), fused AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(rank) AS best FROM three GROUP BY 1, 2) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, doc_id) AS rank FROM fused QUALIFY rank <= 10")
 def fus05(s, d):
-    """Three branches."""
-    third = gold(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).cast("bigint")).where("rank <= 10").withColumn("source", F.lit("gold"))
-    rows = branches(s, d).select("query_id", "doc_id", "rank", "source").unionByName(third.select("query_id", "doc_id", "rank", "source"))
-    return fusion.rrf(rows, "query_id", "doc_id", 60, 10)
+    """Three branches of max(2k, 10) candidates for k = 10: entity graph, vectors, BM25."""
+    words = index(s, d)
+    hop = lexical.shared_entities(words, "doc_id", queries(s, d), "query_id", lexical.words(F.col("text")), 20).withColumn("source", F.lit("graph"))
+    columns = ["query_id", "doc_id", "rank", "source"]
+    return fusion.rrf(branches(s, d, words).select(columns).unionByName(hop.select(columns)), "query_id", "doc_id", 60, 10)
 
 
 # --- reranking and recovery ---------------------------------------------------------------------------------------------------------
@@ -309,19 +340,25 @@ def rte06(s, d):
 
 # --- evaluation ---------------------------------------------------------------------------------------------------------------------
 
-GOLD = "gold AS (SELECT query_id, doc_id FROM queries q JOIN documents d ON contains(d.text, substr(q.text, 1, 40)))"
-STAGES = BRANCHES + f", {GOLD}, fused AS (SELECT query_id, doc_id, round(sum(1.0 / (55 + rank)), 6) AS score, min(rank) AS best FROM branches GROUP BY 1, 2), stages AS (SELECT 'words' AS stage, query_id, doc_id, rank FROM bm25 UNION ALL SELECT 'spaced', query_id, doc_id, rank FROM spaced UNION ALL SELECT 'fused', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, doc_id) FROM fused)"
+GOLD = "gold AS (SELECT query_id, doc_id FROM (SELECT query_id, trim(regexp_replace(text, '{0}', ' ', 'g')) AS text FROM queries) q JOIN (SELECT doc_id, trim(regexp_replace(text, '{0}', ' ', 'g')) AS text FROM documents) d ON q.text <> '' AND contains(d.text, q.text))".replace("{0}", evaluation.BLANKS)
+RERANKED = f"len(list_intersect(list_distinct({WORDS.format('q.text')}), list_distinct({WORDS.format('d.text')}))) / len(list_distinct({WORDS.format('q.text')}))"
+STAGES = BRANCHES + f", {GOLD}, fused AS (SELECT query_id, doc_id, round(sum(1.0 / (55 + rank)), 6) AS score, min(rank) AS best FROM branches GROUP BY 1, 2), rrf AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, doc_id) AS rank FROM fused QUALIFY rank <= 20), reranked AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM (SELECT f.query_id, f.doc_id, f.rank AS before, round({RERANKED}, 6) AS score FROM rrf f JOIN queries q USING (query_id) JOIN documents d USING (doc_id))), stages AS (SELECT source AS stage, query_id, doc_id, rank FROM branches UNION ALL SELECT 'rrf', query_id, doc_id, rank FROM rrf UNION ALL SELECT 'rerank', query_id, doc_id, rank FROM reranked)"
+ORDER = ["dense", "bm25", "rrf", "rerank"]
 
 
 def gold(s, d):
-    """Documents that hold the beginning of an item's evidence."""
-    return evaluation.containing(queries(s, d), text_table(s, d, "documents").select("doc_id", "text"), 40)
+    """Documents that hold the whole evidence of an item, white space normalised."""
+    return evaluation.containing_whole(queries(s, d), text_table(s, d, "documents"))
 
 
 def stages(s, d):
+    """Dense, BM25, their fusion (k = 55, 20) and its reranking."""
     rows = branches(s, d)
-    single = rows.select(F.col("source").alias("stage"), "query_id", "doc_id", "rank")
-    return single.unionByName(fusion.rrf(rows, "query_id", "doc_id", 55, 40).select(F.lit("fused").alias("stage"), "query_id", "doc_id", "rank"))
+    columns = ["query_id", "doc_id", "rank"]
+    fused = cut_lineage(fusion.rrf(rows, "query_id", "doc_id", 55, 20))
+    best = rerank.rerank(fused, queries(s, d), t(s, d, "documents").select("doc_id", "text"), 20)
+    single = rows.select(F.col("source").alias("stage"), *columns)
+    return cut_lineage(single.unionByName(fused.select(F.lit("rrf").alias("stage"), *columns)).unionByName(best.select(F.lit("rerank").alias("stage"), *columns)))
 
 
 @q("eva01", STAGES + ", n AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1), h AS (SELECT stage, s.query_id, k, count(*) AS h FROM stages s JOIN gold USING (query_id, doc_id), (VALUES (5), (10), (20)) AS ks(k) WHERE rank <= k GROUP BY 1, 2, 3) SELECT st.stage, k, round(avg(coalesce(h.h, 0) / n.n), 6) AS recall FROM (SELECT DISTINCT stage FROM stages) st, n, (VALUES (5), (10), (20)) AS ks(k) LEFT JOIN h ON h.stage = st.stage AND h.query_id = n.query_id AND h.k = ks.k GROUP BY 1, 2".replace("LEFT JOIN h ON h.stage = st.stage AND h.query_id = n.query_id AND h.k = ks.k GROUP", "LEFT JOIN h USING (stage, query_id, k) GROUP").replace("FROM (SELECT DISTINCT stage FROM stages) st, n, (VALUES (5), (10), (20)) AS ks(k) LEFT", "FROM (SELECT stage, query_id, n, k FROM (SELECT DISTINCT stage FROM stages), n, (VALUES (5), (10), (20)) AS ks(k)) n LEFT").replace("st.stage, k", "stage, k"))
@@ -352,9 +389,9 @@ def eva04(s, d):
     return bm25(s, d, 5).join(g, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("hit").alias("recovered"), F.count("*").alias("shown"))
 
 
-@q("eva05", STAGES + " SELECT g.query_id, g.doc_id, CASE WHEN count(CASE WHEN stage = 'words' AND rank <= 5 THEN 1 END) = 0 THEN 'words' WHEN count(CASE WHEN stage = 'spaced' AND rank <= 5 THEN 1 END) = 0 THEN 'spaced' WHEN count(CASE WHEN stage = 'fused' AND rank <= 5 THEN 1 END) = 0 THEN 'fused' ELSE 'kept' END AS lost_at FROM gold g LEFT JOIN stages s ON s.query_id = g.query_id AND s.doc_id = g.doc_id GROUP BY 1, 2")
+@q("eva05", STAGES + " SELECT g.query_id, g.doc_id, CASE WHEN count(CASE WHEN stage = 'dense' AND rank <= 5 THEN 1 END) = 0 THEN 'dense' WHEN count(CASE WHEN stage = 'bm25' AND rank <= 5 THEN 1 END) = 0 THEN 'bm25' WHEN count(CASE WHEN stage = 'rrf' AND rank <= 5 THEN 1 END) = 0 THEN 'rrf' WHEN count(CASE WHEN stage = 'rerank' AND rank <= 5 THEN 1 END) = 0 THEN 'rerank' ELSE 'kept' END AS lost_at FROM gold g LEFT JOIN stages s ON s.query_id = g.query_id AND s.doc_id = g.doc_id GROUP BY 1, 2")
 def eva05(s, d):
-    return evaluation.loss_stage(stages(s, d), gold(s, d), ["words", "spaced", "fused"], 5)
+    return evaluation.loss_stage(stages(s, d), gold(s, d), ORDER, 5)
 
 
 @q("eva06", STAGES + ", v AS (SELECT DISTINCT gold_group_id AS query_id, variant_type FROM eval_items) SELECT variant_type, stage, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM (SELECT stage, query_id, min(CASE WHEN g.doc_id IS NOT NULL THEN rank END) AS r FROM (SELECT * FROM stages WHERE query_id IN (SELECT query_id FROM gold)) s LEFT JOIN gold g USING (query_id, doc_id) GROUP BY 1, 2) JOIN v USING (query_id) GROUP BY 1, 2")
@@ -363,11 +400,18 @@ def eva06(s, d):
     return evaluation.mrr(stages(s, d), gold(s, d), kinds, ["variant_type"])
 
 
-@q("eva07", "SELECT variant_type, count(*) AS n, round(avg(CASE WHEN contains(evidence_text, substr(reference_answer, 1, 3)) THEN 1.0 ELSE 0.0 END), 6) AS faithful FROM eval_items WHERE reference_answer IS NOT NULL GROUP BY 1")
+def shared_sql(c):
+    return f"len(list_intersect(list_distinct({WORDS.format('reference_answer')}), list_distinct({WORDS.format(c)})))"
+
+
+@q("eva07", f"SELECT variant_type, count(*) AS n, round(avg(coalesce((2 * {shared_sql('evidence_text')} >= len(list_distinct({WORDS.format('reference_answer')})))::INT, 0)), 6) AS faithful, round(avg(coalesce(({shared_sql('query')} > 0)::INT, 0)), 6) AS relevant FROM eval_items WHERE reference_answer IS NOT NULL GROUP BY 1")
 def eva07(s, d):
-    """Rates of boolean judgements by engine; the judgement here is a containment."""
-    ok = F.contains(F.col("evidence_text"), F.substring("reference_answer", 1, 3)).cast("double")
-    return t(s, d, "eval_items").where("reference_answer is not null").groupBy("variant_type").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(ok, F.lit(0.0))), 6).alias("faithful"))
+    """Rates of boolean judgements: faithful where the evidence holds half of the answer's words, relevant where the query shares one."""
+    of = lambda c: F.array_distinct(lexical.words(F.col(c)))
+    shared = lambda c: F.size(F.array_intersect(of("reference_answer"), of(c)))
+    rate = lambda ok: F.round(F.avg(F.coalesce(ok.cast("double"), F.lit(0.0))), 6)
+    asked = t(s, d, "eval_items").where("reference_answer is not null")
+    return asked.groupBy("variant_type").agg(F.count("*").alias("n"), rate((F.col("evidence_text").isNotNull()) & (2 * shared("evidence_text") >= F.size(of("reference_answer")))).alias("faithful"), rate((F.col("query").isNotNull()) & (shared("query") > 0)).alias("relevant"))
 
 
 @q("eva08", STAGES + ", h AS (SELECT stage, query_id, rank, (g.doc_id IS NOT NULL)::INT AS hit FROM (SELECT * FROM stages WHERE rank <= 5 AND query_id IN (SELECT query_id FROM gold)) s LEFT JOIN gold g USING (query_id, doc_id)), c AS (SELECT *, sum(hit) OVER (PARTITION BY stage, query_id ORDER BY rank) AS upto FROM h) SELECT stage, round(avg(p), 6) AS precision_at_5, round(avg(ap), 6) AS map FROM (SELECT stage, query_id, sum(hit) / 5.0 AS p, coalesce(sum(hit * upto / rank) / nullif(sum(hit), 0), 0) AS ap FROM c GROUP BY 1, 2) GROUP BY 1")
@@ -375,52 +419,6 @@ def eva08(s, d):
     return evaluation.precision_map(stages(s, d), gold(s, d), 5)
 
 
-# --- evaluation against whole passages ------------------------------------------------------------------------------------------------
-
-GOLD_WHOLE = "gold AS (SELECT query_id, doc_id FROM (SELECT query_id, trim(regexp_replace(text, '{0}', ' ', 'g')) AS text FROM queries) q JOIN (SELECT doc_id, trim(regexp_replace(text, '{0}', ' ', 'g')) AS text FROM documents) d ON q.text <> '' AND contains(d.text, q.text))".replace("{0}", evaluation.BLANKS)
-
-
-def whole_sql(name):
-    return R.sql[name].replace(GOLD, GOLD_WHOLE)
-
-
-def gold_whole(s, d):
-    """Documents that hold the whole evidence of an item, white space normalised."""
-    return evaluation.containing_whole(queries(s, d), text_table(s, d, "documents"))
-
-
-@q("eva01_whole", whole_sql("eva01"))
-def eva01_whole(s, d):
-    return evaluation.recall_at(stages(s, d), gold_whole(s, d))
-
-
-@q("eva02_whole", whole_sql("eva02"))
-def eva02_whole(s, d):
-    return evaluation.mrr(stages(s, d), gold_whole(s, d))
-
-
-@q("eva04_whole", whole_sql("eva04"))
-def eva04_whole(s, d):
-    g = gold_whole(s, d).withColumn("hit", F.lit(1))
-    return bm25(s, d, 5).join(g, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("hit").alias("recovered"), F.count("*").alias("shown"))
-
-
-@q("eva05_whole", whole_sql("eva05"))
-def eva05_whole(s, d):
-    return evaluation.loss_stage(stages(s, d), gold_whole(s, d), ["words", "spaced", "fused"], 5)
-
-
-@q("eva06_whole", whole_sql("eva06"))
-def eva06_whole(s, d):
-    kinds = t(s, d, "eval_items").select(F.col("gold_group_id").alias("query_id"), "variant_type").distinct()
-    return evaluation.mrr(stages(s, d), gold_whole(s, d), kinds, ["variant_type"])
-
-
-@q("eva08_whole", whole_sql("eva08"))
-def eva08_whole(s, d):
-    return evaluation.precision_map(stages(s, d), gold_whole(s, d), 5)
-
-
 def span_coverage(s, d, end):
     """Coverage of the gold spans by the five best sections of each query."""
     spans = markdown.section_spans(text_table(s, d, "document_md"))

@@ -60,6 +60,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``df`` written once, and marked for a broadcast where it was counted to have at most ``most_rows`` rows.
+
+    Beyond that it is joined by a shuffle like any other table. For rows of a few
+    hundred bytes, such as rankings of a stated query set.
+    """
+    from pyspark.sql import functions as F
+
+    written = cut_lineage(df)
+    return F.broadcast(written) if written.count() <= most_rows else written
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share, for what a query writes and reads again."""
     import uuid

@@ -127,8 +127,6 @@ def test_gold_is_the_whole_passage(spark):
     texts = [passage, "x " + passage.replace("log of", "log\r\n  of").replace("names ", "names\u00a0") + " y", passage[:60] + " was worn.", "", None]
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(tuple(r) for r in evaluation.containing_whole(asked, documents).collect()) == [("q", 0), ("q", 1)]
-    # the beginning alone decides otherwise on both
-    assert sorted(r[1] for r in evaluation.containing(asked.where("query_id = 'q'"), documents, 40).collect()) == [0, 2]
 
 
 def test_coverage_follows_the_ranking(spark):
