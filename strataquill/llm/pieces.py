@@ -1,130 +1,290 @@
 """Oversized sections cut at natural boundaries, by ranges of the document (problem 1).
 
-A document is read in ranges of ``RANGE`` code points, each with a halo, so no
-worker needs a whole giant text:
-
-1. workers find the line starts and page marker lines of their range;
-2. the ranges' boundary tables are stitched by running sums over the ranges
-   (lines before the range, marker characters before the range), which gives
-   every line its number, its offset and its offset without markers;
-3. a section's length is the difference of two such offsets;
-4. pieces are cut within ranges and emitted by offset. A range packs from its
-   first natural boundary to that of the next range; both neighbours see that
-   boundary in their halo, so they agree without talking.
-
-Texts that fit into a range stay where they are; longer ones are spread over
-the workers by (document, range).
+A document is worked on in ranges, each with a halo on both sides, so no task
+needs a whole giant text. Files are read in byte ranges at their offsets (a
+range owns the code points that begin in it; a code point cut by the range's
+edge is put together from the halo); a Markdown column is sliced in one pass
+over its cell.
+
+1. Workers find the line starts and page marker lines of their range.
+2. The ranges' boundary tables are stitched by prefix sums over the ranges'
+   numbers alone (code points, lines, marker characters), in two levels, so that
+   no task sees all ranges of a document. That gives every line its number, its
+   offset and its offset without markers.
+3. A section's length is the difference of two such offsets.
+4. Cuts are greedy: from a cut the next one is the best natural boundary that
+   the limit allows, so it depends on the text around it only. A section within
+   one range is cut there. For one that crosses ranges every range tells for
+   each place where a piece might begin in it where the first piece beyond it
+   begins and how many pieces lie between; these tables are composed by pointer
+   doubling from the section's start. The pieces are those of one pass over the
+   whole text, whatever the size of the ranges.
+5. Pieces are emitted by offset and numbered by the counts of the ranges before.
+
+A piece ends, if it can, at the last paragraph, else line, else sentence end
+beyond the first third of what it may hold, else at the last blank there, else
+at the last boundary before. Each later piece begins with up to ``overlap`` code
+points from the end of the piece before, from a word's beginning where there is
+one. No piece begins or ends between a character and its combining marks.
 
 Defined results: a null Markdown has no sections, an empty one has one empty
 line; a null or negative start makes a section none; a null end stands for the
-end of the document; rows delivered again count once; offsets and lengths are
-code points; a text without any boundary is cut at the limit, never between a
-character and its combining marks.
+end of the document; rows delivered again count once, also with other headings
+(the smallest stays); offsets and lengths are code points; a text without any
+boundary is cut at the limit; a marker line longer than ``HALO`` code points is
+text where it crosses ranges; bytes that aren't UTF-8 become replacement
+characters.
 """
 
 from __future__ import annotations
 
-import bisect
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE = 65_536
-MARKER_HALO = 96
-#: How far past a range's end its last piece may reach for a boundary; a third of the piece halo.
-REACH = 2_000
-PIECE_HALO = 3 * REACH
+from strataquill.session import cut_lineage
 
-MARKER = regex.compile(r"^[ \t]*<!-- PDF page \d+ -->[ \t\r]*$", regex.M)
-PARAGRAPH = regex.compile(r"\n[ \t\r]*\n")
+RANGE = 65_536
+#: Context for marker lines and blank lines at a range's edge.
+HALO = 1_024
+#: Most combining marks of one character that a cut at the limit goes back over.
+MARKS = 64
+
+MARKER = regex.compile(r"^[ \t]*+<!-- PDF page \d+ -->[ \t\r]*+$", regex.M)
+PARAGRAPH = regex.compile(r"(?<=\n)[ \t\r]*+\n")
+LINE = regex.compile(r"\n")
 SENTENCE = regex.compile(r"[.!?…؟][\"'”’»)\]]*(?=\s)|[。！？；।][」』”’）》]*")
 BLANK = regex.compile(r"\s")
 
+# --- ranges -------------------------------------------------------------------------------------------------------------------------
+
+PARTS = "document_id string, range_no int, lead int, own int, first boolean, last boolean, part string"
+PART_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string())
+NUMBERS = "n_points bigint, n_lines bigint, cut bigint, starts array<int>, cuts array<int>"
+NUMBER_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+
+
+def names_of(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def batch_of(rows: list[tuple], types: tuple, schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names_of(schema))
+
+
+def text_range(text: str, no: int, size: int, left: int, right: int) -> tuple[int, int, bool, bool, str]:
+    """``(lead, own, first, last, part)`` of a text in memory; halos count code points outside marker lines and grow until they hold enough."""
+    at, end = no * size, min(len(text), no * size + size)
+    a, b, more = max(0, at - left), min(len(text), end + right), max(left, right, 1)
+    while (a > 0 and kept_points(text[a:at]) < left) or (b < len(text) and kept_points(text[end:b]) < right):
+        more *= 2
+        a, b = max(0, at - more), min(len(text), end + more)
+    return at - a, end - at, no == 0, end == len(text) and end < no * size + size, text[a:b]
+
+
+def kept_points(text: str) -> int:
+    return len(text) - sum(m.end() - m.start() + 1 for m in MARKER.finditer(text)) if "<!-- PDF page" in text else len(text)
+
+
+def byte_range(read: Callable[[int, int], bytes], total: int, no: int, size: int, left: int, right: int) -> tuple[int, int, bool, bool, str]:
+    """``(lead, own, first, last, part)`` of a file's bytes [no * size, no * size + size); ``read(offset, length)``.
+
+    Own are the code points whose first byte lies in the range. Halos are
+    resynchronised: bytes that continue a code point begun before are left off.
+    """
+    at, end = no * size, min(total, no * size + size)
+    more = 4 * max(left, right, 1)
+    while True:
+        a, b = max(0, at - more), min(total, end + more)
+        raw = read(a, b - a)
+        skip = next((i for i in range(min(4, len(raw))) if raw[i] & 0xC0 != 0x80), 0) if a else 0
+        # the own bytes begin and end at first bytes of code points
+        x, y = (_forward(raw, p - a) if p < total else len(raw) for p in (at, end))
+        head, own, tail = (raw[i:j] for i, j in ((skip, x), (x, y), (y, len(raw))))
+        if b < total:
+            tail = tail[: len(tail) - _unfinished(tail)]
+        parts = [p.decode("utf-8", "replace") for p in (head, own, tail)]
+        if (a == 0 or kept_points(parts[0]) >= left) and (b == total or kept_points(parts[2]) >= right):
+            return len(parts[0]), len(parts[1]), no == 0, end == total and end < at + size, "".join(parts)
+        more *= 2
+
+
+def _forward(raw: bytes, at: int) -> int:
+    """The first byte at or after ``at`` that begins a code point; after four continuing bytes any byte does."""
+    return next((at + i for i in range(4) if at + i >= len(raw) or raw[at + i] & 0xC0 != 0x80), at)
+
+
+def _unfinished(raw: bytes) -> int:
+    """How many bytes at the end begin a code point that isn't finished."""
+    for i in range(1, min(4, len(raw)) + 1):
+        c = raw[-i]
+        if c & 0xC0 != 0x80:
+            return i if (c >= 0xF0 and i < 4) or (0xE0 <= c < 0xF0 and i < 3) or (0xC0 <= c < 0xE0 and i < 2) else 0
+    return 0
+
+
+def range_count(total: int, size: int) -> int:
+    """Ranges of a text or file; one that is a multiple of the size has an empty last one, which holds its end."""
+    return total // size + 1
+
+
+class Cells:
+    """Ranges of the Markdown column of ``documents(document_id, markdown)``, sliced in one pass over each cell."""
+
+    def __init__(self, documents: DataFrame, size: int = RANGE) -> None:
+        self.rows, self.size = documents.where("document_id is not null and markdown is not null").select("document_id", "markdown"), size
+
+    def boundaries(self) -> DataFrame:
+        """Boundary numbers of texts within one range; longer ones as parts, for other workers."""
+        size = self.size
+        schema = f"{PARTS}, {NUMBERS}"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if len(text) < size:
+                        rows.append((doc, 0, 0, len(text), True, True, None, *range_numbers(text, 0, len(text), True, True)))
+                    for no in range(range_count(len(text), size) if len(text) >= size else 0):
+                        rows.append((doc, no, *text_range(text, no, size, HALO, HALO), *[None] * 5))
+                        if len(rows) >= 256:
+                            yield batch_of(rows, PART_TYPES + NUMBER_TYPES, schema)
+                            rows = []
+                yield batch_of(rows, PART_TYPES + NUMBER_TYPES, schema)
+
+        return self.rows.mapInArrow(run, schema)
+
+    def parts(self, needed: DataFrame, left: int, right: int) -> DataFrame:
+        """The parts of ``needed(document_id, ranges)``, ``ranges`` an array of numbers."""
+        size = self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for doc, text, nos in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    for i in range(0, len(nos), 256):
+                        yield batch_of([(doc, no, *text_range(text, no, size, left, right)) for no in nos[i : i + 256]], PART_TYPES, PARTS)
 
-def ranges(documents: DataFrame, left: int, right: int, size: int = RANGE) -> DataFrame:
-    """``(document_id, range_no, total, begin, part)``: slices of the Markdown with halos; ``begin`` is the offset of the slice."""
-    total = F.length("markdown")
-    docs = documents.where("markdown is not null").select("document_id", "markdown", total.alias("total"))
-    begin = F.greatest(F.lit(0), F.col("range_no") * size - left)
-    part = F.substring(F.col("markdown"), begin + 1, F.col("range_no") * size + size + right - begin)
-    cut = docs.withColumn("range_no", F.explode(F.sequence(F.lit(0), F.floor(F.col("total") / size).cast("int"))))
-    cut = cut.select("document_id", "range_no", "total", begin.cast("int").alias("begin"), part.alias("part"))
-    long = F.col("total") >= size
-    return cut.where(~long).unionByName(cut.where(long).repartition("document_id", "range_no"))
-
-
-def range_lines(part: str, begin: int, at: int, size: int, total: int) -> tuple[list[int], list[int], int]:
-    """Line starts in [at, at + size), the marker characters of the range before each, and all of them."""
-    end, last = at + size, at + size > total
-    first = begin - at
-    starts = [p for p in accumulate(map(len, part[: end - begin].split("\n")), lambda a, b: a + b + 1, initial=begin)]
-    starts.pop()  # the end of the last line is no start
-    starts = starts[bisect.bisect_left(starts, at) :] if first < 0 else starts
-    starts = starts[: bisect.bisect_left(starts, end)]
-    if starts and starts[0] == begin and begin > 0:
-        starts = starts[1:]  # where the slice begins is no line start
-    if at == 0 and (not starts or starts[0] != 0):
-        starts.insert(0, 0)
+        return self.rows.join(needed, "document_id").select("document_id", "markdown", "ranges").mapInArrow(run, PARTS)
+
+
+class Files:
+    """Byte ranges of the files ``files(document_id, path, length)``; no worker reads more of a file than its range and halo."""
+
+    def __init__(self, files: DataFrame, size: int = RANGE) -> None:
+        self.rows, self.size = files.where("document_id is not null").select("document_id", "path", F.col("length").cast("bigint").alias("length")), size
+
+    @staticmethod
+    def found(spark, root: str) -> DataFrame:
+        """``files`` of a folder with one folder a document, by Spark's own listing; contents aren't read."""
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
+        return listed.select(F.element_at(F.split("path", "/"), -2).alias("document_id"), "path", "length")
+
+    def _read(self, asked: DataFrame, left: int, right: int) -> DataFrame:
+        size = self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow import fs
+
+            for b in batches:
+                for doc, path, total, no in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    system, name = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
+                    with system.open_input_file(name) as f:
+                        yield batch_of([(doc, no, *byte_range(lambda at, n, f=f: f.read_at(n, at), total, no, size, left, right))], PART_TYPES, PARTS)
+
+        return asked.select("document_id", "path", "length", "range_no").repartition("document_id", "range_no").mapInArrow(run, PARTS)
+
+    def boundaries(self) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.floor(F.col("length") / self.size).cast("int")))
+        none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in NUMBERS.split(", ")]
+        return self._read(self.rows.withColumn("range_no", every), HALO, HALO).select("*", *none)
+
+    def parts(self, needed: DataFrame, left: int, right: int) -> DataFrame:
+        return self._read(self.rows.join(needed, "document_id").withColumn("range_no", F.explode("ranges")), left, right)
+
+
+# --- boundary tables ----------------------------------------------------------------------------------------------------------------
+
+
+def range_numbers(part: str, lead: int, own: int, first: bool, last: bool) -> tuple[int, int, int, list[int], list[int]]:
+    """``(n_points, n_lines, cut, starts, cuts)`` of the own part: line starts, and the marker characters of the range before each.
+
+    The end of the text counts as one more line start, one past the last code point.
+    """
+    end = lead + own
+    starts = [0] if first else []
+    at = part.find("\n", max(0, lead - 1), end)
+    while at >= 0:
+        if lead <= at + 1 < end or at + 1 == end and last:
+            starts.append(at + 1 - lead)
+        at = part.find("\n", at + 1, end)
     marks = []
-    for m in MARKER.finditer(part):
-        p = begin + m.start()
-        if at <= p < end and (p == 0 or m.start() > 0):
-            marks.append((p, m.end() - m.start() + 1))
+    if "<!-- PDF page" in part:
+        for m in MARKER.finditer(part):
+            p = m.start()
+            if lead <= p < end and (p > 0 or first):
+                marks.append((p - lead, m.end() - p + 1))
     ahead = [0, *accumulate(n for _, n in marks)]
     where = [p for p, _ in marks]
-    cuts = [ahead[bisect.bisect_left(where, s)] for s in starts] if marks else [0] * len(starts)
     if last:
-        starts.append(total + 1)
-        cuts.append(ahead[-1])
-    return starts, cuts, ahead[-1]
-
-
-def boundary_table(documents: DataFrame, size: int = RANGE) -> DataFrame:
-    """``(document_id, range_no, starts, cuts, cut, first_line, cut_before)``, stitched over the ranges of a document."""
-    schema = "document_id string, range_no int, starts array<int>, cuts array<int>, cut int"
+        starts.append(own + 1)
+    cuts = [ahead[bisect_left(where, s)] for s in starts] if marks else [0] * len(starts)
+    return own, len(starts), ahead[-1], starts, cuts
+
+
+def totals_before(rows: DataFrame, key: list[str], no: str, columns: list[str], block: int = 4_096) -> DataFrame:
+    """``(key, no, <column>_before)``: sums over the smaller numbers of the same key, within blocks and over blocks, so no task sees a whole key."""
+    numbered = rows.select(*key, no, *columns).withColumn("_block", F.floor(F.col(no) / block))
+    inside = Window.partitionBy(*key, "_block").orderBy(no).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = numbered.groupBy(*key, "_block").agg(*(F.sum(c).alias(c) for c in columns))
+    before = blocks.select(*key, "_block", *(F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"_{c}") for c in columns))
+    own = numbered.select(*key, no, "_block", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_own_{c}") for c in columns))
+    return own.join(before, [*key, "_block"]).select(*key, no, *((F.col(f"_own_{c}") + F.col(f"_{c}")).alias(f"{c}_before") for c in columns))
+
+
+def boundary_table(source: Cells | Files) -> DataFrame:
+    """``(document_id, range_no, n_points, n_lines, cut, starts, cuts)`` of every range, written once; the only reading of whole texts for lengths."""
+    schema = f"document_id string, range_no int, {NUMBERS}"
+    found = source.boundaries()
+    if isinstance(source, Cells):
+        found = cut_lineage(found)
+    names = names_of(schema)
+    far = found.where("part is not null").select(*names_of(PARTS))
+    if isinstance(source, Cells):
+        far = far.repartition("document_id", "range_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, nos, totals, begins, parts = (c.to_pylist() for c in b.columns)
-            found = [range_lines(p, g, n * size, size, t) for n, t, g, p in zip(nos, totals, begins, parts, strict=True)]
-            starts, cuts, cut = ([f[i] for f in found] for i in range(3))
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(nos, pa.int32()), pa.array(starts, ints), pa.array(cuts, ints), pa.array(cut, pa.int32())],
-                names=["document_id", "range_no", "starts", "cuts", "cut"],
-            )
-
-    table = ranges(documents, 1, MARKER_HALO, size).mapInArrow(run, schema)
-    before = Window.partitionBy("document_id").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    return table.withColumn("first_line", F.coalesce(F.sum(F.size("starts")).over(before), F.lit(0)).cast("int")).withColumn(
-        "cut_before", F.coalesce(F.sum("cut").over(before), F.lit(0)).cast("int")
-    )
+            rows = [(doc, no, *range_numbers(part, lead, own, first, last)) for doc, no, lead, own, first, last, part in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield batch_of(rows, (pa.string(), pa.int32(), *NUMBER_TYPES), schema)
 
+    near = found.where("part is null").select(*names)
+    table = near.unionByName(far.mapInArrow(run, schema)) if isinstance(source, Cells) else far.mapInArrow(run, schema)
+    return cut_lineage(table)
 
-def line_table(documents: DataFrame, size: int = RANGE) -> DataFrame:
-    """``(document_id, line_no, start, kept)`` of every line, and of the end of the text as one more.
+
+def line_table(table: DataFrame) -> DataFrame:
+    """``(document_id, line_no, range_no, start, kept)`` of every line, and of the end of the text as one more.
 
     ``start`` is the line's offset, ``kept`` the same without the characters of marker lines before it.
     """
-    lines = boundary_table(documents, size).select("document_id", "first_line", "cut_before", F.posexplode(F.arrays_zip("starts", "cuts")).alias("i", "x"))
-    return lines.select(
-        "document_id",
-        (F.col("first_line") + F.col("i")).alias("line_no"),
-        F.col("x.starts").alias("start"),
-        (F.col("x.starts") - F.col("x.cuts") - F.col("cut_before")).alias("kept"),
-    )
+    before = totals_before(table, ["document_id"], "range_no", ["n_points", "n_lines", "cut"])
+    rows = table.select("document_id", "range_no", "starts", "cuts").join(before, ["document_id", "range_no"])
+    lines = rows.select("document_id", "range_no", "n_points_before", "n_lines_before", "cut_before", F.posexplode(F.arrays_zip("starts", "cuts")).alias("i", "x"))
+    start = F.col("n_points_before") + F.col("x.starts")
+    return lines.select("document_id", (F.col("n_lines_before") + F.col("i")).alias("line_no"), "range_no", start.alias("start"), (start - F.col("cut_before") - F.col("x.cuts")).alias("kept"))
 
 
 def own_spans(sections: DataFrame) -> DataFrame:
     """``(document_id, section_id, heading, first, last)``: the lines of each section's own text, half open; ``last`` may be null."""
-    rows = sections.where("section_id is not null and document_id is not null and source_start >= 0").select(
-        "document_id", "section_id", "heading", "source_start", "source_end"
-    ).distinct()
+    keys = ["document_id", "section_id", "source_start", "source_end"]
+    rows = sections.where("section_id is not null and document_id is not null and source_start >= 0").groupBy(*keys).agg(F.min("heading").alias("heading"))
     return rows.join(following_starts(rows), ["document_id", "source_start"]).select(
         "document_id", "section_id", "heading", F.col("source_start").alias("first"), F.least("next", "source_end").alias("last")
     )
@@ -144,132 +304,197 @@ def following_starts(rows: DataFrame, bucket: int = 4_096) -> DataFrame:
     return within.join(later, ["document_id", "bucket"]).select("document_id", "source_start", F.coalesce("inside", "beyond").alias("next"))
 
 
-def section_lengths(documents: DataFrame, sections: DataFrame, size: int = RANGE) -> DataFrame:
-    """``(document_id, section_id, heading, begin, end, n_chars)`` of each section with own lines; offsets half open."""
-    lines = line_table(documents, size)
-    ends = lines.groupBy("document_id").agg(F.max("line_no").alias("n_lines"))
+def as_source(documents: DataFrame | Cells | Files, size: int) -> Cells | Files:
+    return Cells(documents, size) if isinstance(documents, DataFrame) else documents
+
+
+def section_lengths(documents: DataFrame | Cells | Files, sections: DataFrame, size: int = RANGE, table: DataFrame | None = None) -> DataFrame:
+    """``(document_id, section_id, heading, begin, end, from, n_chars, range_first, range_last)`` of each section with own lines.
+
+    ``begin`` and ``end`` are offsets, half open; ``from`` is the begin without marker characters.
+    """
+    table = boundary_table(as_source(documents, size)) if table is None else table
+    lines = line_table(table)
+    ends = table.groupBy("document_id").agg((F.sum("n_lines") - 1).alias("n_lines"))
     spans = own_spans(sections).join(ends, "document_id").withColumn("last", F.least(F.coalesce("last", "n_lines"), "n_lines")).where("first < last")
-    points = spans.select(
-        "document_id", "section_id", "heading", F.explode(F.array(F.struct(F.col("first").alias("line_no"), F.lit(-1).alias("sign")), F.struct(F.col("last").alias("line_no"), F.lit(1).alias("sign")))).alias("p")
-    ).select("document_id", "section_id", "heading", "p.line_no", "p.sign")
-    placed = points.join(lines, ["document_id", "line_no"])
-    return placed.groupBy("document_id", "section_id").agg(
-        F.first("heading").alias("heading"),
-        F.min("start").alias("begin"),
+    point: Callable[[str, int], Column] = lambda c, sign: F.struct(F.col(c).cast("bigint").alias("line_no"), F.lit(sign).alias("sign"))
+    points = spans.select("document_id", "section_id", "heading", F.col("first").alias("at"), F.explode(F.array(point("first", -1), point("last", 1))).alias("p"))
+    placed = points.select("document_id", "section_id", "heading", "at", "p.line_no", "p.sign").join(lines, ["document_id", "line_no"])
+    opened = lambda c: F.min(F.when(F.col("sign") < 0, F.col(c)))
+    # a section that is delivered with two spans keeps the longer
+    each = placed.groupBy("document_id", "section_id", "at").agg(
+        F.min("heading").alias("heading"),
+        opened("start").alias("begin"),
         (F.max("start") - 1).alias("end"),
-        F.greatest(F.sum(F.col("kept") * F.col("sign")) - 1, F.lit(0)).cast("int").alias("n_chars"),
+        opened("kept").alias("from"),
+        F.greatest(F.max("kept") - opened("kept") - 1, F.lit(0)).cast("int").alias("n_chars"),
+        opened("range_no").alias("range_first"),
+        F.max("range_no").alias("range_last"),
     )
-
-
-def oversized(documents: DataFrame, sections: DataFrame, limit: int = 3_000, size: int = RANGE) -> DataFrame:
-    return section_lengths(documents, sections, size).where(F.col("n_chars") > limit)
-
-
-def anchor(text: str, at: int, marks: list[tuple[int, int]], reach: int = REACH) -> int:
-    """The first natural boundary of ``text`` at or after ``at``; ``at`` itself where ``reach`` holds none."""
-    window = text[max(0, at - 1) : at + reach]
-    base = max(0, at - 1)
-    for pattern, shift in ((PARAGRAPH, None), (regex.compile("\n"), None), (SENTENCE, None), (BLANK, None)):
-        m = pattern.search(window)
-        if m and base + m.end() >= at:
-            at = base + m.end()
-            break
-    for a, b in marks:
-        if a < at < b:
-            return b
-    return at
-
-
-def best_cut(text: str, at: int, most: int) -> int:
-    """Where to end a piece that begins at ``at`` and may take ``most`` code points."""
-    window = text[at : at + most]
-    third = most // 3
-    for pattern in (PARAGRAPH, regex.compile("\n"), SENTENCE):
-        end = max((m.end() for m in pattern.finditer(window)), default=0)
-        if end > third:
-            return at + end
-    end = max((m.end() for m in BLANK.finditer(window)), default=0)
-    if end:
-        return at + end
-    end = at + most
-    while end > at + 1 and end < len(text) and unicodedata.combining(text[end]):
-        end -= 1
-    return end
-
-
-def tail(text: str, most: int) -> str:
-    """Up to ``most`` code points from the end of a piece, from a word's beginning where there is one."""
-    end = text[-most:] if most else ""
-    if len(text) > most and (m := BLANK.search(end)) and m.end() < len(end):
-        end = end[m.end() :]
-    return end
-
-
-def cut_range(part: str, begin: int, at: int, size: int, first: int, last: int, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
-    """Pieces ``(start, end, overlap, content)`` of the section [first, last) that begin in the range at ``at``."""
-    end = at + size
-    marks = [(m.start(), m.end() + 1) for m in MARKER.finditer(part)]
-    lo = first if first >= at else begin + anchor(part, at - begin, marks)
-    hi = last if last <= end else min(last, begin + anchor(part, end - begin, marks))
-    lo = min(lo, last)
-    if lo >= hi:
-        return []
-
-    def kept(a: int, b: int) -> tuple[str, list[int], list[int]]:
-        """The text of [a, b) without markers; where its runs begin in it and in the document."""
-        out, to, of, n = [], [], [], 0
-        for x, y in [*marks, (b - begin, b - begin)]:
-            x, y = min(begin + x, b), begin + y
-            if a < x:
-                to.append(n)
-                of.append(a)
-                out.append(part[a - begin : x - begin])
-                n += x - a
-            a = max(a, y)
-        return "".join(out), to, of
-
-    if hi == last:
-        # the last line with its line break, which is not part of the section
-        text, to, of = kept(lo, last + 1)
-        if last - begin < len(part) or (marks and marks[-1][1] > len(part)):
-            text = text[:-1]
-    else:
-        text, to, of = kept(lo, hi)
-    before = kept(max(first, lo - 4 * max(overlap, 1), begin), lo)[0] if lo > first else ""
-    pieces, pos = [], 0
-
-    def offset(p: int) -> int:
-        i = bisect.bisect_right(to, p) - 1
-        return of[i] + p - to[i]
-
-    while pos < len(text):
-        head = tail(before, overlap)
-        stop = len(text) if len(text) - pos <= limit - len(head) else best_cut(text, pos, limit - len(head))
-        pieces.append((offset(pos), offset(stop - 1) + 1, len(head), head + text[pos:stop]))
-        before, pos = text[max(0, stop - 4 * max(overlap, 1)) : stop] if stop - pos >= overlap else (before + text[pos:stop]), stop
-    return pieces
-
-
-def pieces(documents: DataFrame, sections: DataFrame, limit: int = 3_000, overlap: int = 200, size: int = RANGE) -> DataFrame:
+    best = each.groupBy("document_id", "section_id").agg(F.max_by(F.struct("heading", "begin", "end", "from", "n_chars", "range_first", "range_last"), F.struct("n_chars", -F.col("begin"))).alias("x"))
+    return best.select("document_id", "section_id", "x.*")
+
+
+def oversized(documents: DataFrame | Cells | Files, sections: DataFrame, limit: int = 3_000, size: int = RANGE, table: DataFrame | None = None) -> DataFrame:
+    return section_lengths(documents, sections, size, table).where(F.col("n_chars") > limit)
+
+
+# --- cutting ------------------------------------------------------------------------------------------------------------------------
+
+
+def joins(ch: str) -> bool:
+    """Whether a character belongs to the one before it."""
+    return unicodedata.category(ch)[0] == "M" or ch == "‍"
+
+
+class Part:
+    """A range's text without marker lines; places are counted so from the document's beginning."""
+
+    def __init__(self, part: str, lead: int, own: int, first: bool, kept_before: int, points_before: int) -> None:
+        runs, at = [], 0
+        marks = [(m.start(), m.end() + 1) for m in MARKER.finditer(part) if m.start() > 0 or first and lead == 0] if "<!-- PDF page" in part else []
+        for a, b in [*marks, (len(part), len(part))]:
+            if at < a:
+                runs.append((at, a))
+            at = max(at, b)
+        self.text = "".join(part[a:b] for a, b in runs)
+        self.to = [0, *accumulate(b - a for a, b in runs)][:-1] if runs else []
+        self.of = [a - lead + points_before for a, _ in runs]
+        # what of a marker line that begins in the range before reaches into this one was taken off there
+        spill = max((b - lead for a, b in marks if a < lead < b), default=0)
+        kept_lead = sum(min(b, lead) - a for a, b in runs if a < lead)
+        self.base = kept_before + spill - kept_lead
+        self.begin = kept_before + spill
+        self.end = self.base + sum(min(b, lead + own) - a for a, b in runs if a < lead + own)
+        self.ends = [[m.end() for m in p.finditer(self.text)] for p in (PARAGRAPH, LINE, SENTENCE, BLANK)]
+        self.ends = [[e for e in ends if e >= len(self.text) or not joins(self.text[e])] for ends in self.ends]
+
+    def offset(self, place: int) -> int:
+        """The document's offset of a place."""
+        i = bisect_right(self.to, place - self.base) - 1
+        return self.of[i] + place - self.base - self.to[i]
+
+    def content(self, a: int, b: int) -> str:
+        return self.text[a - self.base : b - self.base]
+
+    def overlap_from(self, place: int, first: int, most: int) -> int:
+        """Where the overlap of a piece at ``place`` begins: at a word's beginning within ``most`` code points, if there is one."""
+        low = max(first, place - most)
+        if low == place:
+            return place
+        at = low - self.base
+        if low > first and not self.text[at - 1].isspace():
+            blanks = self.ends[3]
+            words = (e for e in blanks[bisect_right(blanks, at) : bisect_left(blanks, place - self.base)] if not self.text[e].isspace())
+            at = next(words, at)
+        while at < place - self.base and joins(self.text[at]):
+            at += 1
+        return at + self.base
+
+    def next_cut(self, place: int, first: int, last: int, limit: int, overlap: int) -> int:
+        """Where the piece that begins at ``place`` ends."""
+        most = limit - (place - self.overlap_from(place, first, overlap))
+        if last - place <= most:
+            return last
+        at, end = place - self.base, place - self.base + most
+        third = at + most // 3
+        for low, kinds in ((third, self.ends), (at, (*self.ends[2::-1], self.ends[3]))):
+            for ends in kinds:
+                i = bisect_right(ends, end) - 1
+                if i >= 0 and ends[i] > low:
+                    return ends[i] + self.base
+        cut = next((c for c in range(end, max(at, end - MARKS), -1) if c >= len(self.text) or not joins(self.text[c])), end)
+        return cut + self.base
+
+    def entries(self, last: int, limit: int, overlap: int) -> list[int]:
+        """Where a piece may begin that follows a piece of an earlier range: boundaries, and places far behind any."""
+        low, high = self.begin, min(self.end, self.begin + limit, last)
+        natural = sorted({e + self.base for ends in self.ends for e in ends[bisect_left(ends, low - self.base) : bisect_left(ends, high - self.base)]})
+        before = max((ends[i - 1] for ends in self.ends if (i := bisect_left(ends, low - self.base))), default=None)
+        marks = [self.base if before is None else before + self.base, *natural, high]
+        far = (limit - overlap) // 2
+        return sorted({*natural, *(p for a, b in zip(marks, marks[1:]) for p in range(max(low, a + far), b))})
+
+
+WORK = "document_id string, range_no int, kept_before bigint, n_points_before bigint, lead int, own int, first boolean, part string, sections array<struct<section_id:string,heading:string,from:bigint,until:bigint,entry:bigint,base:bigint>>"
+PIECES = "section_id string, piece_no int, document_id string, heading string, start_pos int, end_pos int, overlap int, content string"
+PIECE_TYPES = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+
+
+def pieces(documents: DataFrame | Cells | Files, sections: DataFrame, limit: int = 3_000, overlap: int = 200, size: int = RANGE) -> DataFrame:
     """``(section_id, piece_no, document_id, heading, start_pos, end_pos, overlap, content)`` of the oversized sections."""
-    if not 0 <= overlap < limit or size < 2 * PIECE_HALO:
-        raise ValueError("0 <= overlap < limit and ranges of at least two halos are needed")
-    big = oversized(documents, sections, limit, size)
-    of = F.sequence(F.floor(F.col("begin") / size).cast("int"), F.floor((F.col("end") - 1) / size).cast("int"))
-    parts = big.select("*", F.explode(of).alias("range_no"))
-    parts = parts.select("document_id", "range_no", "section_id", "heading", F.col("begin").alias("first"), F.col("end").alias("last"))
-    slices = ranges(documents, PIECE_HALO, PIECE_HALO, size)
-    work = parts.join(slices, ["document_id", "range_no"]).select("document_id", "range_no", "section_id", "heading", "first", "last", "begin", "part")
-    schema = "section_id string, document_id string, heading string, start_pos int, end_pos int, overlap int, content string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if not 0 <= overlap < limit or size < 4 * limit:
+        raise ValueError("0 <= overlap < limit and ranges of at least four times the limit are needed")
+    source = as_source(documents, size)
+    table = boundary_table(source)
+    big = cut_lineage(oversized(source, sections, limit, size, table).withColumn("until", F.col("from") + F.col("n_chars")))
+    at = big.select("document_id", "section_id", "heading", "from", "until", F.explode(F.sequence("range_first", "range_last")).alias("range_no"))
+    needed = at.groupBy("document_id").agg(F.array_sort(F.collect_set("range_no")).alias("ranges"))
+    before = totals_before(table, ["document_id"], "range_no", ["n_points", "cut"]).select("document_id", "range_no", (F.col("n_points_before") - F.col("cut_before")).alias("kept_before"), "n_points_before")
+    parts = source.parts(needed, limit + HALO, limit + HALO).join(before, ["document_id", "range_no"])
+    crossing = at.join(big.where("range_first < range_last").select("document_id", "section_id"), ["document_id", "section_id"], "left_semi")
+
+    def work(rows: DataFrame, texts: DataFrame) -> DataFrame:
+        grouped = rows.groupBy("document_id", "range_no").agg(F.collect_list(F.struct("section_id", "heading", "from", "until", "entry", "base")).alias("sections"))
+        return texts.join(grouped, ["document_id", "range_no"]).select(*names_of(WORK.split(", sections")[0]), "sections")
+
+    def part_of(r: tuple) -> Part:
+        _, _, kept, points, lead, own, first, text = r
+        return Part(text, lead, own, first, kept, points)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for *r, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                part, rows = part_of(tuple(r)), []
+                for s in own:
+                    place, no = s["entry"], s["base"]
+                    while place < min(s["until"], part.end):
+                        stop = part.next_cut(place, s["from"], s["until"], limit, overlap)
+                        head = part.overlap_from(place, s["from"], overlap)
+                        rows.append((s["section_id"], no, r[0], s["heading"], part.offset(place), part.offset(stop - 1) + 1, place - head, part.content(head, stop)))
+                        place, no = stop, no + 1
+                yield batch_of(rows, PIECE_TYPES, PIECES)
+
+    steps = "document_id string, range_no int, section_id string, entry bigint, exit bigint, n bigint"
+
+    def jump(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, no, sec, heading, first, last, begin, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows += [(sec, doc, heading, *p) for p in cut_range(part, begin, no * size, size, first, last, limit, overlap)]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            names = ["section_id", "document_id", "heading", "start_pos", "end_pos", "overlap", "content"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-    order = Window.partitionBy("section_id").orderBy("start_pos")
-    return work.mapInArrow(run, schema).withColumn("piece_no", (F.row_number().over(order) - 1).cast("int"))
+            for *r, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                part, rows = part_of(tuple(r)), []
+                for s in own:
+                    known: dict[int, tuple[int, int]] = {}
+                    for entry in [s["from"]] if s["from"] >= part.begin else part.entries(s["until"], limit, overlap):
+                        trail, place = [], entry
+                        while place not in known and place < min(s["until"], part.end):
+                            trail.append(place)
+                            place = part.next_cut(place, s["from"], s["until"], limit, overlap)
+                        exit_, n = known.get(place, (place, 0))
+                        for p in reversed(trail):
+                            n += 1
+                            known[p] = (exit_, n)
+                        rows.append((r[0], r[1], s["section_id"], entry, *known.get(entry, (entry, 0))))
+                yield batch_of(rows, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), steps)
+
+    here = at.withColumn("entry", F.col("from")).withColumn("base", F.lit(0).cast("bigint"))
+    if crossing.isEmpty():
+        return work(here, parts).mapInArrow(cut, PIECES)
+    parts = cut_lineage(parts)
+    key = ["document_id", "section_id"]
+    inside = here.join(crossing.select(*key).distinct(), key, "left_anti")
+    asked = crossing.withColumn("entry", F.lit(None).cast("bigint")).withColumn("base", F.lit(None).cast("bigint"))
+    jumps = cut_lineage(work(asked, parts).mapInArrow(jump, steps).where("entry < exit"))
+    begun = crossing.select(*key, F.col("from").alias("entry")).distinct()
+    # a piece begins in a range only where one of the ranges before leads
+    led = jumps.select(*key, F.col("exit").alias("entry")).unionByName(begun).distinct()
+    jumps = places = cut_lineage(jumps.join(led, [*key, "entry"], "left_semi"))
+    reached = begun.withColumn("base", F.lit(0).cast("bigint"))
+    most, span = big.agg(F.max(F.col("range_last") - F.col("range_first"))).first()[0], 1
+    while span <= most:
+        ahead = reached.join(jumps, [*key, "entry"]).select(*key, F.col("exit").alias("entry"), (F.col("base") + F.col("n")).alias("base"))
+        reached = cut_lineage(reached.unionByName(ahead))
+        after = jumps.select(*key, F.col("entry").alias("exit"), F.col("exit").alias("beyond"), F.col("n").alias("more"))
+        jumps = cut_lineage(jumps.join(after, [*key, "exit"]).select(*key, "entry", F.col("beyond").alias("exit"), (F.col("n") + F.col("more")).alias("n")))
+        span *= 2
+    columns = [*key, "range_no", "heading", "from", "until", "entry", "base"]
+    across = crossing.join(places.select(*key, "range_no", "entry"), [*key, "range_no"]).join(reached, [*key, "entry"])
+    return work(inside.select(columns).unionByName(across.select(columns)), parts).mapInArrow(cut, PIECES)

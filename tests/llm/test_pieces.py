@@ -28,7 +28,7 @@ def corpus():
     return docs, secs
 
 
-@pytest.mark.parametrize("size", [P.RANGE, 2 * P.PIECE_HALO, 5 * P.PIECE_HALO])
+@pytest.mark.parametrize("size", [P.RANGE, 12_000, 30_000])
 def test_pieces_make_up_the_sections(spark, corpus, size):
     docs, secs = corpus
     documents = spark.createDataFrame(docs, "document_id string, markdown string")
@@ -61,3 +61,74 @@ def test_empty_tables(spark):
     documents = spark.createDataFrame([], "document_id string, markdown string")
     sections = spark.createDataFrame([], "section_id string, document_id string, heading string, source_start int, source_end int")
     assert P.pieces(documents, sections).count() == 0
+
+
+def pieces_of(spark, text, size, limit=3_000, overlap=200, source=None):
+    documents = source or spark.createDataFrame([("d", text)], "document_id string, markdown string")
+    sections = spark.createDataFrame([("s", "d", "h", 0, None, 1)], "section_id string, document_id string, heading string, source_start int, source_end int, part int")
+    return [tuple(r) for r in P.pieces(documents, sections, limit, overlap, size).orderBy("piece_no").collect()]
+
+
+def long_text(seed, n):
+    rng = random.Random(seed)
+    words = ["milling", "gauge.", "Füge", "检验。", "x" * 40, "ok!", "and", "é́" * 5, "𝒳"]
+    out = []
+    while sum(map(len, out)) < n:
+        kind = rng.random()
+        out.append("" if kind < 0.1 else f"<!-- PDF page {rng.randrange(9)} -->" if kind < 0.2 else "y" * rng.randrange(1, 9_000) if kind < 0.22 else " ".join(rng.choices(words, k=rng.randrange(1, 200))))
+    return "\n".join(out)
+
+
+def test_pieces_do_not_depend_on_ranges(spark):
+    text = long_text(3, 60_000)
+    whole = pieces_of(spark, text, 1 << 20)
+    assert [r[1] for r in whole] == list(range(len(whole))) and len(whole) > 20
+    assert "".join(r[7][r[6] :] for r in whole) == own_text(text, 0, None)
+    assert pieces_of(spark, text, 12_000) == whole == pieces_of(spark, text, 17_001)
+
+
+def test_byte_ranges_of_files_give_the_same_pieces(spark, tmp_path):
+    text = long_text(4, 40_000)
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "document.md").write_bytes(text.encode())
+    whole = pieces_of(spark, text, 1 << 20)
+    for size in (12_000, 20_011):
+        found = P.Files(P.Files.found(spark, str(tmp_path)), size)
+        assert pieces_of(spark, None, size, source=found) == whole
+
+
+def test_many_small_ranges(spark):
+    text = long_text(5, 120_000)
+    whole = pieces_of(spark, text, 1 << 20, 30, 7)
+    assert all(len(r[7]) <= 30 for r in whole)
+    assert pieces_of(spark, text, 120, 30, 7) == whole
+
+
+def test_runs_without_boundaries_and_marks(spark):
+    for text in ("z" * 50_000, "e\u0301" * 20_000, "z" * 2_900 + "。" + "z" * 9_000, "\u0301" * 9_000):
+        rows = pieces_of(spark, text, 12_000, overlap=201)
+        assert "".join(r[7][r[6] :] for r in rows) == text and all(len(r[7]) <= 3_000 for r in rows)
+        if text[0] == "e":
+            assert all(r[7][0] == "e" and r[7][r[6]] == "e" for r in rows)
+        if "。" in text:
+            assert rows[0][7].endswith("。")
+
+
+def test_byte_ranges_put_code_points_together():
+    raw = "aé漢𝒳\u0301".encode() * 50 + b"\xff\xc3"
+    for size in (1, 2, 3, 5, 7, 64, len(raw), 1_000):
+        own = []
+        for no in range(P.range_count(len(raw), size)):
+            lead, n, first, last, part = P.byte_range(lambda at, k: raw[at : at + k], len(raw), no, size, 3, 3)
+            own.append(part[lead : lead + n])
+            assert first == (no == 0) and last == (no == len(raw) // size)
+        assert "".join(own) == raw.decode("utf-8", "replace")
+
+
+def test_two_headings_and_spans_of_one_section(spark):
+    documents = spark.createDataFrame([("d", "x " * 2_000 + "\n" + "y " * 100)], "document_id string, markdown string")
+    rows = [("s", "d", "b", 0, 1), ("s", "d", "a", 0, 1), ("s", "d", "b", 0, 2)]
+    sections = spark.createDataFrame(rows, "section_id string, document_id string, heading string, source_start int, source_end int")
+    got = P.section_lengths(documents, sections).collect()
+    assert [(r["section_id"], r["n_chars"]) for r in got] == [("s", 4_201)]
+    assert {r["piece_no"] for r in P.pieces(documents, sections).collect()} == {0, 1}
