@@ -264,9 +264,8 @@ def boundary_table(source: Cells | Files) -> DataFrame:
             rows = [(doc, no, *range_numbers(part, lead, own, first, last)) for doc, no, lead, own, first, last, part in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield batch_of(rows, (pa.string(), pa.int32(), *NUMBER_TYPES), schema)
 
-    near = found.where("part is null").select(*names)
-    table = near.unionByName(far.mapInArrow(run, schema)) if isinstance(source, Cells) else far.mapInArrow(run, schema)
-    return cut_lineage(table)
+    table = cut_lineage(far.mapInArrow(run, schema))
+    return found.where("part is null").select(*names).unionByName(table) if isinstance(source, Cells) else table
 
 
 def line_table(table: DataFrame) -> DataFrame:
