@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
-from pyspark.sql import functions as F
-
 from strataquill.llm.sentences import sentences
 from strataquill.plans.registry import Registry
 from strataquill.session import text_table
@@ -20,7 +17,5 @@ def p8_found(spark, sf_dir):
 @R.query("p8_texts")
 def p8_texts(spark, sf_dir):
     """Every sentence with its number and its text."""
-    docs = text_table(spark, sf_dir, "documents")
-    found = sentences(docs).withColumn("sentence_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("start_pos")) - 1)
-    text = F.substring(F.col("text"), F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos"))
-    return found.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "sentence_no", text.alias("sentence"))
+    found = sentences(text_table(spark, sf_dir, "documents"), with_text=True)
+    return found.select("doc_id", "sentence_no", "sentence")

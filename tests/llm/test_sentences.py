@@ -50,8 +50,8 @@ def test_spans_cover_all_but_white_space(weights):
 def test_held_out_paragraph_ends(weights):
     """Reliable labels of texts that weren't trained on."""
     held = ["The seal was warm. The team left.\n\nProf. Kim came at 6 p.m. The gauge was new.\n\nNo. 7 held.", "Die Welle wiegt ca. 9 kg. Die Pumpe steht.\n\nSchluss."]
-    rows = [r for t in held for r in S.reliable(t)]
-    right = sum((weights[f].sum() > 0) == bool(y) for f, y in rows)
+    rows = [r for t in held for r in S.reliable(t, weights.usage)]
+    right = sum((weights.weights[f].sum() > 0) == bool(y) for f, y in rows)
     assert rows and right >= 0.9 * len(rows)
 
 
@@ -60,3 +60,39 @@ def test_frame(spark):
     got = S.sentences(df)
     assert got.columns == ["doc_id", "start_pos", "end_pos"] and {r[0] for r in got.collect()} == {1}
     assert S.sentences(df.where("false")).count() == 0
+
+
+OTHER_SCRIPTS = [
+    "Սա նախադասություն է։ Սա մյուսն է։", "ይህ ዓረፍተ ነገር ነው። ይህ ሌላ ነው።", "នេះជាប្រយោគ។ នេះជាប្រយោគមួយទៀត។", "ဒါက ဝါကျ ဖြစ်တယ်။ နောက်တစ်ခု ရှိတယ်။",
+    "འདི་ཚིག་གྲུབ་ཡིན། འདི་གཞན་ཞིག་ཡིན།", "Πού είναι η αντλία\u037e Είναι εδώ.", "یہ ایک جملہ ہے۔ یہ دوسرا ہے۔",
+]
+
+
+@pytest.mark.parametrize("text", OTHER_SCRIPTS)
+def test_marks_of_other_scripts(weights, text):
+    assert len(S.split(text, weights)) == 2
+
+
+def test_abbreviations_are_learned_from_the_corpus():
+    """Words that no list names, from how they stand in the texts."""
+    names = ["Brown", "Hall", "Grey", "Stone", "Holm", "Kern", "Rowe", "Shaw"]
+    texts = [f"We met Gov. {n} and Hrsg. {n} there. The pump was sound. It ran well." for n in names] + ["The team left the hall.\n\nIt ran well.\n\nThe pump was sound."] * 3
+    assert not {"gov", "hrsg"} & S.ABBREVIATIONS
+    model = S.train([*S.SEEDS, *texts])
+    assert {"gov", "hrsg"} <= model.usage.before and not {"well", "sound", "there"} & model.usage.before
+    text = "Then Gov. Miller came with Hrsg. Lind. The valve held."
+    assert [text[a:b] for a, b in S.split(text, model)] == ["Then Gov. Miller came with Hrsg. Lind.", "The valve held."]
+
+
+def test_brackets_are_linear(weights):
+    import time
+
+    began = time.perf_counter()
+    for text in ("(" * 100_000, "“" * 100_000 + " a. B", "( a. " * 50_000, "(a) " * 50_000, "\" a. " * 50_000, "." * 200_000, ". " * 100_000):
+        S.split(text, weights)
+    assert time.perf_counter() - began < 20
+
+
+def test_quotations_as_before():
+    text = 'a (b (c) d) “e «f» g” „k“ "h" («i») 「j'
+    assert [text[a:b] for a, b in S.protected(text, 0, len(text))] == ["(b (c) d)", "“e «f» g”", "„k“", '"h"', "(«i»)"]
