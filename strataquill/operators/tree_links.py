@@ -9,6 +9,10 @@ A round that resolves no node proves that the rest never ends: were there a
 node of greater depth, one of its ancestors would have had just the depth
 that this round resolves.
 
+What is resolved is written once and set aside; a round reads it but rewrites
+pending nodes only. Where the pending nodes are counted to be few, they are
+broadcast to the others, so late rounds shuffle nothing.
+
 Defined results for odd input: rows with a null or blank id are no nodes; rows
 delivered again count once; where an id occurs with several parents the
 smallest parent counts; an empty table gives an empty result; columns other
@@ -39,12 +43,15 @@ def tree_nodes(rows: DataFrame, id_col: str, parent_col: str) -> DataFrame:
         .groupBy("node")
         .agg(F.min("label").alias("label"), F.min("parent").alias("parent"))
     )
-    # a parent of many children is one row here, so the join's right side has unique keys
-    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("exists"))
-    with_parent = nodes.where("parent is not null").join(known, "parent", "left")
-    return nodes.where("parent is null").select("node", "label", "parent").unionByName(
-        with_parent.select("node", "label", F.when(F.col("exists"), F.col("parent")).alias("parent"))
-    )
+    nodes = cut_lineage(nodes)
+    # a parent of many children is one row here, so the join's right side has unique keys; nodes without a parent are spread
+    known = nodes.select(F.col("node").alias("key"), F.lit(True).alias("exists"))
+    keyed = nodes.withColumn("key", F.coalesce("parent", F.concat(F.lit("\x00"), "node")))
+    return keyed.join(known, "key", "left").select("node", "label", F.when(F.col("exists"), F.col("parent")).alias("parent"))
+
+
+#: Pending rows (times the length of their paths) that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def resolve_links(rows: DataFrame, id_col: str, parent_col: str, with_path: bool = False, whole_cycles: bool = False) -> DataFrame:
@@ -64,41 +71,52 @@ def resolve_links(rows: DataFrame, id_col: str, parent_col: str, with_path: bool
         F.coalesce("parent", "node").alias("at"),
         F.when(is_root, 0).otherwise(1).cast("long").alias("depth"),
         is_root.alias("done"),
+        F.when(is_root, F.col("label")).alias("root"),
         F.coalesce("parent", "node").alias("lowest"),
         *([F.array("label").alias("path")] if with_path else []),
     )
-    state = cut_lineage(state)
-    counts = {r["done"]: r["count"] for r in state.groupBy("done").count().collect()}
-    pending, span, stuck = counts.get(False, 0), 1, False
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    written = cut_lineage(state)
+    settled, active = [written.where("done")], written.where("not done")
+    pending, span, stuck = active.count(), 1, False
     while pending and not (stuck and (not whole_cycles or span >= pending)):
-        ahead = state.select(
+        everything = active
+        for part in settled:
+            everything = everything.unionByName(part)
+        ahead = everything.select(
             F.col("node").alias("at"),
             F.col("at").alias("next_at"),
             F.col("depth").alias("more"),
             F.col("done").alias("ends"),
+            F.col("root").alias("found"),
             F.col("lowest").alias("low"),
             *([F.col("path").alias("head")] if with_path else []),
         )
-        active = state.where("not done").join(ahead, "at")
-        moved = active.select(
+        few = pending * (span if with_path else 1) <= BROADCAST_ROWS
+        moved = (F.broadcast(active.drop("root", "done")) if few else active.drop("root", "done")).join(ahead, "at").select(
             "node",
             "label",
             F.col("next_at").alias("at"),
             (F.col("depth") + F.col("more")).alias("depth"),
             F.col("ends").alias("done"),
+            F.col("found").alias("root"),
             F.least("lowest", "low").alias("lowest"),
             *([F.concat("head", "path").alias("path")] if with_path else []),
         )
-        state = cut_lineage(state.where("done").unionByName(moved))
-        left = state.where("not done").count()
+        # a pending node has exactly one node ahead, so the number of rows is known
+        written = cut_lineage(moved.coalesce(max(cores, pending // BROADCAST_ROWS)))
+        settled.append(written.where("done"))
+        active = written.where("not done")
+        left = active.count()
         stuck, pending, span = left == pending, left, span * 2
-    names = state.where("done").where("depth = 0").select(F.col("node").alias("at"), F.col("label").alias("root"))
-    ended = state.where("done").join(names, "at")
-    endless = state.where("not done").withColumn("root", F.lit(None).cast("string")).withColumn("depth", F.lit(-1).cast("long"))
     columns = ["node", "label", "root", "depth", "at", "lowest", *(["path"] if with_path else [])]
+    out = active.withColumn("root", F.lit(None).cast("string")).withColumn("depth", F.lit(-1).cast("long"))
     if with_path:
-        endless = endless.withColumn("path", F.lit(None).cast("array<string>"))
-    return ended.select(columns).unionByName(endless.select(columns))
+        out = out.withColumn("path", F.lit(None).cast("array<string>"))
+    out = out.select(columns)
+    for part in settled:
+        out = out.unionByName(part.select(columns))
+    return out
 
 
 def roots_and_depths(rows: DataFrame, id_col: str = "section_id", parent_col: str = "parent_section_id") -> DataFrame:
