@@ -7,13 +7,16 @@ a sufficient prefix: the one that is rarest in the corpus. The steps:
 
 1. every text is read once; of its shingles those are kept that may occur in an
    item, told by a bit filter of fixed size (``2**filter_bits`` bits) that is
-   built from the items; it lets strangers through, never holds back a hit;
+   built from the items; it lets strangers through, never holds back a hit. They
+   are counted, and where as many as a window needs stand in a row, their words
+   are kept in blocks of at most ``BLOCK`` window starts;
 2. the corpus frequency of each item shingle orders the shingles by rarity;
    a window with a shingle that the corpus lacks can't occur and is dropped;
 3. each window's rarest shingle is joined with the kept shingles of the texts;
 4. length and positional bounds: the window, put where the shingle stands, must
-   lie inside the text;
-5. the words of what is left are compared one by one, over windows of item size.
+   lie inside the text and begin in the block;
+5. the words of what is left are compared one by one, over windows of item size,
+   with the kept words, so that the corpus is neither read again nor shuffled.
 
 Words are runs of letters, digits and their marks after compatibility folding;
 case, width, punctuation, white space, invisible characters and the composition
@@ -29,7 +32,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -49,6 +51,8 @@ SHINGLE, CJK_SHINGLE = 5, 10
 
 
 def folded(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     return unicodedata.normalize("NFC", unicodedata.normalize("NFKC", HIDDEN.sub("", text)).casefold())
 
 
@@ -86,7 +90,8 @@ def shingle_hashes(units: list[str], k: int, cache: dict[str, int]) -> np.ndarra
     return out
 
 
-#: As text, so that a test can run the operator at other sizes.
+#: Window starts of a block of kept words.
+BLOCK = 256
 SHINGLES = "cjk boolean, units int, pos int, shingle bigint"
 
 
@@ -138,6 +143,54 @@ def shingles(rows: DataFrame, key: str, text: str, each, bits=None, filter_bits:
     return source.mapInArrow(run, schema)
 
 
+def kept_runs(rows: DataFrame, key: str, text: str, bits, filter_bits: int, needed: dict[bool, int]) -> DataFrame:
+    """What of the texts may be of an item: ``(key, cjk, units, start, words, shingles)`` blocks, and ``(cjk, shingles, n)`` counts with a null key.
+
+    A block holds a run of passing shingles from ``start`` on, those of at most
+    ``BLOCK`` window starts, and their words. ``needed`` is how many shingles a
+    window has.
+    """
+    source = rows.select(key, text)
+    kind = dict(source.dtypes)[key]
+    schema = f"{key} {kind}, cjk boolean, units int, start int, words array<string>, shingles array<bigint>, n array<bigint>"
+    names = [key, "cjk", "units", "start", "words", "shingles", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, int] = {}
+        passing = bits.value
+        for b in batches:
+            at, out, seen = [], [], {False: [], True: []}
+            for row, value in enumerate(b.column(1).to_pylist()):
+                if not value:
+                    continue
+                for cjk, units, k in _both(value):
+                    h = shingle_hashes(units, k, cache)
+                    if not len(h):
+                        continue
+                    slot = h >> np.uint64(64 - filter_bits)
+                    ok = (passing[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    if not ok.any():
+                        continue
+                    seen[cjk].append(h[ok])
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], ok.view(np.int8), [0]))))
+                    for first, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                        n = needed[cjk]
+                        for start in range(first, end - n + 1, BLOCK):
+                            stop = min(end, start + BLOCK + n - 1)
+                            at.append(row)
+                            out.append((cjk, len(units), start, units[start : stop + k - 1], h[start:stop].astype(np.int64).tolist(), None))
+            keys = b.column(0).take(pa.array(at, pa.int64()))
+            for cjk, parts in seen.items():
+                if parts:
+                    values, counts = np.unique(np.concatenate(parts), return_counts=True)
+                    out.append((cjk, None, None, None, values.astype(np.int64).tolist(), counts.tolist()))
+            keys = pa.concat_arrays([keys, pa.nulls(len(out) - len(at), keys.type)])
+            types = (pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=names)
+
+    return source.mapInArrow(run, schema)
+
+
 def bit_filter(item_shingles: DataFrame, filter_bits: int) -> np.ndarray:
     """Bits of the slots that item shingles fall on; made of at most ``2**filter_bits / 8`` slot rows."""
     slot = F.shiftrightunsigned("shingle", 64 - filter_bits)
@@ -165,43 +218,47 @@ def leaked(
     own = own.withColumn("item", F.xxhash64(item_key, item_text))
     item_rows = shingles(own, "item", item_text, _own)
     bits = spark.sparkContext.broadcast(bit_filter(item_rows, filter_bits))
-    hits = shingles(documents, doc_key, text, _both, bits, filter_bits)
-
-    wanted = item_rows.select("cjk", "shingle").distinct()
-    # the texts are read once; what is kept of them is written and used three times
-    hits = cut_lineage(hits.join(wanted, ["cjk", "shingle"], "left_semi"))
-    rarity = hits.groupBy("cjk", "shingle").agg(F.count("*").alias("freq"))
+    lengths = {False: window, True: cjk_window}
+    needed = {False: window - SHINGLE + 1, True: cjk_window - CJK_SHINGLE + 1}
+    seen = cut_lineage(kept_runs(documents.where(F.col(doc_key).isNotNull()), doc_key, text, bits, filter_bits, needed))
+    counts = seen.where("n is not null").select("cjk", F.explode(F.arrays_zip("shingles", "n")).alias("x"))
+    rarity = counts.groupBy("cjk", F.col("x.shingles").alias("shingle")).agg(F.sum("x.n").alias("freq"))
 
-    size = F.when(F.col("cjk"), cjk_window - CJK_SHINGLE + 1).otherwise(window - SHINGLE + 1)
     rated = item_rows.join(rarity, ["cjk", "shingle"], "left").withColumn("rank", F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "pos", "shingle"))
     order = Window.partitionBy("item").orderBy("pos")
     prefix = None
-    for cjk, length in ((False, window - SHINGLE + 1), (True, cjk_window - CJK_SHINGLE + 1)):
+    for cjk, n in needed.items():
         part = (
             rated.where(F.col("cjk") if cjk else ~F.col("cjk"))
-            .withColumn("rarest", F.min("rank").over(order.rowsBetween(0, length - 1)))
-            .where((F.col("pos") + (window if not cjk else cjk_window) <= F.col("units")) & (F.col("rarest.freq") > 0))
-            .select("item", "cjk", F.col("rarest.shingle").alias("shingle"), F.col("rarest.pos").alias("item_pos"), F.col("pos").alias("start"))
+            .withColumn("rarest", F.min("rank").over(order.rowsBetween(0, n - 1)))
+            .where((F.col("pos") + lengths[cjk] <= F.col("units")) & (F.col("rarest.freq") > 0))
+            .select("item", "cjk", F.col("rarest.shingle").alias("shingle"), F.col("rarest.pos").alias("item_pos"), F.col("pos").alias("at"))
         )
         prefix = part if prefix is None else prefix.unionByName(part)
-    prefix = prefix.groupBy("item", "cjk", "shingle", "item_pos").agg(F.collect_list(F.col("item_pos") - F.col("start")).alias("leads"))
+    prefix = prefix.groupBy("item", "cjk", "shingle", "item_pos").agg(F.collect_list(F.col("item_pos") - F.col("at")).alias("leads"))  # at most a window's shingles
+    blocks = seen.where("words is not null")
     length = F.when(F.col("cjk"), cjk_window).otherwise(window)
+    hits = blocks.select(doc_key, "cjk", "units", "start", F.posexplode("shingles").alias("i", "shingle"))
     begins = (
         hits.join(prefix, ["cjk", "shingle"])
-        .select(doc_key, "item", "cjk", "units", "pos", "item_pos", F.explode("leads").alias("lead"))
-        .where((F.col("pos") >= F.col("lead")) & (F.col("pos") - F.col("lead") + length <= F.col("units")))
-        .select(doc_key, "item", "cjk", (F.col("pos") - F.col("lead")).alias("at"), (F.col("item_pos") - F.col("lead")).alias("start"))
+        .select(doc_key, "cjk", "units", "start", "i", "item", "item_pos", F.explode("leads").alias("lead"))
+        .withColumn("at", F.col("i") - F.col("lead"))
+        .where((F.col("at") >= 0) & (F.col("at") < BLOCK) & (F.col("start") + F.col("at") + length <= F.col("units")))
+        .select(doc_key, "cjk", "start", "at", "item", (F.col("item_pos") - F.col("lead")).alias("item_at"))
     )
-    places = begins.groupBy(doc_key, "item", "cjk").agg(F.collect_set(F.struct("at", "start")).alias("places"))
+    found = blocks.select(doc_key, "cjk", "start", "words").join(begins, [doc_key, "cjk", "start"]).join(item_words(own, item_text), ["item", "cjk"])
+    same = F.slice("words", F.col("at") + 1, length) == F.slice("item_words", F.col("item_at") + 1, length)
+    return found.where((F.size(F.slice("words", F.col("at") + 1, length)) == length) & same).select(doc_key, item_key).distinct()
 
-    @F.pandas_udf("boolean")
-    def same(texts: pd.Series, others: pd.Series, cjks: pd.Series, where: pd.Series) -> pd.Series:
-        def one(a: str, b: str, cjk: bool, at) -> bool:
-            split, n = (signs_of, cjk_window) if cjk else (words_of, window)
-            x, y = split(a), split(b)
-            return any(x[p["at"] : p["at"] + n] == y[p["start"] : p["start"] + n] for p in at)
 
-        return pd.Series([one(*r) for r in zip(texts, others, cjks, where, strict=True)], dtype=bool)
+def item_words(own: DataFrame, item_text: str) -> DataFrame:
+    """The items with their words, or letters and digits."""
+    kinds = dict(own.dtypes)
+    names = own.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = [next(iter(_own(t))) for t in b.column(names.index(item_text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in split], pa.bool_()), pa.array([x[1] for x in split], pa.list_(pa.string()))], names=[*names, "cjk", "item_words"])
 
-    found = places.join(own, "item").join(documents.select(doc_key, text), doc_key)
-    return found.where(same(F.col(text), F.col(item_text), F.col("cjk"), F.col("places"))).select(doc_key, item_key).distinct()
+    return own.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", cjk boolean, item_words array<string>").drop(item_text)

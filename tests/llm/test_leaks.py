@@ -47,3 +47,12 @@ def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string")
     e = spark.createDataFrame([("g", EN)], "gold_group_id string, evidence_text string")
     assert L.leaked(d, e).count() == 0
+
+
+def test_runs_longer_than_a_block(spark):
+    """Each window of a long item is found wherever it stands, also across blocks and in a text that repeats it."""
+    words = [f"v{i}" for i in range(900)]
+    item = " ".join(words)
+    docs = [" ".join(words[a : a + 12]) for a in range(0, 880, 37)] + [" ".join(words * 3), " ".join(words[:600] + ["gap"] + words[600:]), " ".join(x for a in range(0, 880, 11) for x in words[a : a + 11] + ["gap"])]
+    got = run(spark, docs, [("g", item)])
+    assert [i for i, _ in got] == list(range(len(docs) - 1))
