@@ -69,26 +69,35 @@ def subgraphs(edges: DataFrame, sources: DataFrame, depth: int, max_nodes: int)
     return sizes.join(links, "source", "left").select("source", F.col("n").alias("nodes"), r.alias("links"), density.alias("density"))
 
 
-def components(pairs: DataFrame, group: Sequence[str], a: str, b: str, rounds: int = 60) -> DataFrame:
-    """GRA15: connected components by the smallest label, halving distances each round.
-
-    ``(group, node, component)``. Rounds go on until no label changes; each cuts
-    the lineage, so a long run neither recomputes nor grows its plan.
+def components(pairs: DataFrame, group: Sequence[str], a: str, b: str) -> DataFrame:
+    """GRA15: connected components by the smallest label: ``(group, node, component)``.
+
+    Alternating stars: a node hands its larger neighbours to its smallest one,
+    then its smaller ones too. Each step keeps the components and brings every
+    node nearer to the smallest; it ends with one star a component, after about
+    log squared rounds. Links shrink to one a node, the smallest neighbour is
+    aggregated before it is joined, and a hub is one row of the join's right side.
     """
     from strataquill.session import cut_lineage
 
-    links = cut_lineage(pairs.select(*group, F.col(a).alias("x"), F.col(b).alias("y")).unionByName(pairs.select(*group, F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
-    labels = cut_lineage(links.groupBy(*group, F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
-    for _ in range(rounds):
-        near = links.join(labels.withColumnRenamed("node", "y"), [*group, "y"]).groupBy(*group, F.col("x").alias("node")).agg(F.min("component").alias("m"))
-        moved = labels.join(near, [*group, "node"]).select(*group, "node", "component", F.least("component", "m").alias("m"))
-        jump = moved.select(*group, F.col("node").alias("m"), F.col("m").alias("further"))
-        fresh = cut_lineage(moved.join(jump, [*group, "m"], "left").select(*group, "node", F.col("component").alias("before"), F.least("m", F.coalesce("further", "m")).alias("component")))
-        done = fresh.where("component < before").limit(1).count() == 0
-        labels = fresh.drop("before")
-        if done:
-            return labels
-    raise RuntimeError("components did not settle")
+    both = pairs.select(*group, F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
+    nodes = cut_lineage(both.select(*group, "x").unionByName(both.select(*group, F.col("y").alias("x"))).distinct())
+    # every link once, from the larger end
+    links = cut_lineage(both.where("x <> y").select(*group, F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*group, "x", "y").cast("decimal(38,0)"))).first())
+
+    before, now = None, mark(links)
+    while now != before:
+        ways = links.unionByName(links.select(*group, F.col("y").alias("x"), F.col("x").alias("y")))
+        least = ways.groupBy(*group, "x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        large = ways.where("y > x").join(least, [*group, "x"]).select(*group, F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        down = large.groupBy(*group, "x").agg(F.min("y").alias("m"))
+        small = large.join(down, [*group, "x"]).select(*group, F.explode(F.array(F.struct(F.col("y").alias("x"), F.col("m").alias("y")), F.struct("x", F.col("m").alias("y")))).alias("e")).select(*group, "e.x", "e.y")
+        links = cut_lineage(small.where("x <> y").distinct())
+        before, now = now, mark(links)
+    return nodes.join(links, [*group, "x"], "left").select(*group, F.col("x").alias("node"), F.coalesce("y", "x").alias("component"))
 
 
 def search(edges: DataFrame, names: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -115,14 +124,23 @@ def flood_regions(cells: DataFrame, group: str, gap: int = 0) -> DataFrame:
     """SRC22: regions of touching cells of a sheet: ``(group, top, left, bottom, right, cells)``.
 
     Cells ``(group, row, col)`` within ``gap + 1`` of each other, in four
-    directions, are linked; components give the regions, so no sheet has to fit
-    into one task.
+    directions, belong together; a merged cell (columns ``height``, ``width``)
+    stands for every place it covers. Runs of a row are found first and only
+    runs are linked, so the graph has a node a run.
     """
-    own = cells.select(group, "row", "col").distinct().withColumn("id", F.concat_ws(":", F.lpad("row", 9, "0"), F.lpad("col", 9, "0")))
-    links = own.select(group, F.col("id").alias("a"), F.col("id").alias("b"))
+    own = cells
+    if {"height", "width"} <= set(cells.columns):
+        over = lambda c, n: F.explode(F.sequence(F.col(c), F.col(c) + F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)) - 1))
+        own = cells.withColumn("row", over("row", F.col("height"))).withColumn("col", over("col", F.col("width")))
+    along = Window.partitionBy(group, "row").orderBy("col")
+    fresh = F.coalesce((F.col("col") - F.lag("col").over(along) > gap + 1).cast("int"), F.lit(1))
+    numbered = own.select(group, "row", "col").distinct().withColumn("fresh", fresh)
+    run = F.max(F.when(F.col("fresh") == 1, F.col("col"))).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    runs = numbered.withColumn("id", F.concat_ws(":", F.lpad("row", 9, "0"), F.lpad(run, 9, "0"))).drop("fresh")
+    links = runs.select(group, F.col("id").alias("a"), F.col("id").alias("b")).distinct()
     for k in range(1, gap + 2):
-        for dr, dc in ((k, 0), (0, k)):
-            moved = own.select(group, (F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.col("id").alias("b"))
-            links = links.unionByName(own.join(moved, [group, "row", "col"]).select(group, F.col("id").alias("a"), "b"))
+        below = runs.select(group, (F.col("row") - k).alias("row"), "col", F.col("id").alias("b"))
+        links = links.unionByName(runs.join(below, [group, "row", "col"]).select(group, F.col("id").alias("a"), "b").distinct())
     labels = components(links, [group], "a", "b")
-    return own.join(labels.withColumnRenamed("node", "id"), [group, "id"]).groupBy(group, "component").agg(F.min("row").alias("top"), F.min("col").alias("left"), F.max("row").alias("bottom"), F.max("col").alias("right"), F.count("*").alias("cells")).drop("component")
+    sizes = runs.groupBy(group, "id").agg(F.min("row").alias("row"), F.min("col").alias("left"), F.max("col").alias("right"), F.count("*").alias("cells"))
+    return sizes.join(labels.withColumnRenamed("node", "id"), [group, "id"]).groupBy(group, "component").agg(F.min("row").alias("top"), F.min("left").alias("left"), F.max("row").alias("bottom"), F.max("right").alias("right"), F.sum("cells").alias("cells")).drop("component")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,37 @@ def registry(documents: DataFrame, reports: DataFrame, manifest: DataFrame) -> D
     return documents.select("document_id").join(of, "document_id", "left").join(by_hash, "hash", "left").select("document_id", "title", F.col("source"))
 
 
+def registry_faults(reports: DataFrame, manifest: DataFrame) -> DataFrame:
+    """What makes a registry unusable: ``(fault, value)``; none is expected.
+
+    A hash in several manifest rows that differ, a document with several
+    sidecars that differ, a row without title or without both URL and path, a
+    sidecar without a manifest row. Rows delivered again are one row.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rows = manifest.where("sha256 is not null").select(F.lower("sha256").alias("hash"), "title", "source_url", "local_path").distinct()
+    side = reports.where("document_id is not null").select("document_id", F.lower("source_sha256").alias("hash")).distinct()
+    fault = lambda df, name, value: df.select(F.lit(name).alias("fault"), F.col(value).alias("value"))
+    return (
+        fault(rows.groupBy("hash").count().where("count > 1"), "duplicate manifest hash", "hash")
+        .unionByName(fault(side.groupBy("document_id").count().where("count > 1"), "duplicate sidecar", "document_id"))
+        .unionByName(fault(rows.where(blank(F.col("title"))), "no title", "hash"))
+        .unionByName(fault(rows.where(blank(F.col("source_url")) & blank(F.col("local_path"))), "no source", "hash"))
+        .unionByName(fault(side.join(rows.select("hash").distinct(), "hash", "left_anti"), "no manifest row", "document_id"))
+        .distinct()
+    )
+
+
+def strict_registry(documents: DataFrame, reports: DataFrame, manifest: DataFrame) -> DataFrame:
+    """JOI01 as a gate: the registry of the documents, or an error that names the first faults of their sidecars and rows."""
+    own = reports.join(documents.select("document_id").distinct(), "document_id", "left_semi")
+    rows = manifest.join(own.select(F.lower("source_sha256").alias("_hash")).distinct(), F.lower("sha256") == F.col("_hash"), "left_semi")
+    faults = registry_faults(own, rows).orderBy("fault", "value").limit(5).collect()
+    if faults:
+        raise ValueError("; ".join(f"{f['fault']}: {f['value']}" for f in faults))
+    return registry(documents, reports, manifest)
+
+
 def machine_bound(path: Column) -> Column:
     """FIL12: whether a path only means something on one machine."""
     return path.rlike(r"^(?:[/\\]|[A-Za-z]:|(?i:file:))")
@@ -68,19 +100,44 @@ def sort_by_instruction(rows: DataFrame, instruction: dict[str, str], allowed: S
     return rows.orderBy(F.col(field).asc() if direction == "asc" else F.col(field).desc(), F.col(tie)).limit(1)
 
 
+#: Nodes of Spark's parsed plans that only read.
+READING_NODES = frozenset(
+    """
+    Aggregate Deduplicate Distinct Except Filter Generate GlobalLimit GlobalLimitAndOffset Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation Pivot
+    Project Range Sample Sort SubqueryAlias Union UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedRelation
+    UnresolvedSubqueryColumnAliases UnresolvedTVFAliases UnresolvedTableValuedFunction UnresolvedWith Unpivot Window WithWindowDefinition
+    """.split()
+)
+#: Functions that reach beyond the tables of a query.
+FORBIDDEN_FUNCTIONS = frozenset("reflect java_method try_reflect".split())
+
+
 def guarded_select(spark, statement: str, default_limit: int = 100) -> DataFrame:
     """SRT04, T2S04: a single SELECT, limited unless it has a limit of its own.
 
-    Decided on the parsed plan, not on the text: anything that is a command is
-    refused, and a limit counts only at the top of the plan.
+    Decided on the parsed plan, not on the text: every node must be one of those
+    that only read, and a limit counts only at the top of the statement or below
+    its common table expressions.
     """
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    text = plan.toString()
-    name = plan.getClass().getSimpleName()
-    if "Command" in name or "Insert" in name or "Update" in name or "Delete" in name or "Merge" in name or "Create" in name or "Drop" in name:
-        raise ValueError("only SELECT statements run")
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        name = node.getClass().getSimpleName()
+        if name not in READING_NODES:
+            raise ValueError(f"only SELECT statements run, this one has {name}")
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+        if name == "UnresolvedWith":
+            relations = node.cteRelations()
+            stack += [relations.apply(i)._2() for i in range(relations.size())]
+    called = {w.strip("'").lower() for w in re.findall(r"[\w']+(?=\()", plan.toString())}
+    if called & FORBIDDEN_FUNCTIONS:
+        raise ValueError(f"{', '.join(sorted(called & FORBIDDEN_FUNCTIONS))} doesn't run")
+    top = plan
+    while top.getClass().getSimpleName() == "UnresolvedWith":
+        top = top.child()
     frame = spark.sql(statement)
-    return frame if text.lstrip("'").startswith(("GlobalLimit", "LocalLimit")) else frame.limit(default_limit)
+    return frame if top.getClass().getSimpleName() in ("GlobalLimit", "LocalLimit") else frame.limit(default_limit)
 
 
 def interleave(first: DataFrame, second: DataFrame, group: str, key: str, k: int) -> DataFrame:

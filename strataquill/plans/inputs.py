@@ -35,7 +35,7 @@ def src02(s, d):
     return files.canonical_corpus(s, root).agg(F.count("*").alias("n"))
 
 
-@q("src03", "SELECT document_id || '/document.md' AS relative_path, length(markdown) AS n FROM document_md WHERE markdown IS NOT NULL", n="INT")
+@q("src03", "SELECT 'deep/' || document_id || '/document.md' AS relative_path, length(markdown) AS n FROM document_md WHERE markdown IS NOT NULL", n="INT")
 def src03(s, d):
     root = scratch(s, "tree")
     sinks.write_canonical(t(s, d, "document_md"), f"{root}/deep")
@@ -129,11 +129,14 @@ def src21(s, d):
     return markdown.section_blocks(t(s, d, "document_md"))
 
 
-@q("src22", "SELECT l_suppkey AS sheet, count(*) AS cells FROM (SELECT DISTINCT l_suppkey, l_linenumber, l_partkey % 7 AS c FROM lineitem) GROUP BY 1")
+@q("src22", """WITH RECURSIVE c AS (SELECT DISTINCT l_suppkey AS sheet, l_quantity::INT AS r, (l_partkey % 40)::INT AS k FROM lineitem),
+reach AS (SELECT sheet, r, k, r AS r2, k AS k2 FROM c UNION SELECT x.sheet, x.r, x.k, c.r, c.k FROM reach x JOIN c ON c.sheet = x.sheet AND abs(c.r - x.r2) + abs(c.k - x.k2) = 1),
+regions AS (SELECT sheet, r, k, min(r2 * 100 + k2) AS id FROM reach GROUP BY 1, 2, 3)
+SELECT sheet, min(r) AS top, min(k) AS "left", max(r) AS bottom, max(k) AS "right", count(*) AS cells FROM regions GROUP BY sheet, id""")
 def src22(s, d):
-    """Regions of touching cells; their cells add up to the sheet's."""
-    cells = t(s, d, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.col("l_linenumber").alias("row"), (F.col("l_partkey") % 7).cast("int").alias("col"))
-    return graph.flood_regions(cells, "sheet").groupBy("sheet").agg(F.sum("cells").alias("cells"))
+    """The rectangles of regions of touching cells."""
+    cells = t(s, d, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.col("l_quantity").cast("int").alias("row"), (F.col("l_partkey") % 40).cast("int").alias("col"))
+    return graph.flood_regions(cells, "sheet")
 
 
 @q("src23", "SELECT event_id, 0 AS block_no, 'cue' AS kind, 61500 AS level, event_type || ' done' AS text FROM events")
@@ -206,7 +209,7 @@ def snk04(s, d):
     rows = t(s, d, "documents").select("doc_id")
     sinks.append_new(rows.where("doc_id % 2 = 0"), root, "doc_id")
     sinks.append_new(rows.unionByName(rows), root, "doc_id")
-    return s.read.parquet(root)
+    return sinks.stored(s, root)
 
 
 @q("snk05", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
@@ -252,7 +255,7 @@ def snk11(s, d):
     root = scratch(s, "examples")
     sinks.append_new(t(s, d, "eval_items").select("query"), root, "query")
     sinks.append_new(s.createDataFrame([("How many orders are there?",)], "query string"), root, "query")
-    return s.read.parquet(root)
+    return sinks.stored(s, root)
 
 
 @q("stm01")

@@ -31,9 +31,12 @@ def canonical_corpus(spark: SparkSession, root: str) -> DataFrame:
 
 
 def recursive_markdown(spark: SparkSession, root: str) -> DataFrame:
-    """SRC03: every ``*.md`` below a folder with its relative path; unreadable files are skipped."""
+    """SRC03: every ``*.md`` below a folder with its path from that folder on; unreadable files are skipped."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("ignoreCorruptFiles", True).text(root, wholetext=True)
-    return rows.select("value", F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+)$", 1).alias("relative_path"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    above = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/") + "/"
+    whole = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return rows.select("value", F.substring(whole, len(above) + 1, 1 << 30).alias("relative_path"))
 
 
 def plain_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -76,11 +79,19 @@ def sheets(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def sniffed(text: str) -> str:
-    """SRC18: the separator among comma, semicolon, tab, bar and colon; comma where none is clear."""
-    try:
-        return csv.Sniffer().sniff(text[:4096], ",;\t|:").delimiter
-    except csv.Error:
-        return ","
+    """SRC18: the separator among comma, semicolon, tab, bar and colon; comma where none is clear.
+
+    The one that gives the most records the width of the first, over all
+    records; of equal ones the wider, then the earlier in that order.
+    """
+    best, choice = (0.0, 1), ","
+    for mark in ",;\t|:":
+        widths = [len(r) for r in csv.reader(io.StringIO(text), delimiter=mark) if r] if mark in text else []
+        if widths and widths[0] > 1:
+            found = (sum(w == widths[0] for w in widths) / len(widths), widths[0])
+            if found > best:
+                best, choice = found, mark
+    return choice
 
 
 def csv_grid(rows: DataFrame, key: str, text: str) -> DataFrame:

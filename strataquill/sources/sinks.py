@@ -19,7 +19,8 @@ def publish(df: DataFrame, root: str, least: int = 1) -> str:
     """SNK01: write a run beside the others, check its rows, then point ``_CURRENT`` to it.
 
     A run of fewer than ``least`` rows stays but isn't pointed to, and the error
-    tells; readers see the run before until the pointer is renamed.
+    tells. The pointer is replaced by one overwriting rename, so readers see the
+    run before or this one, and a crash in between leaves the one before.
     """
     spark = df.sparkSession
     run = f"run-{uuid.uuid4().hex}"
@@ -31,10 +32,11 @@ def publish(df: DataFrame, root: str, least: int = 1) -> str:
     out = fs.create(staged, True)
     out.write(run.encode())
     out.close()
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT")
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(staged, target)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(staged), fs.makeQualified(hadoop.Path(f"{root}/_CURRENT")), over)
     return run
 
 
@@ -53,12 +55,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def append_new(fresh: DataFrame, path: str, key: str) -> None:
-    """SNK04, STM02: append rows whose key isn't stored yet; of equal keys in a batch one."""
-    rows = fresh.dropDuplicates([key])
-    if exists(fresh.sparkSession, path):
-        rows = rows.join(fresh.sparkSession.read.parquet(path).select(key), key, "left_anti")
-    rows.write.mode("append").parquet(path)
+#: Column that a table of unique keys is partitioned by.
+BUCKET = "_bucket"
+
+
+def append_new(fresh: DataFrame, path: str, key: str, buckets: int = 16) -> None:
+    """SNK04, STM02: append rows whose key isn't stored yet; of equal keys in a batch one.
+
+    The table is partitioned by a hash of the key, so a batch reads the keys of
+    the partitions that its own fall into and of no others.
+    """
+    spark = fresh.sparkSession
+    rows = fresh.dropDuplicates([key]).withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    if exists(spark, path):
+        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # at most ``buckets``
+        known = spark.read.parquet(path).where(F.col(BUCKET).isin(touched)).select(key)
+        rows = rows.join(known, key, "left_anti")
+    rows.repartition(BUCKET).write.partitionBy(BUCKET).mode("append").parquet(path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """What ``append_new`` has written."""
+    return spark.read.parquet(path).drop(BUCKET)
 
 
 def statistics(df: DataFrame, key: str) -> DataFrame:
@@ -84,19 +102,22 @@ def page_markdown(cells: DataFrame) -> DataFrame:
 def write_canonical(documents: DataFrame, root: str) -> int:
     """SNK10: ``<root>/<id>/document.md`` of every document with Markdown, written by the executors; the number of files.
 
-    The root is a folder of a shared file system that is mounted on all executors.
+    The root is an address that all executors reach, of any file system that
+    Arrow knows (local or mounted, ``hdfs``, ``s3``, ``gs``, ``abfs``); one that
+    can't be opened is an error.
     """
-    folder = root.removeprefix("file://").removeprefix("file:")
     source = documents.where("document_id is not null and markdown is not null").select("document_id", "markdown")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pathlib import Path
+        from pyarrow import fs
 
+        address = root if "://" in root else "file://" + root[5:] if root.startswith("file:") else root
+        system, folder = fs.FileSystem.from_uri(address)
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                p = Path(folder, d, "document.md")
-                p.parent.mkdir(parents=True, exist_ok=True)
-                p.write_bytes(t.encode("utf-8", "replace"))
+                system.create_dir(f"{folder}/{d}", recursive=True)
+                with system.open_output_stream(f"{folder}/{d}/document.md") as f:
+                    f.write(t.encode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
     return source.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -85,3 +85,53 @@ def test_guarded_select(spark):
         with pytest.raises(Exception):  # noqa: B017
             relational.guarded_select(spark, bad)
     assert spark.table("numbers_500").count() == 500
+
+
+def test_only_reading_statements_run(spark):
+    spark.range(500).createOrReplaceTempView("numbers_500")
+    run = relational.guarded_select
+    assert run(spark, "WITH x AS (SELECT * FROM numbers_500) SELECT * FROM x LIMIT 300").count() == 300
+    assert run(spark, "WITH x AS (SELECT * FROM numbers_500 LIMIT 300) SELECT * FROM x").count() == 100
+    for good in ("SELECT id, count(*) OVER (PARTITION BY id) FROM numbers_500", "SELECT id FROM numbers_500 UNION SELECT 1 ORDER BY 1", "VALUES (1), (2)", "SELECT a.id FROM numbers_500 a JOIN numbers_500 b ON a.id = b.id GROUP BY 1 HAVING count(*) > 0", "SELECT id FROM numbers_500 WHERE id IN (SELECT max(id) FROM numbers_500)", "SELECT explode(array(1, 2))"):
+        run(spark, good).count()
+    for bad in (
+        "TRUNCATE TABLE numbers_500", "ALTER TABLE numbers_500 RENAME TO n", "ALTER TABLE numbers_500 ADD COLUMNS (x INT)", "CACHE TABLE numbers_500", "LOAD DATA INPATH '/tmp/x' INTO TABLE numbers_500",
+        "MSCK REPAIR TABLE numbers_500", "WITH x AS (SELECT 1) INSERT INTO numbers_500 SELECT * FROM x", "SET spark.sql.shuffle.partitions=1", "USE other", "REFRESH TABLE numbers_500", "ADD JAR '/tmp/x.jar'",
+        "DESCRIBE numbers_500", "EXPLAIN SELECT 1", "SELECT reflect('java.lang.System', 'exit', 1)", "CALL x()", "DELETE FROM numbers_500", "UPDATE numbers_500 SET id = 1",
+    ):
+        with pytest.raises(Exception):  # noqa: B017
+            run(spark, bad)
+
+
+def test_registry_is_a_gate(spark):
+    docs = spark.createDataFrame([("a",), ("b",)], "document_id string")
+    side = [("a", "AA"), ("a", "AA"), ("b", "bb")]
+    rows = [("aa", "T", "u", None), ("AA", "T", "u", None), ("BB", "S", None, "p")]
+    frames = lambda s, r: (docs, spark.createDataFrame(s, "document_id string, source_sha256 string"), spark.createDataFrame(r, "sha256 string, title string, source_url string, local_path string"))
+    assert {r["document_id"]: r["source"] for r in relational.strict_registry(*frames(side, rows)).collect()} == {"a": "u", "b": "p"}
+    for s, r, fault in (
+        (side, [*rows, ("bb", "other", None, "p")], "duplicate manifest hash"), ([*side, ("b", "aa")], rows, "duplicate sidecar"), (side, rows[:2], "no manifest row"),
+        (side, [*rows[:2], ("bb", " ", None, "p")], "no title"), (side, [*rows[:2], ("bb", "S", "", None)], "no source"),
+    ):
+        with pytest.raises(ValueError, match=fault):
+            relational.strict_registry(*frames(s, r))
+
+
+def test_separators():
+    assert [F.sniffed(x) for x in ("a;b\n1;2,5\n", "a,b\n", "", "x", "a\tb\n1\t2", "t: x|y\nu: z|w")] == [";", ",", ",", ",", "\t", "|"]
+
+
+def test_regions_with_merged_cells(spark):
+    from strataquill.operators import graph
+
+    cells = spark.createDataFrame([("s", 0, 0, 2, 2), ("s", 2, 1, 1, 1), ("s", 2, 3, 1, 1), ("s", 9, 9, 1, 1), ("s", 9, 9, None, None)], "sheet string, row int, col int, height int, width int")
+    got = sorted(tuple(r)[1:] for r in graph.flood_regions(cells, "sheet").collect())
+    assert got == [(0, 0, 2, 1, 5), (2, 3, 2, 3, 1), (9, 9, 9, 9, 1)]
+    assert sorted(tuple(r)[1:] for r in graph.flood_regions(cells, "sheet", 1).collect()) == [(0, 0, 2, 3, 6), (9, 9, 9, 9, 1)]
+
+
+def test_append_reads_only_its_partitions(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    sinks.append_new(spark.range(0, 100), path, "id")
+    sinks.append_new(spark.range(50, 150), path, "id")
+    assert sinks.stored(spark, path).count() == 150 and sinks.stored(spark, path).columns == ["id"]
