@@ -66,14 +66,6 @@ def src07(s, d):
     return t(s, d, "eval_items").select("query_id", files.joined_text(F.col("section_path"), F.array("query")).alias("text"))
 
 
-@q("src08", "SELECT 'nation' AS sheet, n_name AS name FROM nation UNION ALL SELECT 'region', r_name FROM region")
-def src08(s, d):
-    root = scratch(s, "sheets")
-    t(s, d, "nation").select(F.col("n_name").alias("name")).write.option("header", True).csv(f"{root}/nation")
-    t(s, d, "region").select(F.col("r_name").alias("name")).write.option("header", True).csv(f"{root}/region")
-    return files.sheets(s, {"nation": f"{root}/nation", "region": f"{root}/region"}).select("sheet", "name")
-
-
 @q("src09", "SELECT length(markdown) AS n, count(*) AS texts FROM document_md WHERE markdown IS NOT NULL GROUP BY 1", n="INT")
 def src09(s, d):
     root = scratch(s, "texts")
@@ -81,12 +73,6 @@ def src09(s, d):
     return files.plain_texts(s, f"{root}/*/document.md").groupBy(F.length("value").alias("n")).agg(F.count("*").alias("texts"))
 
 
-@q("src10")
-def src10(s, d):
-    """Typed elements, counted by type."""
-    return markdown.section_blocks(t(s, d, "document_md")).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 @q("src15", "SELECT document_id, coalesce(source, 'unknown') AS source, coalesce(status, 'none') AS status, coalesce(page_count, 0) AS page_count FROM quality_reports")
 def src15(s, d):
     return t(s, d, "quality_reports").select("document_id", F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("status", F.lit("none")).alias("status"), F.coalesce("page_count", F.lit(0)).alias("page_count"))
@@ -97,11 +83,6 @@ def src16(s, d):
     return files.formats(t(s, d, "document_md").select("path", F.encode(F.substring("markdown", 1, 256), "UTF-8").alias("head")), "path", "head")
 
 
-@q("src17")
-def src17(s, d):
-    return s.createDataFrame([(k,) for k in files.registered()], "format string")
-
-
 @q("src18", "SELECT c_custkey, 1 AS row, c::INT AS col, [c_custkey::VARCHAR, c_name, c_mktsegment][c + 1] AS text, false AS is_header FROM customer, range(0, 3) AS r(c)")
 def src18(s, d):
     text = F.concat(F.lit("key;name;segment\n"), F.col("c_custkey").cast("string"), F.lit(";"), "c_name", F.lit(";"), "c_mktsegment", F.lit("\n"))
@@ -139,20 +120,6 @@ def src22(s, d):
     return graph.flood_regions(cells, "sheet")
 
 
-@q("src23", "SELECT event_id, 0 AS block_no, 'cue' AS kind, 61500 AS level, event_type || ' done' AS text FROM events")
-def src23(s, d):
-    text = F.concat(F.lit("WEBVTT\n\n1\n00:01:01.500 --> 00:01:02.000\n<v Ann>"), "event_type", F.lit(" done</v>\n"))
-    return formats.as_blocks(t(s, d, "events").select("event_id", text.alias("vtt")), "event_id", "vtt", formats.webvtt_blocks)
-
-
-@q("src25", "SELECT s_suppkey, s_name AS title, 'In nation ' || s_nationkey AS paragraph FROM supplier")
-def src25(s, d):
-    """XML by XPath, in the JVM."""
-    xml = F.concat(F.lit("<article><front><article-title>"), "s_name", F.lit("</article-title></front><body><sec><title>Place</title><p>In nation "), F.col("s_nationkey").cast("string"), F.lit("</p></sec></body></article>"))
-    rows = t(s, d, "supplier").select("s_suppkey", xml.alias("xml"))
-    return rows.select("s_suppkey", F.xpath_string("xml", F.lit("/article/front/article-title")).alias("title"), F.xpath_string("xml", F.lit("//sec/p")).alias("paragraph"))
-
-
 @q("src26", "SELECT source_ref, document_id, page_no, bbox.l AS l FROM source_cells")
 def src26(s, d):
     """A row as JSON and back."""

@@ -1,14 +1,10 @@
-"""Plug-in stages over the test tables, by their stand-ins; Office files made and read."""
+"""Plug-in stages over the test tables, by their stand-ins."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import functions as F
-
 from strataquill.operators import models
 from strataquill.plans.registry import Registry
 from strataquill.session import table
-from strataquill.sources import documents as formats
 
 R = Registry()
 t = table
@@ -23,37 +19,6 @@ def lay05(s, d):
     return models.run_stage(t(s, d, "document_md"), "document_id", "markdown", "layout").drop("text")
 
 
-@q("src27", """WITH docs AS (SELECT document_id, string_split(markdown, chr(10)) AS parts FROM document_md WHERE markdown IS NOT NULL),
-m AS (SELECT document_id, unnest(list_filter(list_transform(parts, lambda x: TRY_CAST(nullif(regexp_extract(x, '^\\s*<!-- PDF page ([0-9]+) -->\\s*$', 1), '') AS INT)), lambda x: x IS NOT NULL)) AS page FROM docs)
-SELECT document_id, page, count(*) AS n FROM m GROUP BY 1, 2""")
-def src27(s, d):
-    """Pages of the page provider, counted."""
-    pages = models.run_stage(t(s, d, "document_md"), "document_id", "markdown", "pages")
-    return pages.groupBy("document_id", F.col("start").alias("page")).agg(F.count("*").alias("n"))
-
-
 @q("src28")
 def src28(s, d):
     return models.run_stage(t(s, d, "eval_items").where("reference_answer is not null"), "query_id", "reference_answer", "speech")
-
-
-@q("src24", "SELECT s_suppkey, 0 AS block_no, 'heading' AS kind, 1 AS level, s_name AS text FROM supplier UNION ALL SELECT s_suppkey, 1, 'paragraph', 0, 'nation ' || s_nationkey FROM supplier")
-def src24(s, d):
-    """A DOCX file for each supplier, read back."""
-
-    @F.pandas_udf("binary")
-    def docx(names: pd.Series, nations: pd.Series) -> pd.Series:
-        import io
-        import zipfile
-        from xml.sax.saxutils import escape
-
-        def one(name: str, nation: int) -> bytes:
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w") as z:
-                head = f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>{escape(name)}</w:t></w:r></w:p>'
-                z.writestr("word/document.xml", f'<w:document xmlns:w="urn:w"><w:body>{head}<w:p><w:r><w:t>nation {nation}</w:t></w:r></w:p></w:body></w:document>')
-            return out.getvalue()
-
-        return pd.Series([one(*x) for x in zip(names, nations, strict=True)])
-
-    return formats.as_blocks(t(s, d, "supplier").select("s_suppkey", docx("s_name", "s_nationkey").alias("file")), "s_suppkey", "file", formats.office_blocks)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,7 +111,7 @@ def csv_grid(rows: DataFrame, key: str, text: str) -> DataFrame:
 FORMATS = {
     "md": "markdown", "markdown": "markdown", "txt": "text", "text": "text", "html": "html", "htm": "html", "xhtml": "html", "csv": "csv", "tsv": "csv", "json": "json", "jsonl": "jsonl",
     "xml": "xml", "nxml": "jats", "xbrl": "xbrl", "pdf": "pdf", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "odt": "odt", "odp": "odp", "ods": "ods", "eml": "email", "vtt": "webvtt",
-    "adoc": "asciidoc", "asciidoc": "asciidoc", "tex": "latex", "epub": "epub", "png": "image", "jpg": "image", "jpeg": "image", "tif": "image", "tiff": "image", "wav": "audio", "mp3": "audio", "mp4": "video",
+    "adoc": "asciidoc", "asciidoc": "asciidoc", "tex": "latex", "epub": "epub", "boxnote": "boxnote", "dclg": "doclang", "png": "image", "jpg": "image", "jpeg": "image", "tif": "image", "tiff": "image", "wav": "audio", "mp3": "audio", "mp4": "video",
 }
 
 
@@ -154,8 +153,3 @@ def page_range(rows: DataFrame, page: str, first: int, last: int, most: int | No
     if first < 1 or last < first:
         raise ValueError("pages count from 1 and the range must not be empty")
     return rows.where(F.col(page).between(first, last if most is None else min(last, first + most - 1)))
-
-
-def registered(kinds: Sequence[str] = tuple(sorted(set(FORMATS.values())))) -> list[str]:
-    """SRC17: the formats that the dispatch table knows."""
-    return list(kinds)
