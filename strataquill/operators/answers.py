@@ -63,12 +63,40 @@ def context(ranked: DataFrame, query: str, text: str, limit: int) -> DataFrame:
     return fits.where("over = 0").groupBy(query).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", text))), lambda x: x[text]), "\n\n").alias("context"), F.count("*").alias("blocks"))
 
 
-def evidence(ranked: DataFrame, query: str, text: str, budget: int, short: int = 200) -> DataFrame:
-    """GEN02: evidence E1, E2, … in rank order; beyond the budget only the beginning of a block is given."""
-    w = Window.partitionBy(query).orderBy("rank")
-    rows = ranked.withColumn("total", F.sum(F.length(text)).over(w))
-    whole = F.col("total") <= budget
-    return rows.select(query, F.concat(F.lit("E"), F.row_number().over(w).cast("string")).alias("evidence_id"), "doc_id", F.when(whole, "whole").otherwise("beginning").alias("granularity"), F.when(whole, F.col(text)).otherwise(F.substring(text, 1, short)).alias("content"))
+def evidence(ranked: DataFrame, query: str, forms: Sequence[str], budget: int) -> DataFrame:
+    """GEN02: evidence E1, E2, … in rank order: of each hit the largest form that what is left of the budget holds.
+
+    ``forms`` are text columns from the largest to the smallest; a hit of which
+    none fits is dropped, and smaller hits after it may still fit. A query has as
+    many hits as its search gives, so they are folded in one array.
+    """
+    sizes = F.array(*(F.coalesce(F.length(f), F.lit(1 << 30)) for f in forms))
+    hits = F.array_sort(F.collect_list(F.struct("rank", "doc_id", sizes.alias("sizes"))))
+
+    def step(acc: Column, h: Column) -> Column:
+        fits = F.filter(F.transform(h["sizes"], lambda n, i: F.when(n <= acc["left"], i)), lambda i: i.isNotNull())
+        form = F.coalesce(F.get(fits, 0), F.lit(-1))
+        left = acc["left"] - F.when(form >= 0, F.get(h["sizes"], form)).otherwise(0)
+        return F.struct(left.alias("left"), F.concat(acc["out"], F.array(F.struct(h["rank"].alias("rank"), form.alias("form")))).alias("out"))
+
+    start = F.struct(F.lit(budget).alias("left"), F.array().cast("array<struct<rank:bigint,form:int>>").alias("out"))
+    chosen = ranked.withColumn("rank", F.col("rank").cast("bigint")).groupBy(query).agg(hits.alias("hits")).select(query, F.explode(F.aggregate("hits", start, step)["out"]).alias("x"))
+    kept = chosen.where("x.form >= 0").select(query, F.col("x.rank").alias("rank"), F.col("x.form").alias("form"))
+    numbered = kept.withColumn("evidence_id", F.concat(F.lit("E"), F.row_number().over(Window.partitionBy(query).orderBy("rank")).cast("string")))
+    content = F.coalesce(*(F.when(F.col("form") == i, F.col(f)) for i, f in enumerate(forms)))
+    name = F.coalesce(*(F.when(F.col("form") == i, F.lit(f)) for i, f in enumerate(forms)))
+    return numbered.join(ranked, [query, "rank"]).select(query, "evidence_id", "doc_id", name.alias("granularity"), content.alias("content"))
+
+
+def ladder(hits: DataFrame, asked: str, text: str, around: int = 3) -> DataFrame:
+    """GEN02: hits with their forms ``whole``, ``window`` and ``sentence``: the sentence that shares most words with the question, and its neighbours."""
+    own = F.array_distinct(lexical.words(F.col(asked)))
+    rows = hits.withColumn("_ss", F.filter(F.split(text, r"[.!?]+\s+", -1), lambda x: x.rlike(r"\S"))).withColumn("_own", own)
+    scores = F.transform("_ss", lambda x, i: F.struct(F.size(F.array_intersect(F.array_distinct(lexical.words(x)), F.col("_own"))).alias("n"), (-i).alias("i")))
+    rows = rows.withColumn("_at", -F.array_max(scores)["i"])
+    low = F.greatest(F.col("_at") - around, F.lit(0))
+    window = F.array_join(F.slice("_ss", low + 1, F.least(F.col("_at") + around, F.size("_ss") - 1) - low + 1), " ")
+    return rows.withColumn("whole", F.col(text)).withColumn("window", F.when(F.size("_ss") > 0, window)).withColumn("sentence", F.get("_ss", F.col("_at"))).drop("_ss", "_own", "_at")
 
 
 def citations(answers: DataFrame, given: DataFrame, query: str) -> DataFrame:
@@ -119,6 +147,12 @@ def unfenced(statement: str) -> str:
     return re.sub(r"^\s*```(?:sql)?\s*|\s*```\s*$", "", statement, flags=re.I).strip().rstrip(";")
 
 
+def without_fences(statement: Column) -> Column:
+    """T2S03 as a column."""
+    bare = F.regexp_replace(statement, r"(?i)^\s*```(?:sql)?\s*|\s*```\s*$", "")
+    return F.regexp_replace(F.trim(bare), r";+$", "")
+
+
 def answer_by_sql(spark: SparkSession, statement: str, repair: Callable[[str, str], str] = lambda s, _: s, attempts: int = 3, limit: int = 100) -> DataFrame:
     """T2S04: the result of a statement, repaired by a pluggable callable after a failure; SELECT only."""
     for left in range(attempts - 1, -1, -1):

@@ -79,3 +79,15 @@ def precision_map(stages: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     upto = F.sum("hit").over(Window.partitionBy("stage", "query_id").orderBy("rank"))
     each = hits.withColumn("upto", upto).groupBy("stage", "query_id").agg((F.sum("hit") / F.lit(float(k))).alias("p"), F.coalesce(F.try_divide(F.sum(F.col("hit") * F.col("upto") / F.col("rank")), F.sum("hit")), F.lit(0.0)).alias("ap"))
     return each.groupBy("stage").agg(F.round(F.avg("p"), 6).alias("precision_at_5"), F.round(F.avg("ap"), 6).alias("map"))
+
+
+def gold_faults(items: DataFrame) -> DataFrame:
+    """EVA09: ``(id, fault)`` of gold items: the group's id for several texts, else the item's."""
+    of = lambda where, fault: items.where(where).select(F.col("query_id").alias("id"), F.lit(fault).alias("fault"))
+    texts = items.groupBy("gold_group_id").agg(F.count_distinct("evidence_text").alias("n")).where("n > 1").select(F.col("gold_group_id").alias("id"), F.lit("several texts").alias("fault"))
+    return (
+        texts.unionByName(of("page_end < page_start", "page order"))
+        .unionByName(of("offset_end <= offset_start", "offset order"))
+        .unionByName(of("trim(coalesce(evidence_text, '')) = ''", "no text"))
+        .unionByName(of("offset_end > offset_start and offset_end - offset_start <> length(evidence_text)", "not conserved"))
+    )

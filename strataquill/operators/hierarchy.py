@@ -1,9 +1,9 @@
 """Section hierarchies from heading levels, and recovery of section texts.
 
-The nearest earlier or later heading of some level is found with one sort per
-document: a running value per heading level (1 to 6), of which each row takes
-the one its own level asks for. No self-join, so a document with very many
-headings costs a sort, not a square.
+The nearest earlier or later heading of some level is a running value per
+heading level (1 to 6), of which each row takes the one its own level asks for.
+No self-join, so a document with very many headings costs sorts of its buckets
+of lines, not a square and not one task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataquill.operators.ordered import carried
+
 LEVELS = range(1, 7)
 
 
@@ -23,28 +25,26 @@ def heading_rows(sections: DataFrame) -> DataFrame:
     )
 
 
-def _by_level(value: Column, order, later: bool, inclusive: bool) -> Column:
-    """For the row's level L, the nearest value among rows before (or after) with a level below L (or up to L)."""
-    frame = order.rowsBetween(Window.unboundedPreceding, -1)
-    per_level = []
-    for k in LEVELS:
-        mask = F.col("level") <= k if inclusive else F.col("level") < k
-        per_level.append(F.last(F.when(mask, value), True).over(frame))
-    return F.element_at(F.array(*per_level), F.col("level"))
+#: Lines of a bucket of headings.
+BUCKET = 4_096
+
+
+def _by_level(headings: DataFrame, value: Column, later: bool, inclusive: bool) -> DataFrame:
+    """``headings`` with ``x``: for a row of level L the nearest value among rows before (or after) with a level below L (or up to L)."""
+    per_level = {f"x{k}": F.when(F.col("level") <= k if inclusive else F.col("level") < k, value) for k in LEVELS}
+    found = carried(headings, ["document_id"], ["start", "section_id"], F.floor(F.col("start") / BUCKET), per_level, False, later)
+    return found.withColumn("x", F.element_at(F.array(*per_level), F.col("level"))).drop(*per_level)
 
 
 def section_ends(headings: DataFrame, n_lines: DataFrame) -> DataFrame:
     """STR09, HIE10: where a section ends, and the heading that ends it; ``n_lines(document_id, n_lines)``."""
-    order = Window.partitionBy("document_id").orderBy(F.desc("start"), F.desc("section_id"))
-    after = _by_level(F.struct("start", "heading"), order, True, True)
-    rows = headings.withColumn("x", after).join(n_lines, "document_id")
+    rows = _by_level(headings, F.struct("start", "heading"), True, True).join(n_lines, "document_id")
     return rows.select("document_id", "section_id", "level", "start", F.coalesce("x.start", "n_lines").alias("section_end"), F.col("x.heading").alias("next_heading"))
 
 
 def heading_parents(headings: DataFrame) -> DataFrame:
     """HIE01, JOI15: the nearest earlier heading with a smaller level; null at the top."""
-    order = Window.partitionBy("document_id").orderBy("start", "section_id")
-    return headings.select("document_id", "section_id", "level", "start", _by_level(F.col("section_id"), order, False, False).alias("parent_id"))
+    return _by_level(headings, F.col("section_id"), False, False).select("document_id", "section_id", "level", "start", F.col("x").alias("parent_id"))
 
 
 def closure(links: DataFrame, max_depth: int = 64) -> DataFrame:
@@ -102,12 +102,16 @@ def merged_levels(headings: DataFrame) -> DataFrame:
 
 
 def position_stacks(headings: DataFrame) -> DataFrame:
-    """HIE14: the stack of heading texts by position: keep the first level - 1 entries, then append."""
-    ordered = F.array_sort(F.collect_list(F.struct("start", "section_id", "level", "heading")))
-    step = lambda acc, h: F.struct(
-        F.concat(F.slice(acc["stack"], 1, F.least(h["level"] - 1, F.size(acc["stack"]))), F.array(h["heading"])).alias("stack"),
-        F.concat(acc["out"], F.array(F.struct(h["section_id"].alias("section_id"), F.concat(F.slice(acc["stack"], 1, F.least(h["level"] - 1, F.size(acc["stack"]))), F.array(h["heading"])).alias("stack")))).alias("out"),
-    )
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<section_id:string,stack:array<string>>>").alias("out"))
-    rows = headings.groupBy("document_id").agg(ordered.alias("hs"))
-    return rows.select(F.explode(F.aggregate("hs", start, step)["out"]).alias("x")).select("x.section_id", "x.stack")
+    """HIE14: the stack of heading texts by position: keep the first level - 1 entries, then append.
+
+    The stack's size after row i is the least of i and of level + (i - j) over
+    the rows j up to it; the entry at a position is the heading that last made
+    the stack as deep as that. Sizes never exceed the levels, so six running
+    values give the stack.
+    """
+    order = Window.partitionBy("document_id").orderBy("start", "section_id")
+    rows = headings.withColumn("i", F.row_number().over(order))
+    size = F.least("i", F.col("i") + F.min(F.col("level") - F.col("i")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    deep = {f"p{k}": F.when(F.col("size") == k, F.struct("heading")) for k in LEVELS}
+    found = carried(rows.withColumn("size", size), ["document_id"], ["start", "section_id"], F.floor(F.col("start") / BUCKET), deep, True)
+    return found.select("section_id", F.slice(F.array(*(F.col(f"p{k}.heading") for k in LEVELS)), F.lit(1), F.col("size")).alias("stack"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strataquill.functions import markdown_blocks as M
 from strataquill.functions import packing
+from strataquill.operators.ordered import carried
 
 MARKER = r"^\s*<!-- PDF page ([1-9][0-9]*) -->\s*$"
 
@@ -65,12 +66,14 @@ def marker_faults(documents: DataFrame) -> DataFrame:
 
 
 def line_pages(documents: DataFrame) -> DataFrame:
-    """STR04, JOI14: the page of every line, that of the last marker at or before it; before the first marker its page."""
-    order = Window.partitionBy("document_id").orderBy("line_no")
+    """STR04, JOI14: the page of every line, that of the last marker at or before it; before the first marker its page.
+
+    Lines are sorted within buckets, not documents; a document's first page is one row.
+    """
     at = lines(documents).withColumn("own", page_of(F.col("line")))
-    active = F.last("own", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("own", True).over(Window.partitionBy("document_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return at.select("document_id", "line_no", "line", "own", active.alias("active"), F.coalesce(active, first).alias("page"))
+    found = carried(at, ["document_id"], ["line_no"], F.floor(F.col("line_no") / 4_096), {"active": F.col("own")}, True)
+    first = at.where("own is not null").groupBy("document_id").agg(F.min_by("own", "line_no").alias("first"))
+    return found.join(first, "document_id", "left").select("document_id", "line_no", "line", "own", "active", F.coalesce("active", "first").alias("page"))
 
 
 def span_pages(documents: DataFrame, spans: DataFrame) -> DataFrame:
@@ -82,10 +85,16 @@ def span_pages(documents: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def span_text(documents: DataFrame, spans: DataFrame) -> DataFrame:
-    """STR06, HIE06: text of each span without page markers; spans are sliced from the document's lines, not joined line by line."""
-    own = spans.join(documents.select("document_id", "markdown"), "document_id")
-    part = F.slice(F.split("markdown", "\n", -1), F.col("first") + 1, F.greatest(F.col("last") - F.col("first"), F.lit(0)))
-    return own.select("document_id", "section_id", F.array_join(F.filter(part, lambda x: ~x.rlike(MARKER)), "\n").alias("text"))
+    """STR06, HIE06: text of each span without page markers.
+
+    A document meets all its spans in one row and is split once; a span's text is
+    sliced from those lines.
+    """
+    wanted = spans.groupBy("document_id").agg(F.collect_list(F.struct("section_id", "first", "last")).alias("spans"))
+    own = documents.select("document_id", F.split("markdown", "\n", -1).alias("ls")).join(wanted, "document_id")
+    part = lambda s: F.slice(F.col("ls"), s["first"] + 1, F.greatest(s["last"] - s["first"], F.lit(0)))
+    text = lambda s: F.struct(s["section_id"].alias("section_id"), F.array_join(F.filter(part(s), lambda x: ~x.rlike(MARKER)), "\n").alias("text"))
+    return own.select("document_id", F.explode(F.transform("spans", text)).alias("x")).select("document_id", "x.section_id", "x.text")
 
 
 def headings(documents: DataFrame) -> DataFrame:

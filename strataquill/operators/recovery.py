@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquill.operators import hierarchy, relational
+from strataquill.operators.ordered import carried
 
 
 def within_budget(sections: DataFrame, budget: int, policy: str = "nearest") -> DataFrame:
@@ -29,6 +30,9 @@ def by_parent(sections: DataFrame) -> DataFrame:
 
 def neighbours(sections: DataFrame) -> DataFrame:
     """REC03: the sections before and after."""
-    w = Window.partitionBy("document_id").orderBy("start", "section_id")
-    rows = hierarchy.heading_rows(sections).select("section_id", F.lag("section_id").over(w).alias("a"), F.lead("section_id").over(w).alias("b"))
-    return rows.select("section_id", F.explode(F.array_compact(F.array("a", "b"))).alias("neighbour_id"))
+    rows = hierarchy.heading_rows(sections).select("document_id", "section_id", "start")
+    here = {"a": F.col("section_id")}
+    bucket = F.floor(F.col("start") / hierarchy.BUCKET)
+    order = ["start", "section_id"]
+    both = [carried(rows, ["document_id"], order, bucket, here, False, later).select("section_id", F.col("a").alias("neighbour_id")) for later in (False, True)]
+    return both[0].unionByName(both[1]).where("neighbour_id is not null")

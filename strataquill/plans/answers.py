@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataquill.operators import answers as op
-from strataquill.operators import hierarchy, markdown
+from strataquill.operators import evaluation, hierarchy, markdown
 from strataquill.plans import retrieval
 from strataquill.plans.registry import Registry
-from strataquill.session import table
+from strataquill.session import scratch, table
+from strataquill.sources import sqlite
 
 R = Registry()
 t = table
@@ -79,15 +80,28 @@ def gen01(s, d):
     return op.context(hits(s, d), "query_id", "text", 2000)
 
 
-@q("gen02", f"WITH {BM25}, c AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM hits) SELECT query_id, 'E' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS evidence_id, doc_id, CASE WHEN total <= 4000 THEN 'whole' ELSE 'beginning' END AS granularity, CASE WHEN total <= 4000 THEN text ELSE substr(text, 1, 200) END AS content FROM c")
+SPLIT = "list_filter(regexp_split_to_array(text, '[.!?]+\\s+'), lambda x: regexp_matches(x, '\\S'))"
+
+
+@q("gen02", f"""WITH RECURSIVE {BM25},
+s AS (SELECT h.query_id, h.rank, h.doc_id, h.text, ss, i, ss[i] AS sentence, len(list_intersect(list_distinct({retrieval.WORDS.format('ss[i]')}), list_distinct({retrieval.WORDS.format('q.text')}))) AS n
+  FROM (SELECT *, {SPLIT} AS ss FROM hits) h JOIN queries q USING (query_id), unnest(range(1, len(ss) + 1)) AS r(i)),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY n DESC, i) = 1),
+forms AS (SELECT h.query_id, h.rank, h.doc_id, [h.text, array_to_string(list_slice(b.ss, greatest(b.i - 3, 1), b.i + 3), ' '), b.sentence] AS forms FROM hits h LEFT JOIN best b USING (query_id, rank)),
+pick AS (SELECT query_id, 0::BIGINT AS rank, NULL::BIGINT AS form, 4000::BIGINT AS left_over FROM queries UNION ALL
+  SELECT f.query_id, f.rank, x.form, p.left_over - CASE WHEN x.form IS NULL THEN 0 ELSE length(f.forms[x.form]) END
+  FROM pick p JOIN forms f ON f.query_id = p.query_id AND f.rank = p.rank + 1, LATERAL (SELECT min(k) AS form FROM range(1, 4) AS r(k) WHERE length(f.forms[k]) <= p.left_over) x)
+SELECT query_id, 'E' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS evidence_id, doc_id, ['whole', 'window', 'sentence'][form] AS granularity, forms[form] AS content FROM pick JOIN forms USING (query_id, rank) WHERE form IS NOT NULL""")
 def gen02(s, d):
-    return op.evidence(hits(s, d), "query_id", "text", 4000)
+    """The whole document, the best sentence with its neighbours, the sentence, or nothing."""
+    asked = hits(s, d).join(retrieval.queries(s, d).select("query_id", F.col("text").alias("asked")), "query_id")
+    return op.evidence(op.ladder(asked, "asked", "text"), "query_id", ["whole", "window", "sentence"], 4000)
 
 
 @q("gen03", f"WITH {BM25}, e AS (SELECT query_id, 'E' || rank AS evidence_id, doc_id FROM hits), a AS (SELECT query_id, unnest(['E1', 'E3', 'E99']) AS evidence_id FROM queries) SELECT a.query_id, a.evidence_id, e.doc_id, e.doc_id IS NOT NULL AS known FROM a LEFT JOIN e ON e.query_id = a.query_id AND e.evidence_id = a.evidence_id")
 def gen03(s, d):
     answers = retrieval.queries(s, d).select("query_id", F.lit("So it is [E1], also [E3] and [E99], again [E1].").alias("answer"))
-    return op.citations(answers, op.evidence(hits(s, d), "query_id", "text", 4000), "query_id")
+    return op.citations(answers, op.evidence(hits(s, d), "query_id", ["text"], 1 << 30), "query_id")
 
 
 @q("gen04", f"WITH {BM25}, n AS (SELECT query_id, source, min(rank) AS r FROM hits GROUP BY 1, 2), l AS (SELECT query_id, list(source ORDER BY r) AS names FROM n GROUP BY 1) SELECT query_id, array_to_string(list_slice(names, 1, 3), ', ') || CASE WHEN len(names) > 3 THEN ' and ' || (len(names) - 3) || ' more' ELSE '' END AS answer FROM l")
@@ -129,10 +143,12 @@ def t2s02(s, d):
     return op.nearest_example(items(s, d).withColumnRenamed("query", "question"), examples, 3)
 
 
-@q("t2s03")
+@q("t2s03", f"WITH {BASE} SELECT query_id, 'SELECT count(*) AS n FROM documents WHERE lower(text) LIKE ' || chr(39) || '%' || regexp_extract(lower(query), '([a-z]{{5,}})', 1) || '%' || chr(39) AS statement FROM i WHERE query IS NOT NULL")
 def t2s03(s, d):
-    """The offline generator's statement, without its fences."""
-    return s.createDataFrame([("```sql\nSELECT 1;\n```", op.unfenced("```sql\nSELECT 1;\n```"))], "raw string, statement string")
+    """The offline generator's statement for every question, without its fences."""
+    word = F.regexp_extract(F.lower("query"), "([a-z]{5,})", 1)
+    raw = F.concat(F.lit("```sql\nSELECT count(*) AS n FROM documents WHERE lower(text) LIKE '%"), word, F.lit("%';\n```"))
+    return items(s, d).where("query is not null").select("query_id", op.without_fences(raw).alias("statement"))
 
 
 @q("t2s04", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
@@ -153,20 +169,23 @@ def t2s05(s, d):
     return t2s02(s, d).join(titles, "example_id").groupBy("query_id").agg(F.count("*").alias("n"), F.array_join(ordered, "\n").alias("context"))
 
 
+def database(s, d):
+    """The suppliers as an SQLite file in the shared folder, with keys and defaults."""
+    path = scratch(s, "suppliers") + ".sqlite"
+    sqlite.write_table(t(s, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), path, "supplier", "s_suppkey INTEGER PRIMARY KEY, s_name TEXT NOT NULL, s_nationkey INTEGER DEFAULT 0, s_acctbal REAL")
+    return path
+
+
 @q("src13", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 5000")
 def src13(s, d):
-    t(s, d, "supplier").createOrReplaceTempView("supplier_read")
-    return s.sql("SELECT s_suppkey, s_name FROM supplier_read WHERE s_acctbal > 5000")
+    """An SQLite table, scanned in ranges of its rows."""
+    return sqlite.scan(s, database(s, d), "supplier", "s_suppkey bigint, s_name string, s_nationkey bigint, s_acctbal double").where("s_acctbal > 5000").select("s_suppkey", "s_name")
 
 
-@q("src14")
+@q("src14", "SELECT * FROM (VALUES ('supplier', 's_suppkey', 'INTEGER', true, NULL, true), ('supplier', 's_name', 'TEXT', false, NULL, false), ('supplier', 's_nationkey', 'INTEGER', true, '0', false), ('supplier', 's_acctbal', 'REAL', true, NULL, false)) AS v(table_name, column_name, type, nullable, default_value, primary_key)")
 def src14(s, d):
-    """Columns of the registered tables."""
-    rows = []
-    for name in ("orders", "customer", "part"):
-        t(s, d, name).createOrReplaceTempView(f"{name}_listed")
-        rows += [(name, c.name, c.dataType, c.nullable) for c in s.catalog.listColumns(f"{name}_listed")]
-    return s.createDataFrame(rows, "table_name string, column_name string, type string, nullable boolean")
+    """Columns of the tables of an SQLite file: type, null, default, key."""
+    return sqlite.columns(s, database(s, d))
 
 
 # --- reports ------------------------------------------------------------------------------------------------------------------------
@@ -192,10 +211,16 @@ def agg10(s, d):
     return rows.agg(F.count("*").alias("sections"), F.count_if(F.col("depth") == 0).alias("top"), F.max("depth").alias("deepest"), F.round(F.percentile("depth", 0.5), 6).alias("p50"), F.round(F.percentile("depth", 0.95), 6).alias("p95"))
 
 
-@q("eva09")
+@q("eva09", f"""WITH {retrieval.QUERIES}, {retrieval.GOLD},
+g AS (SELECT query_id, gold_group_id, evidence_text, page_start, page_end, offset_start, offset_end FROM eval_items UNION ALL SELECT query_id || '#p', gold_group_id || '#p', '', page_end + 1, page_start, offset_end, offset_start FROM eval_items UNION ALL SELECT query_id || '#t', gold_group_id, evidence_text || ' x', page_start, page_end, offset_start, offset_end FROM eval_items WHERE variant_type = 'direct'),
+f AS (SELECT gold_group_id AS id, 'several texts' AS fault FROM g GROUP BY 1 HAVING count(DISTINCT evidence_text) > 1 UNION ALL SELECT query_id, 'page order' FROM g WHERE page_end < page_start UNION ALL SELECT query_id, 'offset order' FROM g WHERE offset_end <= offset_start UNION ALL SELECT query_id, 'no text' FROM g WHERE trim(coalesce(evidence_text, '')) = ''
+  UNION ALL SELECT query_id, 'not conserved' FROM g WHERE offset_end > offset_start AND offset_end - offset_start <> length(evidence_text) UNION ALL SELECT DISTINCT query_id, 'leaked' FROM gold)
+SELECT id, fault FROM f""")
 def eva09(s, d):
-    """Faults of the gold items: spans that go back, groups with several texts, evidence without text."""
-    g = t(s, d, "eval_items")
-    texts = g.groupBy("gold_group_id").agg(F.count_distinct("evidence_text").alias("n")).where("n > 1").select(F.col("gold_group_id").alias("id"), F.lit("several texts").alias("fault"))
-    back = g.where("page_end < page_start or offset_end <= offset_start").select(F.col("query_id").alias("id"), F.lit("span").alias("fault"))
-    return texts.unionByName(back).unionByName(g.where("evidence_text is null or trim(evidence_text) = ''").select(F.col("query_id").alias("id"), F.lit("no text").alias("fault")))
+    """Faults of the gold items and of copies with planted ones: page order, offsets, conservation of text and span, leakage into the corpus."""
+    columns = ["query_id", "gold_group_id", "evidence_text", "page_start", "page_end", "offset_start", "offset_end"]
+    items_ = t(s, d, "eval_items")
+    broken = items_.select(F.concat("query_id", F.lit("#p")).alias("query_id"), F.concat("gold_group_id", F.lit("#p")).alias("gold_group_id"), F.lit("").alias("evidence_text"), (F.col("page_end") + 1).alias("page_start"), F.col("page_start").alias("page_end"), F.col("offset_end").alias("offset_start"), F.col("offset_start").alias("offset_end"))
+    other = items_.where("variant_type = 'direct'").withColumn("query_id", F.concat("query_id", F.lit("#t"))).withColumn("evidence_text", F.concat("evidence_text", F.lit(" x")))
+    g = items_.select(columns).unionByName(broken).unionByName(other.select(columns))
+    return evaluation.gold_faults(g).unionByName(retrieval.gold(s, d).select(F.col("query_id").alias("id"), F.lit("leaked").alias("fault")).distinct())

@@ -61,7 +61,10 @@ def qlt01(s, d):
     return t(s, d, "documents").select("doc_id", op.sanity(F.col("text")).alias("reasons"))
 
 
-@q("qlt02")
+ODD = "length(regexp_replace(" + VIS + ", '[\\p{{L}}\\p{{N}}.,;:!?()\\[\\]/%+\\-°''\"&]+', '', 'g'))"
+
+
+@q("qlt02", f"SELECT source_ref, CASE WHEN coalesce(length({VIS.format('text')}), 0) = 0 THEN false ELSE regexp_matches(text, '{CTRL}') OR {ALN.format('text')} = 0 OR (length({VIS.format('text')}) <= 6 AND {ALN.format('text')} <= 3 AND {ODD.format('text')} >= 2) OR (length({VIS.format('text')}) >= 8 AND {ODD.format('text')} > 0.35 * length({VIS.format('text')})) END AS garbled FROM (SELECT DISTINCT source_ref, text FROM source_cells)")
 def qlt02(s, d):
     return cells(s, d).select("source_ref", "text").distinct().select("source_ref", op.garbled(F.col("text")).alias("garbled"))
 

@@ -192,9 +192,10 @@ def joi04(s, d):
     return t(s, d, "customer").select("c_custkey").join(counts, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"))
 
 
-@q("joi05", "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+@q("joi05", "SELECT c_custkey FROM customer LEFT JOIN (FROM orders WHERE o_totalprice > 200000) ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
 def joi05(s, d):
-    return t(s, d, "customer").select("c_custkey").join(t(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    large = t(s, d, "orders").where("o_totalprice > 200000")
+    return t(s, d, "customer").select("c_custkey").join(large.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @q("joi06", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -519,11 +520,11 @@ def set04(s, d):
     return t(s, d, "document_md").select("document_id").join(t(s, d, "quality_reports").select("document_id"), "document_id", "left_anti").agg((F.count("*") == 0).alias("subset"))
 
 
-@q("set05", """WITH o AS (SELECT DISTINCT document_id, page_no FROM source_cells WHERE page_no IS NOT NULL), e AS (SELECT document_id, unnest(range(1, 1 + max(page_no)))::INT AS page_no FROM o GROUP BY 1)
+@q("set05", """WITH o AS (SELECT DISTINCT document_id, page_no FROM source_cells WHERE page_no IS NOT NULL AND from_ocr), e AS (SELECT document_id, unnest(range(1, 1 + max(page_no)))::INT AS page_no FROM o GROUP BY 1)
 SELECT document_id, page_no FROM e ANTI JOIN o USING (document_id, page_no)""")
 def set05(s, d):
-    """Pages up to a document's last one on which no cell stands."""
-    seen = t(s, d, "source_cells").where("page_no is not null").select("document_id", "page_no").distinct()
+    """Pages up to a document's last scanned one on which no scanned cell stands."""
+    seen = t(s, d, "source_cells").where("page_no is not null and from_ocr").select("document_id", "page_no").distinct()
     wanted = seen.groupBy("document_id").agg(F.max("page_no").alias("m")).where("m >= 1").select("document_id", F.explode(F.sequence(F.lit(1), "m")).alias("page_no"))
     return wanted.join(seen, ["document_id", "page_no"], "left_anti")
 

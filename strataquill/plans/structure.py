@@ -61,14 +61,26 @@ def str02(spark, sf_dir):
     return markdown.markers(md(spark, sf_dir))
 
 
-@R.query("str03", LINES + """,
+PLANTED = """WITH base AS (SELECT document_id, markdown FROM document_md WHERE markdown IS NOT NULL),
+planted AS (SELECT document_id, markdown FROM base UNION ALL SELECT document_id || '#1', replace(markdown, '<!-- PDF page 1 -->', '<!-- PDF page one -->') FROM base UNION ALL SELECT document_id || '#2', '<!-- PDF page 9 -->' || chr(10) || markdown FROM base
+  UNION ALL SELECT document_id || '#3', 'early' || chr(10) || markdown FROM base UNION ALL SELECT document_id || '#4', replace(markdown, '<!-- PDF', '<!-- pdf') FROM base),
+docs AS (SELECT document_id, string_split(markdown, chr(10)) AS parts FROM planted),"""
+
+
+@R.query("str03", PLANTED + LINES.split("\n", 2)[2] + """,
 seen AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM paged)
 SELECT document_id, line_no, 'malformed' AS fault FROM seen WHERE own IS NULL AND contains(line, '<!-- PDF page')
 UNION ALL SELECT document_id, line_no, 'backwards' FROM seen WHERE own < prior
 UNION ALL SELECT document_id, min(line_no), 'early text' FROM seen WHERE prior IS NULL AND own IS NULL AND regexp_matches(line, '\\S') GROUP BY 1
 UNION ALL SELECT document_id, NULL, 'none' FROM seen GROUP BY 1 HAVING count(own) = 0""")
 def str03(spark, sf_dir):
-    return markdown.marker_faults(md(spark, sf_dir))
+    """Marker faults of the documents, and of copies into which each fault is planted."""
+    base = md(spark, sf_dir).where("markdown is not null").select("document_id", "markdown")
+    copy = lambda n, c: base.select(F.concat("document_id", F.lit(f"#{n}")).alias("document_id"), c.alias("markdown"))
+    text = F.col("markdown")
+    planted = base.unionByName(copy(1, F.replace(text, F.lit("<!-- PDF page 1 -->"), F.lit("<!-- PDF page one -->")))).unionByName(copy(2, F.concat(F.lit("<!-- PDF page 9 -->\n"), text)))
+    planted = planted.unionByName(copy(3, F.concat(F.lit("early\n"), text))).unionByName(copy(4, F.replace(text, F.lit("<!-- PDF"), F.lit("<!-- pdf"))))
+    return markdown.marker_faults(planted)
 
 
 @R.query("str04", ACTIVE + "SELECT document_id, line_no, active AS page FROM active")
@@ -210,8 +222,23 @@ def chk09(spark, sf_dir):
     return markdown.leaves(md(spark, sf_dir)).select("document_id", "chunk_index", "section_ordinal", "chunk_id")
 
 
-@R.query("chk10", "SELECT '' AS document_id, CAST(0 AS INT) AS chunk_index, '' AS fault WHERE false")
+@R.query("chk10", """WITH leaves AS (SELECT document_id, ordinal AS chunk_index, CASE WHEN ordinal % 5 = 0 THEN document_id ELSE source_ref END AS chunk_id, coalesce(text, '') AS content, CASE WHEN from_ocr THEN 'table' ELSE 'packed' END AS unit, page_no AS page_start, page_no - (ordinal % 7 = 0)::INT AS page_end
+  FROM (SELECT DISTINCT document_id, ordinal, source_ref, text, from_ocr, page_no FROM source_cells WHERE document_id IS NOT NULL AND ordinal IS NOT NULL)),
+x AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) - 1 AS expected, count(*) OVER (PARTITION BY chunk_id) AS copies FROM leaves)
+SELECT document_id, chunk_index, fault FROM (SELECT document_id, chunk_index, unnest([CASE WHEN trim(content) = '' THEN 'empty' END, CASE WHEN length(content) > 60 AND unit <> 'table' THEN 'oversize' END, CASE WHEN page_start > page_end THEN 'pages' END, CASE WHEN copies > 1 THEN 'duplicate' END]) AS fault FROM x) WHERE fault IS NOT NULL""")
 def chk10(spark, sf_dir):
+    """Faults of leaf rows made of cells, into which each fault is planted; numbers come in several pages, so gaps are another query's."""
+    cells = table(spark, sf_dir, "source_cells").where("document_id is not null and ordinal is not null").select("document_id", "ordinal", "source_ref", "text", "from_ocr", "page_no").distinct()
+    rows = cells.select(
+        "document_id", F.col("ordinal").alias("chunk_index"), F.when(F.col("ordinal") % 5 == 0, F.col("document_id")).otherwise(F.col("source_ref")).alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"),
+        F.when(F.col("from_ocr"), "table").otherwise("packed").alias("unit"), F.col("page_no").alias("page_start"), (F.col("page_no") - (F.col("ordinal") % 7 == 0).cast("int")).alias("page_end"),
+    )
+    return markdown.leaf_faults(rows, 60).where("fault <> 'gap'")
+
+
+@R.query("chk10_leaves", "SELECT '' AS document_id, CAST(0 AS INT) AS chunk_index, '' AS fault WHERE false")
+def chk10_leaves(spark, sf_dir):
+    """The real leaves have no fault."""
     return markdown.leaf_faults(markdown.leaves(md(spark, sf_dir)))
 
 
@@ -376,6 +403,8 @@ def hie13(spark, sf_dir):
     return chunking.match_scores(heads(spark, sf_dir).join(titles, "document_id").select("section_id", "heading", "title"))
 
 
-@R.query("hie14")
+@R.query("hie14", f"""WITH RECURSIVE {HEADS}, o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY start, section_id) AS i FROM heads),
+r AS (SELECT document_id, section_id, i, [heading] AS stack FROM o WHERE i = 1 UNION ALL SELECT o.document_id, o.section_id, o.i, list_append(list_slice(r.stack, 1, least(o.level - 1, len(r.stack))), o.heading) FROM r JOIN o ON o.document_id = r.document_id AND o.i = r.i + 1)
+SELECT section_id, stack FROM r""")
 def hie14(spark, sf_dir):
     return hierarchy.position_stacks(heads(spark, sf_dir))
