@@ -54,13 +54,10 @@ def markers(documents: DataFrame) -> DataFrame:
 def marker_faults(documents: DataFrame) -> DataFrame:
     """STR03: malformed markers, none at all, text before the first, pages that go back."""
     at = lines(documents).withColumn("page", page_of(F.col("line")))
-    order = Window.partitionBy("document_id").orderBy("line_no")
-    seen = F.max("page").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    prior = F.last("page", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = at.select("document_id", "line_no", "line", "page", seen.alias("seen"), prior.alias("prior"))
+    rows = carried(at, ["document_id"], ["line_no"], F.floor(F.col("line_no") / 4_096), {"prior": F.col("page")}, False)
     malformed = rows.where(F.col("page").isNull() & F.col("line").contains("<!-- PDF page")).select("document_id", "line_no", F.lit("malformed").alias("fault"))
     backwards = rows.where("page < prior").select("document_id", "line_no", F.lit("backwards").alias("fault"))
-    early = rows.where(F.col("seen").isNull() & F.col("page").isNull() & F.col("line").rlike(r"\S")).groupBy("document_id").agg(F.min("line_no").alias("line_no"))
+    early = rows.where(F.col("prior").isNull() & F.col("page").isNull() & F.col("line").rlike(r"\S")).groupBy("document_id").agg(F.min("line_no").alias("line_no"))
     none = at.groupBy("document_id").agg(F.count("page").alias("n")).where("n = 0").select("document_id", F.lit(None).cast("int").alias("line_no"), F.lit("none").alias("fault"))
     return malformed.unionByName(backwards).unionByName(early.withColumn("fault", F.lit("early text"))).unionByName(none)
 
