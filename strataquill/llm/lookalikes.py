@@ -33,8 +33,22 @@ from pyspark.sql import functions as F
 SAME_LOOK_TAGS = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<square>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 #: Code points without a shape that are neither format characters nor variation selectors.
 SHAPELESS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0}
-#: Scripts that tokens are resolved against.
-SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Georgian", "Hebrew", "Arabic", "Devanagari", "Bengali", "Tamil", "Telugu", "Thai", "Hangul", "Hiragana", "Katakana", "Han", "Cherokee", "Coptic", "Ethiopic", "Lisu")
+#: The scripts of Unicode; those that the installed tables don't know yet are left out.
+SCRIPTS = tuple(
+    """
+    Adlam Ahom Anatolian_Hieroglyphs Arabic Armenian Avestan Balinese Bamum Bassa_Vah Batak Bengali Bhaiksuki Bopomofo Brahmi Braille Buginese Buhid
+    Canadian_Aboriginal Carian Caucasian_Albanian Chakma Cham Cherokee Chorasmian Coptic Cuneiform Cypriot Cypro_Minoan Cyrillic Deseret Devanagari
+    Dives_Akuru Dogra Duployan Egyptian_Hieroglyphs Elbasan Elymaic Ethiopic Garay Georgian Glagolitic Gothic Grantha Greek Gujarati Gunjala_Gondi Gurmukhi
+    Gurung_Khema Han Hangul Hanifi_Rohingya Hanunoo Hatran Hebrew Hiragana Imperial_Aramaic Inscriptional_Pahlavi Inscriptional_Parthian Javanese Kaithi
+    Kannada Katakana Kawi Kayah_Li Kharoshthi Khitan_Small_Script Khmer Khojki Khudawadi Kirat_Rai Lao Latin Lepcha Limbu Linear_A Linear_B Lisu Lycian
+    Lydian Mahajani Makasar Malayalam Mandaic Manichaean Marchen Masaram_Gondi Medefaidrin Meetei_Mayek Mende_Kikakui Meroitic_Cursive
+    Meroitic_Hieroglyphs Miao Modi Mongolian Mro Multani Myanmar Nabataean Nag_Mundari Nandinagari New_Tai_Lue Newa Nko Nushu Nyiakeng_Puachue_Hmong Ogham
+    Ol_Chiki Ol_Onal Old_Hungarian Old_Italic Old_North_Arabian Old_Permic Old_Persian Old_Sogdian Old_South_Arabian Old_Turkic Old_Uyghur Oriya Osage
+    Osmanya Pahawh_Hmong Palmyrene Pau_Cin_Hau Phags_Pa Phoenician Psalter_Pahlavi Rejang Runic Samaritan Saurashtra Sharada Shavian Siddham SignWriting
+    Sinhala Sogdian Sora_Sompeng Soyombo Sundanese Sunuwar Syloti_Nagri Syriac Tagalog Tagbanwa Tai_Le Tai_Tham Tai_Viet Takri Tamil Tangsa Tangut Telugu
+    Thaana Thai Tibetan Tifinagh Tirhuta Todhri Toto Tulu_Tigalari Ugaritic Vai Vithkuqi Wancho Warang_Citi Yezidi Yi Zanabazar_Square
+    """.split()
+)
 
 
 def icu_skeletons(spark: SparkSession) -> dict[int, str]:
@@ -112,7 +126,17 @@ def look_key(text: str, table: dict[int, str]) -> str:
     return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(table))
 
 
-SCRIPT_PATTERNS = {s: regex.compile(rf"\p{{Script_Extensions={s}}}") for s in SCRIPTS}
+def script_patterns(names: tuple[str, ...] = SCRIPTS) -> dict[str, regex.Pattern]:
+    found = {}
+    for s in names:
+        try:
+            found[s] = regex.compile(rf"\p{{Script_Extensions={s}}}")
+        except regex.error:
+            continue
+    return found
+
+
+SCRIPT_PATTERNS = script_patterns()
 SHARED = regex.compile(r"[\p{Script=Common}\p{Script=Inherited}]")
 
 
@@ -154,6 +178,16 @@ def spellings(table: dict[int, str]) -> dict[str, dict[str, str]]:
     return found
 
 
+def homes(table: dict[int, str]) -> dict[str, frozenset[str]]:
+    """By prototype of one letter, the scripts that have a letter of that look."""
+    found: dict[str, set[str]] = {}
+    for c, looks in table.items():
+        if len(looks) == 1 and looks.isalpha() and not unicodedata.decomposition(chr(c)):
+            for ch in (looks, chr(c)):
+                found.setdefault(looks, set()).update(s for s in scripts_of(ch) or () if s in SCRIPT_PATTERNS)
+    return {k: frozenset(v) for k, v in found.items()}
+
+
 def consistent_form(key: str, letters: dict[str, dict[str, str]]) -> str:
     """The key's tokens in one script each, composed."""
     if key.isascii():
@@ -170,8 +204,12 @@ def consistent_form(key: str, letters: dict[str, dict[str, str]]) -> str:
     return unicodedata.normalize("NFC", " ".join(tokens))
 
 
-def token_state(text: str, table: dict[int, str]) -> str:
-    """'mixed': a token joins scripts; 'whole': a token of another script reads as Latin; 'form': only forms differ; 'plain'."""
+def token_state(text: str, table: dict[int, str], where: dict[str, frozenset[str]] | None = None) -> str:
+    """'mixed': a token joins scripts; 'whole': a token reads as one of another script; 'form': only forms differ; 'plain'.
+
+    A token that Latin can spell is never 'whole'. ``where`` is ``homes`` of the
+    table; without it only Latin is looked for.
+    """
     state = "plain"
     if text.isascii() and text.isprintable():
         return state
@@ -180,41 +218,59 @@ def token_state(text: str, table: dict[int, str]) -> str:
         if own is not None and not own:
             return "mixed"
         key = look_key(token, table)
-        if own and "Latin" not in own and key.isascii() and any(ch.isalpha() for ch in key):
+        letters = [ch for ch in key if ch.isalpha()]
+        if own and "Latin" not in own and letters and (key.isascii() or where and other_scripts(letters, where) - own):
             state = "whole"
         elif key != unicodedata.normalize("NFD", token) and state == "plain":
             state = "form"
     return state
 
 
+def other_scripts(letters: list[str], where: dict[str, frozenset[str]]) -> frozenset[str]:
+    """The scripts that have a letter of each look."""
+    found = None
+    for ch in letters:
+        own = where.get(ch)
+        if not own:
+            return frozenset()
+        found = own if found is None else found & own
+    return found or frozenset()
+
+
+#: Texts that are their own form.
+PLAIN = r"^[ -~]*$"
+
+
 class Lookalikes:
     """Column functions over one broadcast shape table."""
 
     def __init__(self, spark: SparkSession) -> None:
         table = shape_table(icu_skeletons(spark))
-        self.shared = spark.sparkContext.broadcast((table, spellings(table)))
+        self.shared = spark.sparkContext.broadcast((table, spellings(table), homes(table)))
 
     def key(self, text: Column) -> Column:
         shared = self.shared
 
         @F.pandas_udf("string")
         def run(s: pd.Series) -> pd.Series:
-            table, _ = shared.value
+            table = shared.value[0]
             return s.map(lambda x: None if x is None else look_key(x, table))
 
         return run(text)
 
     def form(self, text: Column) -> Column:
-        """``struct<form, state>`` of the text; see ``consistent_form`` and ``token_state``."""
+        """``struct<form, state>`` of the text; see ``consistent_form`` and ``token_state``. Plain ASCII stays in the JVM."""
         shared = self.shared
 
         @F.pandas_udf("struct<form:string,state:string>")
         def run(s: pd.Series) -> pd.DataFrame:
-            table, letters = shared.value
-            rows = [(None, None) if x is None else (consistent_form(look_key(x, table), letters), token_state(x, table)) for x in s]
+            table, letters, where = shared.value
+            rows = [(None, None) if x is None else (consistent_form(look_key(x, table), letters), token_state(x, table, where)) for x in s]
             return pd.DataFrame(rows, columns=["form", "state"])
 
-        return run(text)
+        plain = text.rlike(PLAIN)
+        found = run(F.when(~plain, text))
+        return F.struct(F.when(plain, text).otherwise(found["form"]).alias("form"), F.when(plain, F.lit("plain")).otherwise(found["state"]).alias("state"))
 
 
 def same_look_pairs(cells: DataFrame, sections: DataFrame) -> DataFrame:

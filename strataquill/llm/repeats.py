@@ -3,10 +3,10 @@
 Documents with the same letters are collapsed to one cluster first; lines are
 exploded and counted once a cluster, with the cluster's number of documents and
 its dates carried along, so a text that is republished a thousand times costs
-one. The count that decides is the one of documents (at least ``min_docs`` and
-at least ``min_share`` of the publisher's documents); the numbers of distinct
-clusters and dates come out beside it, and ``min_clusters`` can demand several
-different texts, so that a republished article isn't taken for boilerplate.
+one. ``repeated_keys`` decides by documents (at least ``min_docs`` and at least
+``min_share`` of the publisher's documents). ``boilerplate_keys`` decides by
+clusters and dates: different texts, not published all on one day, so that a
+republished article isn't taken for boilerplate.
 
 Two lines are the same when their letters, in order and in lower case, are the
 same; lines with fewer than ``min_letters`` letters never count.
@@ -68,20 +68,35 @@ def publisher_lines(documents: DataFrame, reports: DataFrame, manifest: DataFram
 def repeated_keys(lines: DataFrame, min_docs: int = 3, min_share: float = 0.25, min_clusters: int = 1) -> DataFrame:
     """``(organization, category, key, docs, clusters, dates)`` of the lines repeated excessively."""
     pair = ["organization", "category"]
-    known = lines.withColumn("keys", F.array_distinct(F.array_compact("keys")))
-    clusters = known.groupBy(*pair, F.md5(F.concat_ws(",", F.transform(F.array_sort("keys"), F.hex))).alias("cluster")).agg(
-        F.count("*").alias("docs"), F.first("keys").alias("keys"), F.collect_set(F.to_date("loaded_at")).alias("days")
-    )
     totals = lines.groupBy(*pair).agg(F.count("*").alias("all_docs"))
-    counted = (
-        clusters.select(*pair, "docs", "days", F.explode("keys").alias("key"))
-        .groupBy(*pair, "key")
-        .agg(F.sum("docs").alias("docs"), F.count("*").alias("clusters"), F.min(F.array_min("days")).alias("first_day"), F.max(F.array_max("days")).alias("last_day"))
-        .where((F.col("docs") >= min_docs) & (F.col("clusters") >= min_clusters))
-    )
+    counted = cluster_counts(text_clusters(lines)).where((F.col("docs") >= min_docs) & (F.col("clusters") >= min_clusters))
     return counted.join(totals, pair).where(F.col("docs") >= F.lit(min_share) * F.col("all_docs")).drop("all_docs")
 
 
+def text_clusters(lines: DataFrame) -> DataFrame:
+    """``(organization, category, cluster, docs, keys, first_day, last_day)``: documents of one publisher with the same set of lines."""
+    known = lines.withColumn("keys", F.array_sort(F.array_distinct(F.array_compact("keys"))))
+    day = F.to_date("loaded_at")
+    return known.groupBy("organization", "category", F.md5(F.concat_ws(",", F.transform("keys", F.hex))).alias("cluster")).agg(
+        F.count("*").alias("docs"), F.first("keys").alias("keys"), F.min(day).alias("first_day"), F.max(day).alias("last_day")
+    )
+
+
+def cluster_counts(clusters: DataFrame) -> DataFrame:
+    """``(organization, category, key, docs, clusters, first_day, last_day)`` of every line, each cluster exploded once."""
+    rows = clusters.select("organization", "category", "docs", "first_day", "last_day", F.explode("keys").alias("key"))
+    return rows.groupBy("organization", "category", "key").agg(F.sum("docs").alias("docs"), F.count("*").alias("clusters"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+
+
+def boilerplate_keys(lines: DataFrame, min_clusters: int = 3, min_share: float = 0.25) -> DataFrame:
+    """As ``repeated_keys``, of the lines that stand in at least ``min_clusters`` and ``min_share`` of the publisher's clusters, on at least two days."""
+    pair = ["organization", "category"]
+    clusters = text_clusters(lines)
+    totals = clusters.groupBy(*pair).agg(F.count("*").alias("all_clusters"))
+    counted = cluster_counts(clusters).where((F.col("clusters") >= min_clusters) & (F.col("first_day") < F.col("last_day")))
+    return counted.join(totals, pair).where(F.col("clusters") >= F.lit(min_share) * F.col("all_clusters")).drop("all_clusters")
+
+
 def repeated_lines(lines: DataFrame, keys: DataFrame) -> DataFrame:
     """``(document_id, line_no)`` of every repeated line.
 

@@ -45,3 +45,20 @@ def test_pairs(spark):
     got = sorted(tuple(r) for r in L.same_look_pairs(cells, nodes).collect())
     assert got == [("c1", "s1"), ("c1", "s2"), ("c2", "s2"), ("c6", "s2")]
     assert L.same_look_pairs(cells.where("false"), nodes).count() == 0
+
+
+def test_all_scripts(table):
+    where = L.homes(table)
+    assert L.token_state("ગಕ", table, where) == "mixed"  # Gujarati and Kannada
+    assert L.token_state("ગક", table, where) != "mixed" and L.token_state("漢字かな", table, where) != "mixed"
+    assert {"Gujarati", "Kannada", "Khmer", "Tibetan", "Yi", "Nko"} <= L.SCRIPT_PATTERNS.keys()
+    assert L.token_state("сор", table, where) == "whole" and L.token_state("слово", table, where) != "whole"
+    # looks of two scripts besides Latin: Greek and Coptic or Cyrillic gamma and the like
+    shared = [k for k, v in where.items() if not k.isascii() and len(v) > 1]
+    assert shared and all(L.other_scripts([k, k], where) == where[k] for k in shared) and not L.other_scripts(["\U000e0001"], where)
+
+
+def test_plain_texts_stay_out_of_python(spark):
+    df = spark.createDataFrame([("a b~",), ("é",), (None,), ("",), ("a\tb",), ("Ｗ",)], "t string")
+    got = [tuple(r["f"]) for r in df.withColumn("f", L.Lookalikes(spark).form(L.F.col("t"))).collect()]
+    assert got == [("a b~", "plain"), ("é", "plain"), (None, None), ("", "plain"), ("a b", "plain"), ("W", "form")]

@@ -53,3 +53,19 @@ def test_empty(spark):
     documents, reports, manifest = frames(spark, docs)
     lines = R.publisher_lines(documents.where("false"), reports, manifest)
     assert R.repeated_lines(lines, R.repeated_keys(lines)).count() == 0
+
+
+def test_republished_articles_are_no_boilerplate(spark):
+    import datetime
+
+    day = lambda n: datetime.datetime(2024, 1, 1 + n)
+    article = "the article that is published again and again"
+    docs = [(f"a{i}", article, day(i)) for i in range(6)] + [(f"b{i}", f"{LEGAL}\nown text of number {'x' * i} only", day(i)) for i in range(4)] + [(f"c{i}", f"{SHARE}\nanother text of number {'y' * i}", day(0)) for i in range(4)]
+    documents = spark.createDataFrame(docs, "document_id string, markdown string, loaded_at timestamp")
+    _, reports, manifest = frames(spark, [d[:2] for d in docs])
+    lines = R.publisher_lines(documents, reports, manifest)
+    by_documents = {d for d, _ in map(tuple, R.repeated_lines(lines, R.repeated_keys(lines)).collect())}
+    assert by_documents == {*(f"a{i}" for i in range(6)), *(f"b{i}" for i in range(4)), *(f"c{i}" for i in range(4))}
+    got = sorted(tuple(r) for r in R.repeated_lines(lines, R.boilerplate_keys(lines)).collect())
+    # neither the article (one text) nor the lines of one day
+    assert got == [(f"b{i}", 0) for i in range(4)]
