@@ -14,7 +14,7 @@ that of the vocabulary it loads.
 Memory: words are encoded in blocks of at most ``BLOCK_WORDS`` words or
 ``BLOCK_BYTES`` bytes (a single longer word makes its own block), and a
 partition's memory of words is emptied at ``KEPT_WORDS``; neither changes a
-result. The merge table, bounded by the vocabulary, is read on the driver and
+result. DuckDB has no folder to spill to. The merge table, bounded by the vocabulary, is read on the driver and
 broadcast, so executors need no vocabulary file.
 
 Defined results: an empty and a null text give an empty list; strings of
@@ -71,8 +71,15 @@ def byte_letters() -> dict[int, str]:
 
 
 def merge_table(vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
-    """The id of each byte, and merges as rows (left, right, rank, new)."""
-    model = json.loads(Path(vocabulary).read_text(encoding="utf-8"))["model"]
+    """The id of each byte, and merges as rows (left, right, rank, new).
+
+    Vocabularies whose file asks for another treatment of texts are refused.
+    """
+    file = json.loads(Path(vocabulary).read_text(encoding="utf-8"))
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if file.get("normalizer") or model.get("type") != "BPE" or not plain or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError("only byte-level BPE without a normalizer, without a prefix blank and with the usual split is encoded")
     ids = model["vocab"]
     pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     rows = np.array([(ids[a], ids[b], rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)], np.int32)
@@ -92,7 +99,7 @@ class WordEncoder:
 
         self.byte_ids = byte_ids
         self.known: dict[str, list[int]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
         left, right, rank, new = (pa.array(merges[:, i]) for i in range(4))
         self.db.register("merge_rows", pa.table({"l": left, "r": right, "rank": rank, "new": new}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
@@ -148,20 +155,49 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     return source.mapInArrow(run, f"{key} {dict(source.dtypes)[key]}, ids array<int>")
 
 
-def token_bytes(vocabulary: str = DEFAULT_VOCABULARY) -> dict[int, bytes]:
-    back = {c: b for b, c in byte_letters().items()}
+def token_letters(vocabulary: str = DEFAULT_VOCABULARY) -> list[tuple[int, str]]:
+    """Ids and the letters of their bytes, without special tokens."""
+    letters = set(byte_letters().values())
     model = json.loads(Path(vocabulary).read_text(encoding="utf-8"))["model"]
-    return {i: bytes(back[c] for c in s) for s, i in model["vocab"].items() if all(c in back for c in s)}
+    return [(i, s) for s, i in model["vocab"].items() if letters.issuperset(s)]
+
+
+DECODE = "SELECT row, string_agg(letters, '' ORDER BY pos) AS text, count(letters) AS n FROM given LEFT JOIN tokens USING (id) GROUP BY row"
 
 
 def decode(rows: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """``(key, text)``; an empty list gives an empty text."""
-    shared = rows.sparkSession.sparkContext.broadcast(token_bytes(vocabulary))
+    """``(key, text)`` by an ordered aggregation of token letters; an empty or null list gives an empty text, an unknown id fails."""
+    shared = rows.sparkSession.sparkContext.broadcast(token_letters(vocabulary))
     source = rows.select(key, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
+        db, back = None, str.maketrans({c: chr(b) for b, c in byte_letters().items()})
         for b in batches:
-            texts = [b"".join(map(shared.value.__getitem__, x or ())).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            if db is None:
+                db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
+                db.register("vocabulary", pa.table({"id": [i for i, _ in shared.value], "letters": [s for _, s in shared.value]}))
+                db.execute("CREATE TABLE tokens AS SELECT id::INT AS id, letters FROM vocabulary")
+            lists, at, texts = b.column(1), 0, [""] * b.num_rows
+            sizes = np.array([len(x) if x else 0 for x in lists.to_pylist()])
+            while at < len(sizes):
+                # as many texts at a time as hold a block of tokens, one at least
+                n, end = int(sizes[at]), at + 1
+                while end < len(sizes) and n + sizes[end] <= BLOCK_BYTES:
+                    n += int(sizes[end])
+                    end += 1
+                own = sizes[at:end]
+                begins = np.cumsum(own) - own
+                pos = np.arange(n) - np.repeat(begins, own)
+                flat = lists.slice(at, end - at).flatten()
+                db.register("given", pa.table({"row": pa.array(np.repeat(np.arange(at, end), own)), "pos": pa.array(pos), "id": flat.cast(pa.int32())}))
+                for row, text, found in db.execute(DECODE).fetchall():
+                    if found != sizes[row]:
+                        raise ValueError(f"row {row} of a batch holds ids that the vocabulary lacks")
+                    texts[row] = text.translate(back).encode("latin-1").decode("utf-8", "replace")
+                db.unregister("given")
+                at = end
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     return source.mapInArrow(run, f"{key} {dict(source.dtypes)[key]}, text string")

@@ -36,6 +36,31 @@ def p1_pieces(spark, sf_dir):
     return pieces.pieces(*_tables(spark, sf_dir))
 
 
+@R.query("p1_rebuilt", LENGTHS + "SELECT section_id, length(array_to_string(parts, chr(10)))::INT AS n_chars, md5(array_to_string(parts, chr(10))) AS digest FROM texts WHERE length(array_to_string(parts, chr(10))) > 3000")
+def p1_rebuilt(spark, sf_dir):
+    """What the pieces of each section make up without their overlaps: the section's own text."""
+    part = F.struct("piece_no", F.expr("substring(content, overlap + 1)").alias("own"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["own"]), "")
+    rows = p1_pieces(spark, sf_dir).groupBy("section_id").agg(whole.alias("text"))
+    return rows.select("section_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@R.query("p1_faults", "SELECT '' AS section_id, CAST(0 AS INT) AS piece_no, '' AS fault WHERE false")
+def p1_faults(spark, sf_dir):
+    """Pieces above the limit, with too long an overlap, with one that isn't the end of the piece before, or out of order; none is expected."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("document_id", "section_id").orderBy("piece_no")
+    rows = p1_pieces(spark, sf_dir).withColumn("before", F.lag("content").over(order)).withColumn("end", F.lag("end_pos").over(order)).withColumn("n", F.row_number().over(order) - 1)
+    tests = {
+        "limit": F.length("content") > 3_000,
+        "overlap": (F.col("overlap") > 200) | (F.col("piece_no") > 0) & (F.col("overlap") < 1),
+        "tail": (F.col("piece_no") > 0) & ~F.endswith("before", F.substring(F.col("content"), F.lit(1), F.col("overlap"))),
+        "order": (F.col("n") != F.col("piece_no")) | (F.col("start_pos") < F.col("end")),
+    }
+    return rows.select("section_id", "piece_no", F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in tests.items())))).alias("fault"))
+
+
 @R.query("p1_counts")
 def p1_counts(spark, sf_dir):
     """How many oversized sections came out in how many pieces."""

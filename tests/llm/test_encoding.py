@@ -32,3 +32,21 @@ def test_blocks_do_not_change_ids(monkeypatch):
     monkeypatch.setattr(E, "KEPT_WORDS", 3)
     small = E.WordEncoder(*table)
     assert [small.encode([x])[0] for x in TEXTS] == whole
+
+
+def test_decoding(spark):
+    df = spark.createDataFrame([(1, [39, 72]), (2, None), (3, []), (4, [0])], "doc_id bigint, ids array<int>")
+    assert {r[0]: len(r[1]) for r in E.decode(df).collect()} == {1: 2, 2: 0, 3: 0, 4: 1}
+    with pytest.raises(Exception, match="lacks"):
+        E.decode(spark.createDataFrame([(1, [10**6])], "doc_id bigint, ids array<int>")).collect()
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    file = json.loads(open(E.DEFAULT_VOCABULARY, encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": file["model"] | {"end_of_word_suffix": "</w>"}}):
+        path = tmp_path / "v.json"
+        path.write_text(json.dumps(file | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            E.merge_table(str(path))
