@@ -19,14 +19,20 @@ class Unit(NamedTuple):
     kind: str  # packed, window, table
 
 
-def windows(text: str, size: int, overlap: int) -> list[str]:
-    """Windows of ``size`` code points, ``size - overlap`` apart; blank ones are left out."""
+def windows(text: str, size: int, overlap: int, count: Count = len) -> list[str]:
+    """Windows of ``size`` tokens, ``size - overlap`` apart, sliced from the text by the tokens' offsets; blank ones are left out.
+
+    A counter without offsets counts code points.
+    """
+    spans = count.offsets(text) if hasattr(count, "offsets") else None
+    n = len(text) if spans is None else len(spans)
     out, start = [], 0
     while True:
-        end = min(start + size, len(text))
-        if text[start:end].strip():
-            out.append(text[start:end])
-        if end >= len(text):
+        end = min(start + size, n)
+        part = text[start:end] if spans is None else text[spans[start][0] : spans[end - 1][1]] if end > start else ""
+        if part.strip():
+            out.append(part)
+        if end >= n:
             return out
         start += size - overlap
 
@@ -63,7 +69,7 @@ def pack(lines: list[str], parts: list[M.Block], size: int, overlap: int, count:
             if b.kind == "table":
                 units.append(Unit(text, ((b.start, b.end),), (b,), "table"))
             else:
-                units += [Unit(w, ((b.start, b.end),), (), "window") for w in windows(text, size, overlap)]
+                units += [Unit(w, ((b.start, b.end),), (), "window") for w in windows(text, size, overlap, count)]
             continue
         if current and count(joined([*current, b])) > size:
             flush()

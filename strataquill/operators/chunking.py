@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataquill.functions import tokens
+
 
 def checked(size: int, overlap: int) -> tuple[int, int]:
     """CHK01: a size above 0 and an overlap of 0 or more below it."""
@@ -21,13 +23,15 @@ def checked(size: int, overlap: int) -> tuple[int, int]:
     return size, overlap
 
 
-def token_counts(rows: DataFrame, key: str = "doc_id", text: str = "text", count: Callable[[str], int] | None = None) -> DataFrame:
-    """CHK02: tokens of every text; code points unless a tokenizer is given."""
-    if count is None:
+def token_counts(rows: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """CHK02: tokens of every text by a tokenizer file, code points without one; none for a null."""
+    if vocabulary is None:
         return rows.select(key, F.coalesce(F.length(text), F.lit(0)).alias("tokens"))
+    shared = rows.sparkSession.sparkContext.broadcast(tokens.vocabulary_text(vocabulary))
 
     @F.pandas_udf("int")
     def run(s: pd.Series) -> pd.Series:
+        count = tokens.counter(shared.value)
         return s.map(lambda x: count(x) if x else 0)
 
     return rows.select(key, run(F.col(text)).alias("tokens"))

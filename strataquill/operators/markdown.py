@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquill.functions import markdown_blocks as M
-from strataquill.functions import packing
+from strataquill.functions import packing, tokens
 from strataquill.operators.ordered import carried
 
 MARKER = r"^\s*<!-- PDF page ([1-9][0-9]*) -->\s*$"
@@ -129,13 +129,19 @@ def owning_headings(documents: DataFrame) -> DataFrame:
     return terminal_sections(documents).where("level is not null").select("document_id", "ordinal", "level", "start_line").join(h, ["document_id", "start_line", "level"])
 
 
-def leaves(documents: DataFrame, size: int = 768, overlap: int = 96, count: Callable[[str], int] = len) -> DataFrame:
-    """CHK01-CHK09: leaf chunks. ``count`` is the tokenizer; code points by default."""
+def leaves(documents: DataFrame, size: int = 768, overlap: int = 96, vocabulary: str | None = None) -> DataFrame:
+    """CHK01-CHK09: leaf chunks; sizes are tokens of the tokenizer file ``vocabulary``, code points without one."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("a size above 0 and an overlap of 0 or more below the size are needed")
     columns = ["chunk_id", "section_id", "chunk_index", "page_start", "page_end", "content", "unit", "section_ordinal"]
     schema = "chunk_id string, section_id string, chunk_index int, page_start int, page_end int, content string, unit string, section_ordinal int"
-    return _parsed(documents, schema, [TEXT, TEXT, INT, INT, INT, TEXT, TEXT, INT], lambda d, t: [tuple(x[c] for c in columns) for x in packing.leaves(d, t, size, overlap, count)])
+    shared = documents.sparkSession.sparkContext.broadcast(tokens.vocabulary_text(vocabulary)) if vocabulary else None
+
+    def rows(d: str, t: str) -> list[tuple]:
+        count = len if shared is None else tokens.counter(shared.value)
+        return [tuple(x[c] for c in columns) for x in packing.leaves(d, t, size, overlap, count)]
+
+    return _parsed(documents, schema, [TEXT, TEXT, INT, INT, INT, TEXT, TEXT, INT], rows)
 
 
 def leaf_faults(found: DataFrame, size: int = 768) -> DataFrame:

@@ -278,7 +278,10 @@ def rrk02(s, d):
     return vectors.late_interaction(a, b, "label")
 
 
-@q("rrk03")
+STOPPED = "list_distinct(list_filter(" + WORDS + ", lambda w: w NOT IN (" + ", ".join(repr(w) for w in lexical.STOP_WORDS) + ")))"
+
+
+@q("rrk03", f"WITH {QUERIES}, {bm25_sql(WORDS, 5)}, own AS (SELECT query_id, {STOPPED.format('text')} AS own FROM queries) SELECT b.query_id, b.doc_id, b.rank, array_to_string(list_filter(string_split(regexp_replace(d.text, '([.!?。])\\s*', '\\1' || chr(1), 'g'), chr(1)), lambda x: len(list_intersect(list_distinct({WORDS.format('x')}), own)) >= 2), ' ') AS passage FROM bm25 b JOIN own USING (query_id) JOIN documents d USING (doc_id)")
 def rrk03(s, d):
     """Extractive compression: the sentences of each hit that share words with the query."""
     return rerank.compressed(bm25(s, d, 5), queries(s, d), t(s, d, "documents").select("doc_id", "text"))

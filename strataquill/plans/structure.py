@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strataquill.functions import tokens
 from strataquill.operators import chunking, hierarchy, markdown
 from strataquill.plans.registry import Registry
 from strataquill.session import table, text_table
@@ -182,14 +183,25 @@ def chk02(spark, sf_dir):
     return chunking.token_counts(table(spark, sf_dir, "documents"))
 
 
+@R.query("chk02_tokens")
+def chk02_tokens(spark, sf_dir):
+    """By the public tokenizer."""
+    return chunking.token_counts(text_table(spark, sf_dir, "documents"), vocabulary=tokens.DEFAULT_VOCABULARY)
+
+
+def token_leaves(spark, sf_dir, size=768, overlap=96):
+    """Leaves by tokens of the public tokenizer."""
+    return markdown.leaves(md(spark, sf_dir), size, overlap, tokens.DEFAULT_VOCABULARY)
+
+
 @R.query("chk03")
 def chk03(spark, sf_dir):
-    return markdown.leaves(md(spark, sf_dir)).where("unit = 'packed'")
+    return token_leaves(spark, sf_dir).where("unit = 'packed'")
 
 
 @R.query("chk04")
 def chk04(spark, sf_dir):
-    return markdown.leaves(md(spark, sf_dir), 256, 32).where("unit = 'table'")
+    return token_leaves(spark, sf_dir, 64, 8).where("unit = 'table'")
 
 
 @R.query("chk05", """
@@ -203,12 +215,12 @@ def chk05(spark, sf_dir):
 @R.query("chk06")
 def chk06(spark, sf_dir):
     """How much each leaf takes over from the one before."""
-    return markdown.leaves(md(spark, sf_dir), 512, 128).select("chunk_id", "document_id", "chunk_index", F.length("content").alias("n_chars"))
+    return token_leaves(spark, sf_dir, 256, 64).select("chunk_id", "document_id", "chunk_index", F.length("content").alias("n_chars"))
 
 
 @R.query("chk07")
 def chk07(spark, sf_dir):
-    return markdown.leaves(md(spark, sf_dir)).select("chunk_id", "page_start", "page_end")
+    return token_leaves(spark, sf_dir).select("chunk_id", "page_start", "page_end")
 
 
 @R.query("chk08", f"""WITH {HEADS}
@@ -219,7 +231,7 @@ def chk08(spark, sf_dir):
 
 @R.query("chk09")
 def chk09(spark, sf_dir):
-    return markdown.leaves(md(spark, sf_dir)).select("document_id", "chunk_index", "section_ordinal", "chunk_id")
+    return token_leaves(spark, sf_dir).select("document_id", "chunk_index", "section_ordinal", "chunk_id")
 
 
 @R.query("chk10", """WITH leaves AS (SELECT document_id, ordinal AS chunk_index, CASE WHEN ordinal % 5 = 0 THEN document_id ELSE source_ref END AS chunk_id, coalesce(text, '') AS content, CASE WHEN from_ocr THEN 'table' ELSE 'packed' END AS unit, page_no AS page_start, page_no - (ordinal % 7 = 0)::INT AS page_end

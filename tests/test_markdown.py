@@ -94,3 +94,25 @@ def test_position_stacks_differ_from_levels(spark):
     df = spark.createDataFrame([("d", "a", 1, "A", 0, 1), ("d", "b", 3, "B", 1, 2), ("d", "c", 3, "C", 2, 3)], "document_id string, section_id string, level int, heading string, start int, end int")
     got = {r[0]: r[1] for r in hierarchy.position_stacks(df).collect()}
     assert got == {"a": ["A"], "b": ["A", "B"], "c": ["A", "B", "C"]}
+
+
+def test_leaves_by_tokens(spark):
+    import os
+
+    from strataquill.functions import tokens
+
+    if not os.path.exists(tokens.DEFAULT_VOCABULARY):
+        pytest.skip("no vocabulary")
+    count = tokens.counter(tokens.vocabulary_text())
+    text = "# A\n\n" + "\n\n".join(f"The pump number {i} was measured twice and held." for i in range(40)) + "\n\n" + "检验完成 ok " * 300 + "\n\n## B\n\nend"
+    docs = spark.createDataFrame([("d", text), ("n", None), ("e", "")], "document_id string, markdown string")
+    rows = markdown.leaves(docs, 64, 16, tokens.DEFAULT_VOCABULARY).orderBy("chunk_index").collect()
+    assert {r["document_id"] for r in rows} == {"d"} and [r["chunk_index"] for r in rows] == list(range(len(rows)))
+    assert all(count(r["content"]) <= 64 for r in rows if r["unit"] == "packed")
+    windows = [r["content"] for r in rows if r["unit"] == "window"]
+    long = "检验完成 ok " * 300
+    spans = count.offsets(long)
+    assert windows == [w for w in (long[spans[i][0] : spans[min(i + 64, len(spans)) - 1][1]] for i in range(0, len(spans) - 16, 48)) if w.strip()]
+    assert count("") == 0 and count("<|endoftext|>") > 1
+    got = {r[0]: r[1] for r in chunking.token_counts(docs, "document_id", "markdown", tokens.DEFAULT_VOCABULARY).collect()}
+    assert got == {"d": count(text), "n": 0, "e": 0}
