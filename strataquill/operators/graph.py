@@ -8,11 +8,14 @@ the sources reaches it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataquill.session import cut_lineage
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """JOI19: every edge from either end: ``(a, b, rel, edge)``."""
@@ -69,6 +72,39 @@ def subgraphs(edges: DataFrame, sources: DataFrame, depth: int, max_nodes: int)
     return sizes.join(links, "source", "left").select("source", F.col("n").alias("nodes"), r.alias("links"), density.alias("density"))
 
 
+def contracted(links: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Links ``(group, x, y)`` with the same components: each batch's links become stars around the smallest node they join.
+
+    Batches follow the order of the links and hold a bounded number of them, so
+    what lies near each other is joined without a shuffle a step.
+    """
+    names = [*group, "x", "y"]
+    n = len(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            up: dict[tuple, tuple] = {}
+
+            def top(v: tuple, up: dict = up) -> tuple:
+                root = v
+                while (above := up.get(root, root)) != root:
+                    root = above
+                while v != root:
+                    up[v], v = root, up[v]
+                return root
+
+            for *g, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                r, q = top((*g, x)), top((*g, y))
+                if r != q:
+                    up[max(r, q)] = min(r, q)
+            rows = [(*v, top(v)[n]) for v in list(up) if top(v) != v]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(b.schema.types)], names=names)
+
+    kinds = dict(links.dtypes)
+    near = links.where(" and ".join(f"{g} is not null" for g in group) or "true").repartitionByRange(*(F.col(c) for c in names[:-1])).sortWithinPartitions(*names[:-1])
+    return near.select(names).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+
+
 def components(pairs: DataFrame, group: Sequence[str], a: str, b: str) -> DataFrame:
     """GRA15: connected components by the smallest label: ``(group, node, component)``.
 
@@ -77,13 +113,15 @@ def components(pairs: DataFrame, group: Sequence[str], a: str, b: str) -> DataFr
     node nearer to the smallest; it ends with one star a component, after about
     log squared rounds. Links shrink to one a node, the smallest neighbour is
     aggregated before it is joined, and a hub is one row of the join's right side.
+    Links that lie near each other are contracted first. Rows with a null group
+    or node have no component.
     """
-    from strataquill.session import cut_lineage
-
-    both = pairs.select(*group, F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
+    # read several times below, and once more for the bounds of its ranges
+    both = cut_lineage(pairs.select(*group, F.col(a).alias("x"), F.col(b).alias("y")).where(" and ".join(f"{c} is not null" for c in (*group, "x", "y"))))
     nodes = cut_lineage(both.select(*group, "x").unionByName(both.select(*group, F.col("y").alias("x"))).distinct())
     # every link once, from the larger end
-    links = cut_lineage(both.where("x <> y").select(*group, F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    links = both.where("x <> y").select(*group, F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    links = cut_lineage(contracted(links, group).distinct())
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*group, "x", "y").cast("decimal(38,0)"))).first())
@@ -136,7 +174,7 @@ def flood_regions(cells: DataFrame, group: str, gap: int = 0) -> DataFrame:
     fresh = F.coalesce((F.col("col") - F.lag("col").over(along) > gap + 1).cast("int"), F.lit(1))
     numbered = own.select(group, "row", "col").distinct().withColumn("fresh", fresh)
     run = F.max(F.when(F.col("fresh") == 1, F.col("col"))).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    runs = numbered.withColumn("id", F.concat_ws(":", F.lpad("row", 9, "0"), F.lpad(run, 9, "0"))).drop("fresh")
+    runs = cut_lineage(numbered.withColumn("id", F.concat_ws(":", F.lpad("row", 9, "0"), F.lpad(run, 9, "0"))).drop("fresh"))
     links = runs.select(group, F.col("id").alias("a"), F.col("id").alias("b")).distinct()
     for k in range(1, gap + 2):
         below = runs.select(group, (F.col("row") - k).alias("row"), "col", F.col("id").alias("b"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquill.operators.ordered import carried
+from strataquill.session import cut_lineage
 
 LEVELS = range(1, 7)
 
@@ -53,7 +54,7 @@ def closure(links: DataFrame, max_depth: int = 64) -> DataFrame:
     ``links(section_id, parent_id)``; heading trees are at most six deep, so the
     loop ends after as many joins as the deepest chain has links.
     """
-    pairs = links.where("parent_id is not null").select("section_id", F.col("parent_id").alias("ancestor_id"))
+    pairs = cut_lineage(links.where("parent_id is not null").select("section_id", F.col("parent_id").alias("ancestor_id")))
     step, out = pairs.withColumn("distance", F.lit(1)), None
     up = pairs.select(F.col("section_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"))
     for distance in range(1, max_depth + 1):
