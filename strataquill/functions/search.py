@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,21 +12,27 @@ from pyspark.sql import functions as F
 NEEDLE_POINTS = 16 << 20
 
 
-def holding(rows: DataFrame, key: str, text: str, needles: list[tuple[str, str]], name: str = "query_id", beside: Sequence[str] = ()) -> DataFrame:
-    """``(name, key, *beside)`` of the texts that hold a needle; one automaton for all needles of a block."""
-    blocks: list[list[tuple[str, str]]] = [[]]
-    size = 0
+def needle_blocks(needles: Iterable[tuple[str, str]]) -> Iterator[list[tuple[str, str]]]:
+    """Needles in blocks of bounded size; one empty block without any."""
+    block: list[tuple[str, str]] = []
+    size, given = 0, False
     for n in needles:
-        if size + len(n[1]) > NEEDLE_POINTS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(n)
+        if block and size + len(n[1]) > NEEDLE_POINTS:
+            yield block
+            block, size, given = [], 0, True
+        block.append(n)
         size += len(n[1])
+    if block or not given:
+        yield block
+
+
+def holding(rows: DataFrame, key: str, text: str, needles: Iterable[tuple[str, str]], name: str = "query_id", beside: Sequence[str] = ()) -> DataFrame:
+    """``(name, key, *beside)`` of the texts that hold a needle; one automaton for all needles of a block."""
     source = rows.where(F.col(text) != "").select(key, *beside, text)
     kinds = dict(source.dtypes)
     schema = f"{name} string, " + ", ".join(f"{c} {kinds[c]}" for c in (key, *beside))
     out = None
-    for block in blocks:
+    for block in needle_blocks(needles):
         shared = rows.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

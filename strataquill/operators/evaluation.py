@@ -25,8 +25,8 @@ def spaced(text: str) -> Column:
 
 def containing_whole(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """Documents that hold the whole text of a query, white space normalised on both sides; the query set is stated and bounded."""
-    needles = queries.select("query_id", spaced("text").alias("text")).where("length(text) > 0").collect()
-    return holding(documents.select("doc_id", spaced("text").alias("text")), "doc_id", "text", [(r[0], r[1]) for r in needles])
+    needles = queries.select("query_id", spaced("text").alias("text")).where("length(text) > 0").toLocalIterator()
+    return holding(documents.select("doc_id", spaced("text").alias("text")), "doc_id", "text", ((r[0], r[1]) for r in needles))
 
 
 def recall_at(stages: DataFrame, gold: DataFrame, ks: Sequence[int] = (5, 10, 20)) -> DataFrame:

@@ -34,19 +34,25 @@ def _scores(kind: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
     raise ValueError(f"unknown metric {kind}")
 
 
-def query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries' ids and matrix, in blocks of bounded size."""
-    ids, rows, size = [], [], 0
-    for r in queries.where(F.col(vector).isNotNull()).select(key, vector).orderBy(key).toLocalIterator():
+def query_blocks(queries: DataFrame, key: str, vector: str, beside: str | None = None) -> Iterator[tuple]:
+    """The queries' ids and matrix (and another column's values), in blocks of bounded size; the driver holds one block at a time."""
+    ids, rows, more, size = [], [], [], 0
+    columns = [key, vector, *([beside] if beside else [])]
+
+    def block() -> tuple:
+        return (np.array(ids), np.stack(rows), *([np.array(more)] if beside else []))
+
+    for r in queries.where(F.col(vector).isNotNull()).select(columns).orderBy(key).toLocalIterator():
         v = np.asarray(r[1], np.float64)
-        if size + v.nbytes > QUERY_BYTES:
-            yield np.array(ids), np.stack(rows)
-            ids, rows, size = [], [], 0
+        if ids and size + v.nbytes > QUERY_BYTES:
+            yield block()
+            ids, rows, more, size = [], [], [], 0
         ids.append(r[0])
         rows.append(v)
+        more += [r[2]] if beside else []
         size += v.nbytes
     if ids:
-        yield np.array(ids), np.stack(rows)
+        yield block()
 
 
 def fitting(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +103,8 @@ def likeness_by_group(queries: DataFrame, vectors: DataFrame, group: str, key: s
     spark, out = vectors.sparkSession, None
     kind = dict(vectors.dtypes)[group]
     source = vectors.where(F.col(vector).isNotNull()).select(group, vector)
-    owners = {r[0]: r[1] for r in queries.select(key, group).collect()}  # a stated query set
-    for ids, matrix in query_blocks(queries, key, vector):
-        names, of = np.unique(np.array([owners[i] for i in ids.tolist()]), return_inverse=True)
+    for _, matrix, owners in query_blocks(queries, key, vector, group):
+        names, of = np.unique(owners, return_inverse=True)
         shared = spark.sparkContext.broadcast((names, of, matrix))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -167,7 +172,6 @@ def late_interaction(queries: DataFrame, documents: DataFrame, group: str, vecto
     keeps one maximum a query token and document; only those are shuffled.
     """
     spark = documents.sparkSession
-    of = {r[0]: r[1] for r in queries.select(key, group).collect()}  # a stated query set
     out = None
     source = documents.where(F.col(vector).isNotNull()).select(group, vector)
     for ids, matrix in query_blocks(queries, key, vector):
@@ -187,5 +191,5 @@ def late_interaction(queries: DataFrame, documents: DataFrame, group: str, vecto
         part = source.mapInArrow(run, "token bigint, document bigint, s double")
         out = part if out is None else out.unionByName(part)
     best = out.groupBy("token", "document").agg(F.max("s").alias("s"))
-    owner = spark.createDataFrame(list(of.items()), "token bigint, query bigint")
+    owner = queries.select(F.col(key).alias("token"), F.col(group).cast("bigint").alias("query"))
     return best.join(owner, "token").groupBy("query", "document").agg(F.round(F.sum("s"), 5).alias("score"))
