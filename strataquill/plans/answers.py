@@ -109,7 +109,7 @@ def gen04(s, d):
     return op.list_answer(hits(s, d), "query_id", "source")
 
 
-@q("gen05")
+@q("gen05", f"SELECT query_id, string_split(regexp_replace(trim(context, chr(32) || chr(9) || chr(10) || chr(13)), '([.!?。])[\\s\\x{{0B}}\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]', '\\1' || chr(1)), chr(1))[1] AS answer FROM ({{GEN01}})".replace("{GEN01}", R.sql["gen01"]))
 def gen05(s, d):
     return op.generate(op.context(hits(s, d), "query_id", "text", 2000), "query_id", "context")
 

@@ -277,7 +277,25 @@ def chk13(spark, sf_dir):
     return chunking.header_chunks(markdown.lines(md(spark, sf_dir)))
 
 
-@R.query("chk14")
+#: White space as Python strips it.
+STRIP = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]"
+
+
+def merged_sql(parts, separator, size, overlap):
+    """Greedy merging of ``parts`` (a list per doc_id): the group is the slice from ``s`` to the part before ``i``."""
+    length = f"length(array_to_string(list_slice(p, {{0}}, i - 1), {separator}))"
+    return f"""
+WITH RECURSIVE src AS (SELECT doc_id, {parts} AS p FROM documents WHERE text <> ''),
+step AS (SELECT doc_id, p, 1::BIGINT AS i, 1::BIGINT AS s, NULL::BIGINT AS f, NULL::BIGINT AS z FROM src WHERE len(p) > 0
+  UNION ALL SELECT doc_id, p, i + 1, CASE WHEN over_it THEN coalesce(keep, i) ELSE s END, CASE WHEN over_it THEN s END, CASE WHEN over_it THEN i - 1 END FROM (
+    SELECT doc_id, p, i, s, i > s AND {length.format('s')} + length({separator}) + length(p[i]) > {size} AS over_it,
+      list_min(list_filter(range(s, i), lambda k: {length.format('k')} <= {overlap} AND {length.format('k')} + length(p[i]) + length({separator}) <= {size})) AS keep FROM step WHERE i <= len(p))),
+cut AS (SELECT doc_id, p, f, z FROM step WHERE f IS NOT NULL UNION ALL SELECT doc_id, p, s, len(p) FROM step WHERE i = len(p) + 1),
+named AS (SELECT doc_id, f, z, regexp_replace(array_to_string(list_slice(p, f, z), {separator}), '^{STRIP}+|{STRIP}+$', '', 'g') AS content FROM cut)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY z, f) - 1)::INT AS piece_no, content FROM named WHERE content <> ''"""
+
+
+@R.query("chk14", merged_sql("list_filter(string_split(text, chr(10) || chr(10)), lambda x: x <> '')", "(chr(10) || chr(10))", 200, 10))
 def chk14(spark, sf_dir):
     return chunking.character_chunks(table(spark, sf_dir, "documents"), "\n\n", 200, 10)
 
@@ -315,7 +333,10 @@ def rec06(spark, sf_dir):
     return found.where(F.col("sentence").contains("Torque")).select("doc_id", "pos", F.col("window").alias("context"))
 
 
-@R.query("chk18")
+CUT = f"list_filter(string_split(regexp_replace(text, '([.!?。！？]){STRIP}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '[^' || substr('{STRIP}', 2)))"
+
+
+@R.query("chk18", merged_sql(f"flatten([CASE WHEN length(x) <= 512 THEN [x] ELSE [substr(x, (k * 512 + 1)::INT, 512) FOR k IN range(0, (length(x) + 511) // 512)] END FOR x IN {CUT}])", "' '", 512, 0))
 def chk18(spark, sf_dir):
     return chunking.sentence_chunks(table(spark, sf_dir, "documents"), 512)
 
