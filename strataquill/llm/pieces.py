@@ -268,16 +268,28 @@ def boundary_table(source: Cells | Files) -> DataFrame:
     return found.where("part is null").select(*names).unionByName(table) if isinstance(source, Cells) else table
 
 
-def line_table(table: DataFrame) -> DataFrame:
-    """``(document_id, line_no, range_no, start, kept)`` of every line, and of the end of the text as one more.
+def located(points: DataFrame, table: DataFrame, bucket: int = 256) -> DataFrame:
+    """``points(document_id, line_no, …)`` with ``range_no``, ``start`` and ``kept`` of their lines.
 
-    ``start`` is the line's offset, ``kept`` the same without the characters of marker lines before it.
+    ``start`` is the line's offset, ``kept`` the same without the characters of
+    marker lines before it; the end of the text is one more line. Line starts
+    travel as arrays of a bucket of lines, not as rows.
     """
     before = totals_before(table, ["document_id"], "range_no", ["n_points", "n_lines", "cut"])
-    rows = table.select("document_id", "range_no", "starts", "cuts").join(before, ["document_id", "range_no"])
-    lines = rows.select("document_id", "range_no", "n_points_before", "n_lines_before", "cut_before", F.posexplode(F.arrays_zip("starts", "cuts")).alias("i", "x"))
-    start = F.col("n_points_before") + F.col("x.starts")
-    return lines.select("document_id", (F.col("n_lines_before") + F.col("i")).alias("line_no"), "range_no", start.alias("start"), (start - F.col("cut_before") - F.col("x.cuts")).alias("kept"))
+    rows = table.where("n_lines > 0").join(before, ["document_id", "range_no"])
+    last = F.col("n_lines_before") + F.col("n_lines") - 1
+    buckets = F.explode(F.sequence(F.floor(F.col("n_lines_before") / bucket), F.floor(last / bucket)))
+    cut = rows.select("document_id", "range_no", "n_points_before", "n_lines_before", "cut_before", "starts", "cuts", buckets.alias("bucket"))
+    low = F.greatest(F.col("bucket") * bucket - F.col("n_lines_before"), F.lit(0)).cast("int")
+    part = lambda c: F.slice(c, low + 1, F.lit(bucket) - F.greatest(F.col("n_lines_before") - F.col("bucket") * bucket, F.lit(0)).cast("int"))
+    held = cut.select(
+        "document_id", "bucket", "range_no", (F.col("n_lines_before") + low).alias("first_line"), "n_points_before", (F.col("n_points_before") - F.col("cut_before")).alias("kept_before"),
+        part("starts").alias("starts"), part("cuts").alias("cuts"),
+    )
+    at = (F.col("line_no") - F.col("first_line")).cast("int")
+    found = points.withColumn("bucket", F.floor(F.col("line_no") / bucket)).join(held, ["document_id", "bucket"]).where((at >= 0) & (at < F.size("starts")))
+    start = F.get("starts", at)
+    return found.select(*points.columns, "range_no", (F.col("n_points_before") + start).alias("start"), (F.col("kept_before") + start - F.get("cuts", at)).alias("kept"))
 
 
 def own_spans(sections: DataFrame) -> DataFrame:
@@ -313,12 +325,11 @@ def section_lengths(documents: DataFrame | Cells | Files, sections: DataFrame, s
     ``begin`` and ``end`` are offsets, half open; ``from`` is the begin without marker characters.
     """
     table = boundary_table(as_source(documents, size)) if table is None else table
-    lines = line_table(table)
     ends = table.groupBy("document_id").agg((F.sum("n_lines") - 1).alias("n_lines"))
     spans = own_spans(sections).join(ends, "document_id").withColumn("last", F.least(F.coalesce("last", "n_lines"), "n_lines")).where("first < last")
     point: Callable[[str, int], Column] = lambda c, sign: F.struct(F.col(c).cast("bigint").alias("line_no"), F.lit(sign).alias("sign"))
     points = spans.select("document_id", "section_id", "heading", F.col("first").alias("at"), F.explode(F.array(point("first", -1), point("last", 1))).alias("p"))
-    placed = points.select("document_id", "section_id", "heading", "at", "p.line_no", "p.sign").join(lines, ["document_id", "line_no"])
+    placed = located(points.select("document_id", "section_id", "heading", "at", "p.line_no", "p.sign"), table)
     opened = lambda c: F.min(F.when(F.col("sign") < 0, F.col(c)))
     # a section that is delivered with two spans keeps the longer
     each = placed.groupBy("document_id", "section_id", "at").agg(
