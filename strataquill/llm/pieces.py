@@ -160,17 +160,22 @@ class Cells:
 
         return self.rows.mapInArrow(run, schema)
 
-    def parts(self, needed: DataFrame, left: int, right: int) -> DataFrame:
-        """The parts of ``needed(document_id, ranges)``, ``ranges`` an array of numbers."""
+    def over(self, needed: DataFrame, left: int, right: int, each: Callable[[str, dict, tuple], list[tuple]], types: tuple, schema: str) -> DataFrame:
+        """What ``each(document_id, range, part)`` gives for the ranges of ``needed(document_id, ranges)``, an array of structs with a ``range_no``."""
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for doc, text, nos in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    for i in range(0, len(nos), 256):
-                        yield batch_of([(doc, no, *text_range(text, no, size, left, right)) for no in nos[i : i + 256]], PART_TYPES, PARTS)
+                rows: list[tuple] = []
+                for doc, text, ranges in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    for r in ranges:
+                        rows += each(doc, r, text_range(text, r["range_no"], size, left, right))
+                        if len(rows) >= 1_024:
+                            yield batch_of(rows, types, schema)
+                            rows = []
+                yield batch_of(rows, types, schema)
 
-        return self.rows.join(needed, "document_id").select("document_id", "markdown", "ranges").mapInArrow(run, PARTS)
+        return self.rows.join(needed, "document_id").select("document_id", "markdown", "ranges").mapInArrow(run, schema)
 
 
 class Files:
@@ -185,27 +190,27 @@ class Files:
         listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
         return listed.select(F.element_at(F.split("path", "/"), -2).alias("document_id"), "path", "length")
 
-    def _read(self, asked: DataFrame, left: int, right: int) -> DataFrame:
+    def over(self, needed: DataFrame, left: int, right: int, each: Callable[[str, dict, tuple], list[tuple]], types: tuple, schema: str) -> DataFrame:
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyarrow import fs
 
             for b in batches:
-                for doc, path, total, no in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for doc, path, total, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     system, name = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
                     with system.open_input_file(name) as f:
-                        yield batch_of([(doc, no, *byte_range(lambda at, n, f=f: f.read_at(n, at), total, no, size, left, right))], PART_TYPES, PARTS)
+                        part = byte_range(lambda at, n, f=f: f.read_at(n, at), total, r["range_no"], size, left, right)
+                    yield batch_of(each(doc, r, part), types, schema)
 
-        return asked.select("document_id", "path", "length", "range_no").repartition("document_id", "range_no").mapInArrow(run, PARTS)
+        asked = self.rows.join(needed, "document_id").select("document_id", "path", "length", F.explode("ranges").alias("r"))
+        return asked.repartition("document_id", "r.range_no").mapInArrow(run, schema)
 
     def boundaries(self) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.floor(F.col("length") / self.size).cast("int")))
+        no = F.sequence(F.lit(0), F.floor(F.col("length") / self.size).cast("int"))
+        every = self.rows.select("document_id", F.transform(no, lambda i: F.struct(i.alias("range_no"))).alias("ranges"))
         none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in NUMBERS.split(", ")]
-        return self._read(self.rows.withColumn("range_no", every), HALO, HALO).select("*", *none)
-
-    def parts(self, needed: DataFrame, left: int, right: int) -> DataFrame:
-        return self._read(self.rows.join(needed, "document_id").withColumn("range_no", F.explode("ranges")), left, right)
+        return self.over(every, HALO, HALO, lambda doc, r, part: [(doc, r["range_no"], *part)], PART_TYPES, PARTS).select("*", *none)
 
 
 # --- boundary tables ----------------------------------------------------------------------------------------------------------------
@@ -426,73 +431,89 @@ class Part:
         return sorted({*natural, *(p for a, b in zip(marks, marks[1:]) for p in range(max(low, a + far), b))})
 
 
-WORK = "document_id string, range_no int, kept_before bigint, n_points_before bigint, lead int, own int, first boolean, part string, sections array<struct<section_id:string,heading:string,from:bigint,until:bigint,entry:bigint,base:bigint>>"
 PIECES = "section_id string, piece_no int, document_id string, heading string, start_pos int, end_pos int, overlap int, content string"
 PIECE_TYPES = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+#: A range's text with what is known of it, and its place among the pieces of one pass.
+HELD = "range_no int, kept_before bigint, n_points_before bigint, lead int, own int, first boolean, part string"
+HELD_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
+STEPS = "document_id string, range_no int, section_id string, entry bigint, exit bigint, n bigint"
+STEP_TYPES = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+
+
+def cut_section(part: Part, doc: str, s: dict, limit: int, overlap: int) -> list[tuple]:
+    """The pieces of a section that begin in the range, from the place ``entry`` and the number ``base`` on."""
+    rows, place, no = [], s["entry"], s["base"]
+    while place < min(s["until"], part.end):
+        stop = part.next_cut(place, s["from"], s["until"], limit, overlap)
+        head = part.overlap_from(place, s["from"], overlap)
+        rows.append((s["section_id"], no, doc, s["heading"], part.offset(place), part.offset(stop - 1) + 1, place - head, part.content(head, stop)))
+        place, no = stop, no + 1
+    return rows
+
+
+def section_steps(part: Part, doc: str, range_no: int, s: dict, limit: int, overlap: int) -> list[tuple]:
+    """For each place of the range where a piece of the section may begin, where the first piece beyond the range begins and how many lie between."""
+    rows, known = [], {}
+    for entry in [s["from"]] if s["from"] >= part.begin else part.entries(s["until"], limit, overlap):
+        trail, place = [], entry
+        while place not in known and place < min(s["until"], part.end):
+            trail.append(place)
+            place = part.next_cut(place, s["from"], s["until"], limit, overlap)
+        exit_, n = known.get(place, (place, 0))
+        for p in reversed(trail):
+            n += 1
+            known[p] = (exit_, n)
+        rows.append((doc, range_no, s["section_id"], entry, *known.get(entry, (entry, 0))))
+    return rows
 
 
 def pieces(documents: DataFrame | Cells | Files, sections: DataFrame, limit: int = 3_000, overlap: int = 200, size: int = RANGE) -> DataFrame:
-    """``(section_id, piece_no, document_id, heading, start_pos, end_pos, overlap, content)`` of the oversized sections."""
+    """``(section_id, piece_no, document_id, heading, start_pos, end_pos, overlap, content)`` of the oversized sections.
+
+    Sections within one range are cut in the one pass over the texts; of ranges
+    that a section crosses the pass keeps the text for the steps after it.
+    """
     if not 0 <= overlap < limit or size < 4 * limit:
         raise ValueError("0 <= overlap < limit and ranges of at least four times the limit are needed")
     source = as_source(documents, size)
     table = boundary_table(source)
     big = cut_lineage(oversized(source, sections, limit, size, table).withColumn("until", F.col("from") + F.col("n_chars")))
-    at = big.select("document_id", "section_id", "heading", "from", "until", F.explode(F.sequence("range_first", "range_last")).alias("range_no"))
-    needed = at.groupBy("document_id").agg(F.array_sort(F.collect_set("range_no")).alias("ranges"))
+    crosses = F.col("range_first") < F.col("range_last")
+    at = big.select("document_id", "section_id", "heading", "from", "until", crosses.alias("crosses"), F.explode(F.sequence("range_first", "range_last")).alias("range_no"))
+    section = F.struct("section_id", "heading", "from", "until", F.col("from").alias("entry"), F.lit(0).cast("bigint").alias("base"))
+    ranges = at.groupBy("document_id", "range_no").agg(F.max("crosses").alias("crossed"), F.collect_list(F.when(~F.col("crosses"), section)).alias("sections"))
     before = totals_before(table, ["document_id"], "range_no", ["n_points", "cut"]).select("document_id", "range_no", (F.col("n_points_before") - F.col("cut_before")).alias("kept_before"), "n_points_before")
-    parts = source.parts(needed, limit + HALO, limit + HALO).join(before, ["document_id", "range_no"])
-    crossing = at.join(big.where("range_first < range_last").select("document_id", "section_id"), ["document_id", "section_id"], "left_semi")
+    needed = ranges.join(before, ["document_id", "range_no"]).groupBy("document_id").agg(F.collect_list(F.struct("range_no", "kept_before", "n_points_before", "crossed", "sections")).alias("ranges"))
+
+    def first_pass(doc: str, r: dict, found: tuple) -> list[tuple]:
+        lead, own, first, _, text = found
+        part = Part(text, lead, own, first, r["kept_before"], r["n_points_before"]) if r["sections"] else None
+        rows = [(*p, *[None] * len(HELD_TYPES)) for s in r["sections"] for p in cut_section(part, doc, s, limit, overlap)]
+        if r["crossed"]:
+            rows.append((None, None, doc, None, None, None, None, None, r["range_no"], r["kept_before"], r["n_points_before"], lead, own, first, text))
+        return rows
+
+    out = source.over(needed, limit + HALO, limit + HALO, first_pass, PIECE_TYPES + HELD_TYPES, f"{PIECES}, {HELD}")
+    crossing = at.where("crosses").drop("crosses")
+    if crossing.isEmpty():
+        return out.select(*names_of(PIECES))
+    out = cut_lineage(out)
+    held = out.where("part is not null").select("document_id", *names_of(HELD))
+    key = ["document_id", "section_id"]
 
-    def work(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    def worked(rows: DataFrame, each: Callable[[Part, str, int, dict], list[tuple]], types: tuple, schema: str) -> DataFrame:
         grouped = rows.groupBy("document_id", "range_no").agg(F.collect_list(F.struct("section_id", "heading", "from", "until", "entry", "base")).alias("sections"))
-        return texts.join(grouped, ["document_id", "range_no"]).select(*names_of(WORK.split(", sections")[0]), "sections")
 
-    def part_of(r: tuple) -> Part:
-        _, _, kept, points, lead, own, first, text = r
-        return Part(text, lead, own, first, kept, points)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for doc, no, kept, points, lead, own, first, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    part = Part(text, lead, own, first, kept, points)
+                    yield batch_of([x for s in found for x in each(part, doc, no, s)], types, schema)
+
+        return held.join(grouped, ["document_id", "range_no"]).select("document_id", *names_of(HELD), "sections").mapInArrow(run, schema)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for *r, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                part, rows = part_of(tuple(r)), []
-                for s in own:
-                    place, no = s["entry"], s["base"]
-                    while place < min(s["until"], part.end):
-                        stop = part.next_cut(place, s["from"], s["until"], limit, overlap)
-                        head = part.overlap_from(place, s["from"], overlap)
-                        rows.append((s["section_id"], no, r[0], s["heading"], part.offset(place), part.offset(stop - 1) + 1, place - head, part.content(head, stop)))
-                        place, no = stop, no + 1
-                yield batch_of(rows, PIECE_TYPES, PIECES)
-
-    steps = "document_id string, range_no int, section_id string, entry bigint, exit bigint, n bigint"
-
-    def jump(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for *r, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                part, rows = part_of(tuple(r)), []
-                for s in own:
-                    known: dict[int, tuple[int, int]] = {}
-                    for entry in [s["from"]] if s["from"] >= part.begin else part.entries(s["until"], limit, overlap):
-                        trail, place = [], entry
-                        while place not in known and place < min(s["until"], part.end):
-                            trail.append(place)
-                            place = part.next_cut(place, s["from"], s["until"], limit, overlap)
-                        exit_, n = known.get(place, (place, 0))
-                        for p in reversed(trail):
-                            n += 1
-                            known[p] = (exit_, n)
-                        rows.append((r[0], r[1], s["section_id"], entry, *known.get(entry, (entry, 0))))
-                yield batch_of(rows, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), steps)
-
-    here = at.withColumn("entry", F.col("from")).withColumn("base", F.lit(0).cast("bigint"))
-    if crossing.isEmpty():
-        return work(here, parts).mapInArrow(cut, PIECES)
-    parts = cut_lineage(parts)
-    key = ["document_id", "section_id"]
-    inside = here.join(crossing.select(*key).distinct(), key, "left_anti")
     asked = crossing.withColumn("entry", F.lit(None).cast("bigint")).withColumn("base", F.lit(None).cast("bigint"))
-    jumps = cut_lineage(work(asked, parts).mapInArrow(jump, steps).where("entry < exit"))
+    jumps = cut_lineage(worked(asked, lambda part, doc, no, s: section_steps(part, doc, no, s, limit, overlap), STEP_TYPES, STEPS).where("entry < exit"))
     begun = crossing.select(*key, F.col("from").alias("entry")).distinct()
     # a piece begins in a range only where one of the ranges before leads
     led = jumps.select(*key, F.col("exit").alias("entry")).unionByName(begun).distinct()
@@ -505,6 +526,6 @@ def pieces(documents: DataFrame | Cells | Files, sections: DataFrame, limit: int
         after = jumps.select(*key, F.col("entry").alias("exit"), F.col("exit").alias("beyond"), F.col("n").alias("more"))
         jumps = cut_lineage(jumps.join(after, [*key, "exit"]).select(*key, "entry", F.col("beyond").alias("exit"), (F.col("n") + F.col("more")).alias("n")))
         span *= 2
-    columns = [*key, "range_no", "heading", "from", "until", "entry", "base"]
     across = crossing.join(places.select(*key, "range_no", "entry"), [*key, "range_no"]).join(reached, [*key, "entry"])
-    return work(inside.select(columns).unionByName(across.select(columns)), parts).mapInArrow(cut, PIECES)
+    rest = worked(across, lambda part, doc, no, s: cut_section(part, doc, s, limit, overlap), PIECE_TYPES, PIECES)
+    return out.where("part is null").select(*names_of(PIECES)).unionByName(rest)
