@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,15 +61,15 @@ def columns(spark: SparkSession, path: str) -> DataFrame:
 def write_table(df: DataFrame, path: str, table: str, columns: str) -> None:
     """A small table as an SQLite file, written by one task, since a file has one writer."""
     n = len(df.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pathlib import Path
-
-        Path(plain(path)).parent.mkdir(parents=True, exist_ok=True)
-        db = sqlite3.connect(plain(path))
+    # the table is there also where no task runs, as for an empty one
+    Path(plain(path)).parent.mkdir(parents=True, exist_ok=True)
+    with sqlite3.connect(plain(path)) as db:
         db.execute(f"DROP TABLE IF EXISTS {quoted(table)}")
         db.execute(f"CREATE TABLE {quoted(table)} ({columns})")
-        done = 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        db, done = sqlite3.connect(plain(path)), 0
+        db.execute(f"DELETE FROM {quoted(table)}")  # of an attempt before this one
         for b in batches:
             db.executemany(f"INSERT INTO {quoted(table)} VALUES ({', '.join('?' * n)})", zip(*(c.to_pylist() for c in b.columns), strict=True))
             done += b.num_rows
