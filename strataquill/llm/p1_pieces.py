@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from strataquill.llm import pieces
 from strataquill.plans.registry import Registry
-from strataquill.session import table, text_table
+from strataquill.session import scratch, table, text_table
+from strataquill.sources import sinks
 
 R = Registry()
 
@@ -36,13 +37,28 @@ def p1_pieces(spark, sf_dir):
     return pieces.pieces(*_tables(spark, sf_dir))
 
 
-@R.query("p1_rebuilt", LENGTHS + "SELECT section_id, length(array_to_string(parts, chr(10)))::INT AS n_chars, md5(array_to_string(parts, chr(10))) AS digest FROM texts WHERE length(array_to_string(parts, chr(10))) > 3000")
-def p1_rebuilt(spark, sf_dir):
-    """What the pieces of each section make up without their overlaps: the section's own text."""
+REBUILT = LENGTHS + "SELECT section_id, length(array_to_string(parts, chr(10)))::INT AS n_chars, md5(array_to_string(parts, chr(10))) AS digest FROM texts WHERE length(array_to_string(parts, chr(10))) > 3000"
+
+
+def _rebuilt(found):
     part = F.struct("piece_no", F.expr("substring(content, overlap + 1)").alias("own"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["own"]), "")
-    rows = p1_pieces(spark, sf_dir).groupBy("section_id").agg(whole.alias("text"))
-    return rows.select("section_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    return found.groupBy("section_id").agg(whole.alias("text")).select("section_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@R.query("p1_rebuilt", REBUILT)
+def p1_rebuilt(spark, sf_dir):
+    """What the pieces of each section make up without their overlaps: the section's own text."""
+    return _rebuilt(p1_pieces(spark, sf_dir))
+
+
+@R.query("p1_byte_ranges", REBUILT)
+def p1_byte_ranges(spark, sf_dir):
+    """The same from files, read in byte ranges of 16 KiB at their offsets."""
+    documents, sections = _tables(spark, sf_dir)
+    root = scratch(spark, "files")
+    sinks.write_canonical(documents, root)
+    return _rebuilt(pieces.pieces(pieces.Files(pieces.Files.found(spark, root), 1 << 14), sections, size=1 << 14))
 
 
 @R.query("p1_faults", "SELECT '' AS section_id, CAST(0 AS INT) AS piece_no, '' AS fault WHERE false")

@@ -292,7 +292,7 @@ def features(before: str, after: str, spaced: bool, chars: str, closes: bool, us
 class Classifier:
     """Weights of the features, and the words that go before others; sums of feature groups are kept."""
 
-    KEPT = 400_000
+    KEPT = 200_000
 
     def __init__(self, weights: np.ndarray, usage: Usage) -> None:
         self.weights, self.usage = weights, usage
