@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from strataquill.llm import pieces
 from strataquill.plans.registry import Registry
 from strataquill.session import scratch, table, text_table
-from strataquill.sources import sinks
 
 R = Registry()
 
@@ -54,11 +53,10 @@ def p1_rebuilt(spark, sf_dir):
 
 @R.query("p1_byte_ranges", REBUILT)
 def p1_byte_ranges(spark, sf_dir):
-    """The same from files, read in byte ranges of 16 KiB at their offsets."""
+    """The same from files of many texts each, read in byte ranges of 16 KiB at their offsets."""
     documents, sections = _tables(spark, sf_dir)
-    root = scratch(spark, "files")
-    sinks.write_canonical(documents, root)
-    return _rebuilt(pieces.pieces(pieces.Files(pieces.Files.found(spark, root), 1 << 14), sections, size=1 << 14))
+    spans = pieces.Files.packed(documents, scratch(spark, "files"))
+    return _rebuilt(pieces.pieces(pieces.Files(spans, 1 << 14), sections, size=1 << 14))
 
 
 @R.query("p1_faults", "SELECT '' AS section_id, CAST(0 AS INT) AS piece_no, '' AS fault WHERE false")

@@ -178,11 +178,23 @@ class Cells:
         return self.rows.join(needed, "document_id").select("document_id", "markdown", "ranges").mapInArrow(run, schema)
 
 
+def opened(path: str):
+    """A file of any file system that Arrow knows, for reads at offsets."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
+    return system.open_input_file(name)
+
+
 class Files:
-    """Byte ranges of the files ``files(document_id, path, length)``; no worker reads more of a file than its range and halo."""
+    """Byte ranges of the texts ``files(document_id, path, length[, begin])``; no worker reads more of a text than its range and halo.
+
+    A text is a whole file, or the ``length`` bytes of one from ``begin`` on.
+    """
 
     def __init__(self, files: DataFrame, size: int = RANGE) -> None:
-        self.rows, self.size = files.where("document_id is not null").select("document_id", "path", F.col("length").cast("bigint").alias("length")), size
+        begin = F.col("begin") if "begin" in files.columns else F.lit(0)
+        self.rows, self.size = files.where("document_id is not null").select("document_id", "path", begin.cast("bigint").alias("begin"), F.col("length").cast("bigint").alias("length")), size
 
     @staticmethod
     def found(spark, root: str) -> DataFrame:
@@ -190,21 +202,54 @@ class Files:
         listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(root)
         return listed.select(F.element_at(F.split("path", "/"), -2).alias("document_id"), "path", "length")
 
-    def over(self, needed: DataFrame, left: int, right: int, each: Callable[[str, dict, tuple], list[tuple]], types: tuple, schema: str) -> DataFrame:
-        size = self.size
+    @staticmethod
+    def packed(documents: DataFrame, root: str) -> DataFrame:
+        """Writes ``documents(document_id, markdown)`` one after the other, a file a task; their spans as ``files``."""
+        source = documents.where("document_id is not null and markdown is not null").select("document_id", "markdown")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import uuid
+
             from pyarrow import fs
 
+            address = root if "://" in root else "file://" + root[5:] if root.startswith("file:") else root
+            system, folder = fs.FileSystem.from_uri(address)
+            system.create_dir(folder, recursive=True)
+            name, rows, at = f"part-{uuid.uuid4().hex}", [], 0
+            with system.open_output_stream(f"{folder}/{name}") as f:
+                for b in batches:
+                    for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                        raw = text.encode("utf-8", "replace")
+                        f.write(raw)
+                        rows.append((doc, f"{address.rstrip('/')}/{name}", at, len(raw)))
+                        at += len(raw)
+            yield batch_of(rows, (pa.string(), pa.string(), pa.int64(), pa.int64()), "document_id string, path string, begin bigint, length bigint")
+
+        return cut_lineage(source.mapInArrow(run, "document_id string, path string, begin bigint, length bigint"))
+
+    def over(self, needed: DataFrame, left: int, right: int, each: Callable[[str, dict, tuple], list[tuple]], types: tuple, schema: str) -> DataFrame:
+        size = self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            path, file = None, None
             for b in batches:
-                for doc, path, total, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    system, name = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
-                    with system.open_input_file(name) as f:
-                        part = byte_range(lambda at, n, f=f: f.read_at(n, at), total, r["range_no"], size, left, right)
-                    yield batch_of(each(doc, r, part), types, schema)
-
-        asked = self.rows.join(needed, "document_id").select("document_id", "path", "length", F.explode("ranges").alias("r"))
-        return asked.repartition("document_id", "r.range_no").mapInArrow(run, schema)
+                rows: list[tuple] = []
+                for doc, name, begin, total, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if name != path:
+                        if file is not None:
+                            file.close()
+                        path, file = name, opened(name)
+                    read = lambda at, n, f=file, begin=begin: f.read_at(n, begin + at)
+                    rows += each(doc, r, byte_range(read, total, r["range_no"], size, left, right))
+                    if len(rows) >= 1_024:
+                        yield batch_of(rows, types, schema)
+                        rows = []
+                yield batch_of(rows, types, schema)
+            if file is not None:
+                file.close()
+
+        asked = self.rows.join(needed, "document_id").select("document_id", "path", "begin", "length", F.explode("ranges").alias("r"))
+        return asked.repartition("document_id", "r.range_no").sortWithinPartitions("path", "begin").mapInArrow(run, schema)
 
     def boundaries(self) -> DataFrame:
         no = F.sequence(F.lit(0), F.floor(F.col("length") / self.size).cast("int"))
