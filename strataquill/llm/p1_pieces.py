@@ -53,10 +53,10 @@ def p1_rebuilt(spark, sf_dir):
 
 @R.query("p1_byte_ranges", REBUILT)
 def p1_byte_ranges(spark, sf_dir):
-    """The same from files of many texts each, read in byte ranges of 16 KiB at their offsets."""
+    """The same from files of many texts each, read in byte ranges at their offsets."""
     documents, sections = _tables(spark, sf_dir)
     spans = pieces.Files.packed(documents, scratch(spark, "files"))
-    return _rebuilt(pieces.pieces(pieces.Files(spans, 1 << 14), sections, size=1 << 14))
+    return _rebuilt(pieces.pieces(pieces.Files(spans), sections))
 
 
 @R.query("p1_faults", "SELECT '' AS section_id, CAST(0 AS INT) AS piece_no, '' AS fault WHERE false")

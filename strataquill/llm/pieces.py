@@ -51,6 +51,8 @@ from pyspark.sql import functions as F
 from strataquill.session import cut_lineage
 
 RANGE = 65_536
+#: Bytes of files that a task reads.
+TASK_BYTES = 32 << 20
 #: Context for marker lines and blank lines at a range's edge.
 HALO = 1_024
 #: Most combining marks of one character that a cut at the limit goes back over.
@@ -249,7 +251,10 @@ class Files:
                 file.close()
 
         asked = self.rows.join(needed, "document_id").select("document_id", "path", "begin", "length", F.explode("ranges").alias("r"))
-        return asked.repartition("document_id", "r.range_no").sortWithinPartitions("path", "begin").mapInArrow(run, schema)
+        # rows are few bytes and much work, so the bytes behind them decide the number of tasks
+        total = self.rows.agg(F.sum("length")).first()[0] or 0
+        tasks = max(asked.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES)
+        return asked.repartition(tasks, "document_id", "r.range_no").sortWithinPartitions("path", "begin").mapInArrow(run, schema)
 
     def boundaries(self) -> DataFrame:
         no = F.sequence(F.lit(0), F.floor(F.col("length") / self.size).cast("int"))
